@@ -94,8 +94,8 @@ def id_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Column | Non
     return (of_cell(first) + F.greatest(sub, F.lit(0))).cast("int")
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket: Column) -> DataFrame:
-    """rows (doc_id, text_key, columns) with ``next``: a struct of the columns of the row that follows by (doc_id, text_key), the first after the last.
+def with_next(rows: DataFrame, extra: dict[str, Column], bucket: Column) -> DataFrame:
+    """rows (doc_id, text) with the extra columns and ``next``: a struct of text and extra columns of the row that follows by (doc_id, hash of text), the first after the last.
 
     Each range of ids gets a copy of the first row of the range after it, so
     that a window within the range finds every successor in one shuffle.
@@ -104,12 +104,12 @@ def with_next(rows: DataFrame, columns: list[str], bucket: Column) -> DataFrame:
     heads = sorted((r[0], r[1]) for r in rows.groupBy(bucket.alias("bucket")).agg(F.min("doc_id")).collect())
     links = [(doc, heads[i - 1][0]) for i, (_, doc) in enumerate(heads)]
     head_ids = F.broadcast(spark.createDataFrame(links, "doc_id long, bucket int"))
-    heads_df = rows.join(head_ids, "doc_id")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     first = Window.partitionBy("doc_id").orderBy("text_key")
-    guards = heads_df.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("guard", F.lit(1))
-    every = rows.withColumn("bucket", bucket).withColumn("guard", F.lit(0)).unionByName(guards)
+    guards = rows.join(head_ids, "doc_id").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("guard", F.lit(1))
+    every = rows.withColumn("bucket", bucket).withColumn("guard", F.lit(0)).unionByName(guards).withColumns(extra)
     order = Window.partitionBy("bucket").orderBy("guard", "doc_id", "text_key")
-    return every.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("guard = 0").drop("bucket", "guard")
+    return every.withColumn("next", F.lead(F.struct("text", *extra)).over(order)).where("guard = 0").drop("bucket", "guard", "text_key")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: int = FRACTION) -> DataFrame:
@@ -118,8 +118,7 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: int =
     bucket = id_ranges(rows)
     if bucket is None:
         bucket = F.lit(0)
-    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("sketch", sketch(F.col("text"), k, fraction))
-    paired = with_next(rows, ["text", "sketch"], bucket)
+    paired = with_next(rows, {"sketch": sketch(F.col("text"), k, fraction)}, bucket)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     paired = paired.select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
