@@ -10,9 +10,11 @@ from .fingerprint import op7_document_fingerprints
 from .packing import op8_best_fit_packing
 from .quality import op5_quality
 from .secrets import op10_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
