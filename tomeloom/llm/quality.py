@@ -207,7 +207,7 @@ def learnable(labels: DataFrame, target: str, folds: int, fold: int, rows: int =
 def fit_quality(stats: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = SAMPLE_ROWS) -> RuleModel:
     """stats: doc_id and the statistics.  At most ``rows`` rows come to the driver."""
     sample = F.broadcast(learnable(labels, "quality", folds, fold, rows))  # bounded by rows
-    got = stats.join(sample, "doc_id").select(*STATS, "label").orderBy(*STATS, "label").toPandas()
+    got = stats.join(sample, "doc_id").select(*STATS, "label").toPandas().sort_values([*STATS, "label"])
     return fit_rules(got[list(STATS)].to_numpy(), got["label"].to_numpy())
 
 
