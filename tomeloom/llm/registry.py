@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op7_document_fingerprints
+from .html_text import op4_html_text
 from .packing import op8_best_fit_packing
 from .quality import op5_quality
 from .secrets import op10_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
