@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontamination
 from .fingerprint import op7_document_fingerprints
 from .html_text import op4_html_text
 from .packing import op8_best_fit_packing
@@ -14,6 +15,7 @@ from .secrets import op10_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
