@@ -10,12 +10,14 @@ from .decontaminate import op3_decontamination
 from .fingerprint import op7_document_fingerprints
 from .html_text import op4_html_text
 from .lines import op2_line_dedup
+from .near_dups import op1_near_dups
 from .packing import op8_best_fit_packing
 from .quality import op5_quality
 from .secrets import op10_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dups": op1_near_dups,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_html_text": op4_html_text,
