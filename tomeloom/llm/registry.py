@@ -14,6 +14,7 @@ from .near_dups import op1_near_dups
 from .packing import op8_best_fit_packing
 from .quality import op5_quality
 from .secrets import op10_secret_scan
+from .substrings import op9_repeated_substrings
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_repeated_substrings": op9_repeated_substrings,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
