@@ -7,8 +7,11 @@ counts only after its full shingle sets were compared.
 
 Documents with the same set are one class and take part once.  Buckets of any
 size are handled without listing their pairs: all members are first compared
-with the bucket's first member, linked classes are merged, and only members of
-a bucket that are still in different components are compared with each other.
+with the bucket's first and last member, and linked classes are merged.  Only
+members that are still in different components are compared further: pair by
+pair in small buckets; in others the members outside the bucket's largest
+component go in blocks against blocks of all members, so that the rows grow with
+the blocks and only links are given out.
 
 With 20 x 6 permutations (40 bands of 6 values) a pair of similarity s is
 compared with probability 1 - (1 - s^6)^40: 0.999995 at 0.8, 1 - 6e-9 at 0.85.
@@ -34,6 +37,8 @@ from .graph import components
 SHINGLE_WORDS = 5
 PERCENT = 80
 GROUPS, ROWS = 20, 6
+BLOCK = 64  # sets in a block
+PAIR_ROWS = 256  # most pairs of a bucket that are listed as rows
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _RNG.integers(0, 2**32, GROUPS * ROWS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**32, GROUPS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -129,6 +134,66 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return with_b.mapInArrow(run, "a binary, b binary")
 
 
+def _late_pairs(apart: DataFrame, tried: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """a, b: components linked by a pair of a small bucket."""
+    small = apart.where("listed")
+    x, y = small.alias("x"), small.alias("y")
+    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike)
+    rest = rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("label_a"), F.col("x.label").alias("label_b")).distinct()
+    rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = scratch.put(rest, "rest")
+    late = scratch.put(_linked(rest.select("a", "b"), texts, k, percent), "late")
+    return late.join(rest, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+
+
+def _late_blocks(apart: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """a, b: components linked by members of a larger bucket, one of them outside its largest component."""
+    rows = apart.where("NOT listed").join(texts, "node")
+    blocked = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = rows.select("band", F.lit(0).alias("side"), blocked("size").alias("block"), "label", "text")
+    others = rows.where("label <> major").select("band", F.lit(1).alias("side"), blocked("others").alias("block"), "label", "text")
+
+    def to_block(key, group):
+        x, offs = shingle_sets(group.column("text").combine_chunks(), k)
+        packed = pa.compress(x.tobytes(), "zstd", asbytes=True)
+        return pa.table({"band": [key[0].as_py()], "side": pa.array([key[1].as_py()], pa.int32()), "labels": [group.column("label").to_pylist()], "offs": [offs.tolist()], "sets": [packed]})
+
+    schema = "band long, side int, labels array<long>, offs array<long>, sets binary"
+    blocks = scratch.put(every.union(others).groupBy("band", "side", "block").applyInArrow(to_block, schema), "blocks")
+    sided = lambda side, tag: blocks.where(F.col("side") == side).select("band", *[F.col(c).alias(f"{c}_{tag}") for c in ("labels", "offs", "sets")])
+    met = sided(1, "x").join(sided(0, "y"), "band").drop("band")
+
+    def unpacked(row: dict, tag: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        offs = np.array(row[f"offs_{tag}"])
+        values = np.frombuffer(pa.decompress(row[f"sets_{tag}"], int(offs[-1]) * 8, "zstd"), np.uint64)
+        return np.array(row[f"labels_{tag}"]), np.diff(offs), values, np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+
+    def compare(batches):
+        for batch in batches:
+            out: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):  # one row at a time: two blocks of sets
+                row = batch.slice(i, 1).to_pylist()[0]
+                lx, nx, vx, dx = unpacked(row, "x")
+                ly, ny, vy, dy = unpacked(row, "y")
+                common = np.intersect1d(vx, vy)
+                hold = []
+                for v, d, n in ((vx, dx, len(lx)), (vy, dy, len(ly))):
+                    at = np.minimum(np.searchsorted(common, v), max(len(common) - 1, 0))
+                    on = np.flatnonzero(common[at] == v) if len(common) else np.zeros(0, int)
+                    m = np.zeros((n, len(common)), np.float32)
+                    m[d[on], at[on]] = 1
+                    hold.append(m)
+                both = (hold[0] @ hold[1].T).astype(np.int64)
+                linked = (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (lx[:, None] != ly[None, :])
+                for p, q in zip(*np.nonzero(linked), strict=True):
+                    out.add((max(int(lx[p]), int(ly[q])), min(int(lx[p]), int(ly[q]))))
+            pairs = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that a document is linked with, over any number of links."""
     scratch = Scratch(docs.sparkSession, "neardups")
@@ -139,31 +204,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     classes = scratch.put(classes.select("node", "bands", F.col("own.doc_id").alias("start"), F.col("own.text_key").alias("text_key"), F.col("own.n_shingles").alias("n")), "classes")
 
     banded = classes.select("node", "start", "n", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min(F.struct("start", "node")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    buckets = scratch.put(buckets.select("band", F.col("head.node").alias("head")), "buckets")
-    members = scratch.put(banded.join(buckets, "band").select("band", "node", "start", "n", "head"), "members")
+    end = F.struct("start", "node")
+    buckets = banded.groupBy("band").agg(F.min(end).alias("head"), F.max(end).alias("tail")).where("head <> tail")
+    buckets = scratch.put(buckets.select("band", F.col("head.node").alias("head"), F.col("tail.node").alias("tail")), "buckets")
+    members = scratch.put(banded.join(buckets, "band").select("band", "node", "start", "n", "head", "tail"), "members")
     wanted = members.select("node").distinct().join(classes.select("node", "start", "text_key"), "node").select("node", F.col("start").alias("doc_id"), "text_key")
     wanted = scratch.put(wanted, "wanted")
     texts = scratch.put(rows.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
 
-    # every member against its bucket's first
-    first = scratch.put(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "first")
+    # every member against its bucket's first and last
+    first = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).union(members.where("node <> head AND node <> tail").select("node", "tail"))
+    first = scratch.put(first.distinct(), "first")
     links = scratch.put(_linked(first, texts, k, percent), "links")
     nodes = wanted.select("node", F.col("doc_id").alias("start"))
     labels = components(nodes, links, scratch, "merge")
 
     # members of a bucket that are still apart
     placed = scratch.put(members.join(labels, "node").select("band", "node", "n", "label"), "placed")
-    mixed = scratch.put(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed")
-    apart = scratch.put(placed.join(mixed, "band"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike)
-    rest = rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("label_a"), F.col("x.label").alias("label_b")).distinct()
-    rest = scratch.put(rest.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-    late = scratch.put(_linked(rest.select("a", "b"), texts, k, percent), "late")
-    late_labels = late.join(rest, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
-    late_labels = scratch.put(late_labels, "late-labels")
+    parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
+    mixed = scratch.put(mixed.select("band", "major", "size", (F.col("size") - F.col("most")).alias("others")), "mixed")
+    apart = scratch.put(placed.join(mixed, "band").withColumn("listed", F.col("others") * F.col("size") <= PAIR_ROWS), "apart")
+    late_labels = scratch.put(_late_pairs(apart, first, texts, scratch, k, percent).union(_late_blocks(apart, texts, scratch, k, percent)).distinct(), "late-labels")
     tops = late_labels.select(F.col("a").alias("node")).union(late_labels.select(F.col("b").alias("node"))).distinct().withColumn("start", F.col("node"))
     over = components(tops, late_labels, scratch, "top").select(F.col("node").alias("label"), F.col("label").alias("top"))
     joined = scratch.put(labels.join(over, "label", "left").select(F.col("node").alias("set_key"), F.coalesce("top", "label").alias("component")), "components")
@@ -171,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     # a class that met no other one has the class's least id
     whole = scratch.put(classes.select(F.col("node").alias("set_key"), "start").join(joined, "set_key", "left").select("set_key", F.coalesce("component", "start").alias("component")), "whole")
     found = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    scratch.drop("classes", "buckets", "members", "wanted", "texts", "first", "links", "placed", "mixed", "apart", "rest", "late", "late-labels", "components")
+    scratch.drop("classes", "buckets", "members", "wanted", "texts", "first", "links", "placed", "mixed", "apart", "rest", "late", "blocks", "late-labels", "components")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
