@@ -163,7 +163,7 @@ def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, *, id
     # the given columns travel in one struct, so that none can clash with those used here
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.struct(*names).alias(held))
     runs = repeated_runs(rows.select("doc_id", "text_key", F.coalesce(F.col(f"{held}.{text_col}"), F.lit("")).alias("text")), least_words)
-    joined = rows.join(runs, ["doc_id", "text_key"], "left").select(*[F.col(f"{held}.`{c}`").alias(c) for c in names], F.col("runs").alias(held))
+    joined = rows.join(runs.hint("merge"), ["doc_id", "text_key"], "left").select(*[F.col(f"{held}.`{c}`").alias(c) for c in names], F.col("runs").alias(held))
     at, out_names = names.index(text_col), [*names, *([removed_col] if removed_col else [])]
 
     def run(parts):
