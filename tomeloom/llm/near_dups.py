@@ -241,7 +241,7 @@ def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PER
     """The documents that have the least id of their component, columns as given; of rows that share that id, all."""
     found = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col] == F.col("_kept_id"), "left_semi")
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
