@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,3 +35,12 @@ def stream_allowances(requests: DataFrame, capacity: int = CAPACITY, per_minute:
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "wait"])
 
     return requests.groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def collected(rows: DataFrame) -> DataFrame:
+    """Runs the stream over what its source holds now and gives the rows back, through a table in the shared folder."""
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
