@@ -102,7 +102,7 @@ def section_title(text: Column, item: Column) -> Column:
     wide = F.concat(F.lit("(?i)\\Aitem\\s+"), number, F.lit(f"\\.?\\s*[-{p.DASH}:.]?\\s*([^\\n]{{0,120}}?)\\s\\s"))
     prefix = F.concat(F.lit("(?i)\\Aitem\\s+"), number, F.lit("\\.?\\s*"))
     line = F.get(F.split(head, "\n", 2), F.lit(0))
-    return F.when(F.regexp_like(head, wide), strip(F.regexp_extract(head, wide, 1))).otherwise(strip(F.substring(F.regexp_replace(line, prefix, F.lit("")), 1, 80)))
+    return F.when(F.regexp_like(head, wide), strip(F.call_function("regexp_extract", head, wide, F.lit(1)))).otherwise(strip(F.substring(F.regexp_replace(line, prefix, F.lit("")), 1, 80)))
 
 
 def looks_asset_backed(raw_text: Column) -> Column:

@@ -96,24 +96,38 @@ def index_sections(filings: DataFrame) -> DataFrame:
     return first.select("filing_id", F.lit("index").alias("source"), place.alias("ord"), part_of(F.col("item_number")).alias("part"), "item_number", F.substring(title, 1, 120).alias("item_title"), content.alias("content_text"), index_status(ref).alias("status_hint"))
 
 
-def strategies(candidates: DataFrame) -> DataFrame:
-    """filing_id, source, n of the strategy that each filing takes.
+def _gathered(sections: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with its sections, in order, as an array: what is decided about them needs no second pass."""
+    rest = [c for c in SECTION if c not in ("filing_id", "ord")]
+    return sections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias("sections"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.select("filing_id", F.explode("sections").alias("s")).select("filing_id", "s.*").select(*SECTION)
+
+
+def _chosen(candidates: DataFrame) -> DataFrame:
+    """filing_id, source, sections, n by the strategy that each filing takes.
 
     A whole index first, then whole headings; else the most sections, ties in
     the order heading, index, title.
     """
-    counts = candidates.groupBy("filing_id", "source").agg(F.count("*").alias("n"))
+    rows = _gathered(candidates, "filing_id", "source").withColumn("n", F.size("sections"))
     whole = F.col("n") >= dims.WHOLE_FILING
     rank = F.when((F.col("source") == "index") & whole, 0).when((F.col("source") == "heading") & whole, 1).otherwise(2)
     order = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     best = Window.partitionBy("filing_id").orderBy(rank, F.when(rank == 2, -F.col("n")).otherwise(0), F.element_at(order, F.col("source")))
-    return counts.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    return rows.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+
+
+def strategies(candidates: DataFrame) -> DataFrame:
+    """filing_id, source, n of the strategy that each filing takes."""
+    return _chosen(candidates).select("filing_id", "source", "n")
 
 
 def pattern_sections(filings: DataFrame) -> DataFrame:
     """Sections by the strategy that each filing takes."""
-    every = heading_sections(filings).unionByName(index_sections(filings)).unionByName(title_sections(filings))
-    return every.join(strategies(every).select("filing_id", "source"), ["filing_id", "source"], "left_semi").select(*SECTION)
+    return _spread(_chosen(heading_sections(filings).unionByName(index_sections(filings)).unionByName(title_sections(filings))))
 
 
 def suspect_coverage(sections: DataFrame) -> DataFrame:
@@ -144,13 +158,16 @@ def library_sections(library: DataFrame) -> DataFrame:
 
 def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame) -> DataFrame:
     """Library sections, but pattern sections for a suspect filing (not asset-backed) that has strictly more of them."""
-    lib_n = suspect_coverage(library)
-    pat_n = patterns.groupBy("filing_id").agg(F.count("*").alias("n_pattern"))
-    chosen = filings.select("filing_id", "is_abs").join(lib_n, "filing_id", "left").join(pat_n, "filing_id", "left").select(
-        "filing_id", (~F.col("is_abs") & F.coalesce("suspect", F.lit(True)) & (F.coalesce("n_pattern", F.lit(0)) > F.coalesce("n", F.lit(0)))).alias("by_pattern")
-    )
-    keep = lambda rows, flag: rows.join(chosen.where(F.col("by_pattern") == flag).select("filing_id"), "filing_id", "left_semi")
-    return keep(library.select(*SECTION), False).unionByName(keep(patterns.select(*SECTION), True))
+    lib = _gathered(library.select(*SECTION), "filing_id")
+    pat = _gathered(patterns.select(*SECTION), "filing_id").withColumnRenamed("sections", "others")
+    rows = filings.select("filing_id", "is_abs").join(lib, "filing_id", "left").join(pat, "filing_id", "left")
+    n = F.coalesce(F.size("sections"), F.lit(0))
+    start = lambda x: F.substring(strip(F.coalesce(x["content_text"], F.lit(""))), 1, 500)
+    pairs = F.array_distinct(F.filter(F.transform("sections", lambda x: F.struct(start(x).alias("start"), x["item_number"].alias("item"))), lambda x: x["start"] != ""))
+    alike = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda x: x["start"])))
+    suspect = (n < dims.WHOLE_FILING) | F.coalesce(alike, F.lit(False))
+    by_pattern = ~F.col("is_abs") & suspect & (F.coalesce(F.size("others"), F.lit(0)) > n)
+    return _spread(rows.select("filing_id", F.when(by_pattern, F.col("others")).otherwise(F.col("sections")).alias("sections")))
 
 
 def document_order(sections: DataFrame) -> DataFrame:

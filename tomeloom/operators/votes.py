@@ -18,13 +18,13 @@ def tally(ballots: DataFrame, asked: DataFrame) -> DataFrame:
     key = ["filing_id", "item_number"]
     counts = ballots.where("value IS NOT NULL").groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("provider_pos").alias("first"))
     # one row a question: the tops by count, the votes by place
-    per = counts.groupBy(*key).agg(F.sum("n").alias("n_votes"), F.max("n").alias("n_top"), F.min_by(F.struct("value", "n"), "first").alias("earliest"), F.max_by("value", "n").alias("most"), F.collect_list("n").alias("ns"))
+    per = counts.groupBy(*key).agg(F.sum("n").alias("n_votes"), F.max("n").alias("top"), F.min_by(F.struct("value", "n"), "first").alias("earliest"), F.max_by("value", "n").alias("most"), F.collect_list("n").alias("ns"))
     rows = asked.join(per, key, "left")
-    tie = F.size(F.filter("ns", lambda x: x == F.col("n_top"))) > 1
+    tie = F.size(F.filter("ns", lambda x: x == F.col("top"))) > 1
     back = F.col("n_votes").isNull() | (tie & F.col("fallback").isNotNull())
     return rows.select(
         *key, F.when(back, F.col("fallback")).when(tie, F.col("earliest.value")).otherwise(F.col("most")).alias("pick"),
-        F.when(back, 0).when(tie, F.col("earliest.n")).otherwise(F.col("n_top")).alias("n_top"), F.coalesce("n_votes", F.lit(0)).alias("n_votes"), back.alias("fallback_used"),
+        F.when(back, 0).when(tie, F.col("earliest.n")).otherwise(F.col("top")).alias("n_top"), F.coalesce("n_votes", F.lit(0)).alias("n_votes"), back.alias("fallback_used"),
     )
 
 

@@ -7,8 +7,10 @@ which sections it has, and what stands in them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import dims
 from ..patterns import NBSP
@@ -68,7 +70,15 @@ FROM {documents}
 WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filings; raw_text goes through a generator, so that its long expression is computed once and not once a use."""
-    made = spark.sql(filings_sql("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return made.select(*[c for c in made.columns if c != "raw_text"], F.explode(F.array("raw_text")).alias("raw_text"))
+    """The filings, written once a session to the shared folder: every query reads them as a table, with its columns pruned."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='filings-')}"
+        path = f"{root.rstrip('/')}/filings-{uuid.uuid4().hex[:12]}"
+        spark.sql(filings_sql("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
