@@ -56,14 +56,14 @@ def heading_sections(filings: DataFrame) -> DataFrame:
 
 
 def title_spans(filings: DataFrame) -> DataFrame:
-    """filing_id, start, item_number, item_title of the last match of each item's titles; a later pattern wins at one place."""
-    def tagged(no: int, item: str, rx: str) -> Column:
-        return F.transform(spans(F.col("raw_text"), rx), lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("no"), F.lit(item).alias("item_number"), m["hit"].alias("hit")))
-
-    hits = F.concat(*[tagged(no, item, rx) for no, (item, rx) in enumerate(p.TITLE_PATTERNS)])
-    rows = filings.select("filing_id", F.explode(hits).alias("m")).select("filing_id", "m.*")
-    last = rows.groupBy("filing_id", "item_number").agg(F.max_by(F.struct("start", "hit"), F.struct("start", "no")).alias("m"))
-    return last.select("filing_id", F.col("m.start").alias("start"), "item_number", strip(F.col("m.hit")).alias("item_title"))
+    """filing_id, start, item_number, item_title of the last match of each item's titles.
+
+    One pass finds the matches of any title; which one it was is told from the few matches.
+    """
+    found = filings.select("filing_id", F.explode(spans(F.col("raw_text"), p.ANY_TITLE)).alias("m")).select("filing_id", "m.start", "m.hit")
+    which = F.coalesce(*[F.when(F.col("hit").rlike(rx), F.lit(item)) for item, rx in p.TITLE_PATTERNS])
+    last = found.withColumn("item_number", which).groupBy("filing_id", "item_number").agg(F.max_by("hit", "start").alias("hit"), F.max("start").alias("start"))
+    return last.select("filing_id", "start", "item_number", strip(F.col("hit")).alias("item_title"))
 
 
 def title_sections(filings: DataFrame) -> DataFrame:

@@ -20,13 +20,14 @@ INDEX_SPLIT = f"{ANY_SPACE}{{2,}}|\t+"
 INDEX_FOOTNOTE = "^\\([a-z]\\)(?:[, ]+[0-9]+)*$"
 
 
-def title_pattern(words: str, closed: bool) -> str:
+def _title(words: str, closed: bool) -> str:
     end = f"(?:[.:\\-{DASH}]{SPACE}+|{SPACE}*$)" if closed else ""
-    body = words.replace("[, ]", "[,\u0000]").replace(" ", f"{SPACE}+").replace("~", f"{SPACE}*").replace("\u0000", " ")
-    return f"(?im)^{SPACE}{{0,3}}{body}{end}"
+    return words.replace("[, ]", "[,\u0000]").replace(" ", f"{SPACE}+").replace("~", f"{SPACE}*").replace("\u0000", " ") + end
 
 
-TITLE_PATTERNS = tuple((item, title_pattern(words, closed)) for item, words, closed in dims.TITLES)
+TITLE_PATTERNS = tuple((item, f"(?im)^{SPACE}{{0,3}}{_title(words, closed)}") for item, words, closed in dims.TITLES)
+# No two titles share a first word, so at most one of them matches at a line start.
+ANY_TITLE = f"(?im)^{SPACE}{{0,3}}(?:{'|'.join(_title(words, closed) for _, words, closed in dims.TITLES)})"
 
 BLEED = f"(?i)Item{ANY_SPACE}+([0-9]+[A-C]?)\\."
 PART_HEADER = f"(?i)PART{ANY_SPACE}+(I{{1,4}}){ANY_SPACE}*Item{ANY_SPACE}+[0-9]+"
