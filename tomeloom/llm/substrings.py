@@ -38,26 +38,45 @@ SPAN = 50
 Q = 24
 SHARD_BYTES = 8 << 20
 ANCHOR_ONE_IN = 8
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18  # bytes whose identifiers fit the processor's cache
 _ZSTD = "zstd"
 ROWS = "shard int, kind int, bucket int, a binary, b binary"
 _NAMES = ["shard", "kind", "bucket", "a", "b"]
 TEXT, ASKED, ANSWER, STATE, OPEN = range(5)
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every offset on as a number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
+
+
+def _fold(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Identifier of the Q-grams made of three eights each."""
+    out = a * np.uint64(0x9E3779B97F4A7C15)
+    for part, k in ((b, 0xC2B2AE3D27D4EB4F), (c, 0x165667B19E3779F9)):
+        out ^= out >> np.uint64(29)
+        out += part
+        out *= np.uint64(k)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def _grams(buf: np.ndarray) -> np.ndarray:
     """Identifier of the Q-gram at every offset (len(buf) - Q + 1 of them)."""
-    n = len(buf) - Q + 1
-    padded = np.concatenate([buf, np.zeros(16, np.uint8)])
-    eight = np.empty((len(buf) + 7) // 8 * 8, np.uint64)
-    for r in range(8):
-        part = padded[r : r + len(eight)]
-        eight[r::8] = np.frombuffer(part[: len(part) // 8 * 8].tobytes(), "<u8")[: len(eight) // 8]
-    out = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for j, c in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9)):
-        out ^= out >> np.uint64(29)
-        out = (out + eight[j : j + n]) * np.uint64(c)
-    return _bytes.mix(out)
+    n, eight = len(buf) - Q + 1, _eights(buf)
+    return _fold(eight[:n], eight[8 : 8 + n], eight[16 : 16 + n])
+
+
+def _grams_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    rows = np.lib.stride_tricks.sliding_window_view(buf, Q)[at]
+    return _fold(*np.ascontiguousarray(rows).view("<u8").T.astype(np.uint64))
+
+
+def _distinct(*keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -69,57 +88,51 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(g) - width + 1], m[width - size : width - size + len(g) - width + 1]) if size < width else m
 
 
-class Chunk:
-    """Identifiers of the strings of some documents laid end to end."""
-
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, span: int):
-        n = len(buf)
-        self.buf, self.span = buf, span
-        size = np.diff(offs)
-        self.valid = np.zeros(n, bool)  # offsets where a string starts
-        edge = np.zeros(n + 1, np.int64)
-        long = size >= span
-        np.add.at(edge, offs[:-1][long], 1)
-        np.add.at(edge, offs[1:][long] - span + 1, -1)
-        self.valid = np.cumsum(edge[:n]) > 0
-        self.starts = np.flatnonzero(self.valid)
-        self.run_start = self.run_key = self.run_len = np.zeros(0, np.int64)
-        self.seg_start = self.seg_end = np.zeros(0, np.int64)
-        self.seg_key = np.zeros(0, np.uint64)
-        if not len(self.starts):
-            self.grams = np.zeros(0, np.uint64)
-            return
-        self.grams = _grams(buf)
-        least = _least(self.grams, span - Q + 1)
-        # runs of strings with the same least q-gram; a document's first string starts one
-        v = least[self.starts]
-        first = np.ones(len(v), bool)
-        new_doc = np.ones(len(v), bool)
-        new_doc[1:] = self.starts[1:] != self.starts[:-1] + 1
-        doc_of = np.searchsorted(offs, self.starts, "right")
-        new_doc[1:] |= doc_of[1:] != doc_of[:-1]
-        first[1:] = (v[1:] != v[:-1]) | new_doc[1:]
-        at = np.flatnonzero(first)
-        self.run_start, self.run_key = self.starts[at], _bytes.mix(v[at])
-        self.run_first, self.run_len = at, np.diff(np.append(at, len(v)))
-        # stretches: from a document's first string or an anchor to the next
-        cut = at[new_doc[at] | (self.run_key % np.uint64(ANCHOR_ONE_IN) == 0)]
-        self.seg_start = self.starts[cut]
-        last = np.append(cut[1:], len(v)) - 1
-        self.seg_end = self.starts[last] + 1
-        self.seg_key = _bytes.mix(_bytes.span_hash(_bytes.prefix_hash(buf), self.seg_start, self.seg_end + span - 1) + (self.seg_end - self.seg_start).astype(np.uint64))
-
-    def spread(self, by_run: np.ndarray) -> np.ndarray:
-        """A flag of each run as a mask over the chunk's offsets."""
-        out = np.zeros(len(self.buf), bool)
-        out[self.starts] = np.repeat(by_run, self.run_len)
-        return out
+class Runs:
+    """First buckets and stretches of the strings of some documents laid end to end.
 
-    def string_keys(self, at: np.ndarray) -> np.ndarray:
-        """The refined identifiers of the strings that start at the given offsets."""
-        g = self.grams
-        two = _bytes.mix(g[at] * np.uint64(0xC2B2AE3D27D4EB4F) + g[at + Q])
-        return _bytes.mix(two * np.uint64(0xC2B2AE3D27D4EB4F) + g[at + self.span - Q])
+    A run is a row of strings with the same least q-gram; a stretch reaches from
+    a document's first string or an anchor to the next.
+    """
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, span: int, stretches: bool):
+        none = np.zeros(0, np.int64)
+        self.start = self.length = self.seg_start = self.seg_end = none
+        self.key = self.seg_key = none.astype(np.uint64)
+        long = np.diff(offs) >= span
+        if not long.any():
+            return
+        least = _least(_grams(buf), span - Q + 1)
+        # offsets where a string starts; a document's first one starts a run
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[offs[:-1][long]] += 1
+        edge[offs[1:][long] - span + 1] -= 1
+        valid = np.cumsum(edge[:-1], dtype=np.int8).view(bool)[: len(least)]
+        head = np.zeros(len(least), bool)
+        head[1:] = least[1:] != least[:-1]
+        head[offs[:-1][long]] = True
+        self.start = np.flatnonzero(head & valid)
+        end = np.append(self.start[1:], len(least))
+        doc_end = offs[1:][long] - span + 1
+        new_doc = np.zeros(len(self.start), bool)
+        first = np.searchsorted(self.start, offs[:-1][long])
+        new_doc[first] = True
+        end[np.append(first[1:], len(self.start)) - 1] = doc_end
+        self.length = end - self.start
+        self.key = _bytes.mix(least[self.start])
+        if stretches:
+            cut = np.flatnonzero(new_doc | (self.key % np.uint64(ANCHOR_ONE_IN) == 0))
+            self.seg_start, self.seg_end = self.start[cut], end[np.append(cut[1:], len(self.start)) - 1]
+            size = (self.seg_end - self.seg_start).astype(np.uint64)
+            self.seg_key = _bytes.mix(_bytes.span_hash(_bytes.prefix_hash(buf), self.seg_start, self.seg_end + span - 1) + size)
+
+
+def _spread(flags: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Mask of n offsets that the flagged ranges cover; ranges may meet but don't overlap."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[start[flags]] += 1
+    edge[end[flags]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
 
 
 class Shard:
@@ -147,14 +160,30 @@ class Shard:
         a = pa.compress(self.buf.tobytes(), _ZSTD, asbytes=True) if len(self.buf) else b""
         return a, np.concatenate([self.ids, self.offs]).astype(np.int64).tobytes()
 
-    def chunks(self):
-        """(first document, offset of the chunk, Chunk) one after the other."""
-        i, n = 0, len(self.ids)
+    def runs(self, stretches: bool = True) -> Runs:
+        """The runs of all documents, found some documents at a time."""
+        parts, i, n = [], 0, len(self.ids)
         while i < n:
             j = min(n, max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + _CHUNK, "right")) - 1))
             lo = int(self.offs[i])
-            yield i, lo, Chunk(self.buf[lo : self.offs[j]], self.offs[i : j + 1] - lo, self.span)
+            part = Runs(self.buf[lo : self.offs[j]], self.offs[i : j + 1] - lo, self.span, stretches)
+            part.start, part.seg_start, part.seg_end = part.start + lo, part.seg_start + lo, part.seg_end + lo
+            parts.append(part)
             i = j
+        out = Runs(np.zeros(0, np.uint8), np.zeros(1, np.int64), self.span, stretches)
+        for name in ("start", "length", "key", "seg_start", "seg_end", "seg_key"):
+            setattr(out, name, np.concatenate([getattr(out, name), *[getattr(p, name) for p in parts]]))
+        return out
+
+    def string_keys(self, at: np.ndarray) -> np.ndarray:
+        """The refined identifiers of the strings that start at the given offsets."""
+        out = [np.zeros(0, np.uint64)]
+        for i in range(0, len(at), _CHUNK):
+            part = at[i : i + _CHUNK]
+            one, two, three = (_grams_at(self.buf, part + k) for k in (0, Q, self.span - Q))
+            half = _bytes.mix(one * np.uint64(0xC2B2AE3D27D4EB4F) + two)
+            out.append(_bytes.mix(half * np.uint64(0xC2B2AE3D27D4EB4F) + three))
+        return np.concatenate(out)
 
     def doc_rank(self, at: np.ndarray) -> np.ndarray:
         """Rank of the id of the document that holds each offset of the shard; equal ids, equal rank."""
@@ -248,15 +277,6 @@ def _wanted(rows):
     return _arrow(out)
 
 
-def _gather(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct identifiers of first buckets and of stretches."""
-    runs, segs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for _, _, c in shard.chunks():
-        runs.append(np.unique(c.run_key.astype(np.uint64)))
-        segs.append(c.seg_key)
-    return np.unique(np.concatenate(runs)), np.unique(np.concatenate(segs))
-
-
 def _rows_of(rows: pa.Table) -> tuple[int, dict[int, tuple[bytes, bytes]], dict[int, tuple[bytes, bytes]]]:
     """Shard number, rows by kind (text and state), replies by bucket."""
     single, replies = {}, {}
@@ -268,47 +288,18 @@ def _rows_of(rows: pa.Table) -> tuple[int, dict[int, tuple[bytes, bytes]], dict[
     return rows.column("shard")[0].as_py(), single, replies
 
 
-def _per_chunk(shard: Shard, key: str, start: str) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of all chunks, and where in the shard they start."""
-    keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, lo, c in shard.chunks():
-        keys.append(getattr(c, key).astype(np.uint64))
-        at.append(getattr(c, start) + lo)
-    return np.concatenate(keys), np.concatenate(at)
-
-
 def _settle(shard: Shard, buckets: int, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which strings are repeats by their stretch, which are still open, and the open ones' first buckets."""
-    runs, segs = _gather(shard)
+    found = shard.runs()
+    runs, segs = _distinct(found.key), _distinct(found.seg_key)
     run_seen, seg_seen = _answers(runs, segs, buckets, replies)
-    keys, at = _per_chunk(shard, "run_key", "run_start")
-    local_r = _seen_within(keys, shard.doc_rank(at)) | run_seen[np.searchsorted(runs, keys)]
-    keys, at = _per_chunk(shard, "seg_key", "seg_start")
-    local_s = _seen_within(keys, shard.doc_rank(at)) | seg_seen[np.searchsorted(segs, keys)]
-    done, open_ = np.zeros(len(shard.buf), bool), np.zeros(len(shard.buf), bool)
-    open_keys, i, j = [np.zeros(0, np.uint64)], 0, 0
-    for _, lo, c in shard.chunks():
-        seen_r, seen_s = local_r[i : i + len(c.run_start)], local_s[j : j + len(c.seg_start)]
-        i, j = i + len(c.run_start), j + len(c.seg_start)
-        if not len(c.starts):
-            continue
-        edge = np.zeros(len(c.buf) + 1, np.int64)
-        edge[c.seg_start[seen_s]] += 1
-        np.add.at(edge, c.seg_end[seen_s], -1)
-        by_stretch = np.cumsum(edge[:-1]) > 0
-        mine = c.spread(seen_r) & ~by_stretch
-        done[lo : lo + len(c.buf)], open_[lo : lo + len(c.buf)] = by_stretch, mine
-        open_keys.append(c.run_key[np.logical_or.reduceat(mine[c.starts], c.run_first)])
-    return done, open_, np.unique(np.concatenate(open_keys))
-
-
-def _string_keys(shard: Shard, mask: np.ndarray) -> np.ndarray:
-    keys = [np.zeros(0, np.uint64)]
-    for _, lo, c in shard.chunks():
-        at = np.flatnonzero(mask[lo : lo + len(c.buf)])
-        if len(at):
-            keys.append(c.string_keys(at))
-    return np.concatenate(keys)
+    in_runs = _seen_within(found.key, shard.doc_rank(found.start)) | run_seen[np.searchsorted(runs, found.key)]
+    in_segs = _seen_within(found.seg_key, shard.doc_rank(found.seg_start)) | seg_seen[np.searchsorted(segs, found.seg_key)]
+    n = len(shard.buf)
+    done = _spread(in_segs, found.seg_start, found.seg_end, n)
+    open_ = _spread(in_runs, found.start, found.start + found.length, n) & ~done
+    still = np.logical_or.reduceat(open_, found.start) & in_runs if len(found.start) else in_runs
+    return done, open_, _distinct(found.key[still])
 
 
 def _pack_masks(*masks: np.ndarray) -> list[bytes]:
@@ -330,7 +321,8 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
 
     def cut_up(key, group):
         number, shard = key[0].as_py(), Shard.from_rows(group, span)
-        return _arrow([(number, TEXT, -1, *shard.pack()), *_ask(number, *_gather(shard), buckets)])
+        found = shard.runs()
+        return _arrow([(number, TEXT, -1, *shard.pack()), *_ask(number, _distinct(found.key), _distinct(found.seg_key), buckets)])
 
     first = scratch.put(dealt.groupBy("shard").applyInArrow(cut_up, ROWS), "shards")
     texts = first.where(F.col("kind") == TEXT)
@@ -352,14 +344,11 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         number, single, got = _rows_of(group)
         shard = Shard.unpack(*single[TEXT], span)
         done, open_ = _masks(single[STATE], len(shard.buf))
-        runs, _ = _gather(shard)
+        found = shard.runs(stretches=False)
+        runs = _distinct(found.key)
         asked, _ = _answers(runs, runs[:0], buckets, got)
-        part = open_.copy()
-        for _, lo, c in shard.chunks():
-            if len(c.starts):
-                part[lo : lo + len(c.buf)] |= c.spread(asked[np.searchsorted(runs, c.run_key)])
-        part &= ~done
-        keys = np.unique(_string_keys(shard, part))
+        part = (open_ | _spread(asked[np.searchsorted(runs, found.key)], found.start, found.start + found.length, len(open_))) & ~done
+        keys = _distinct(shard.string_keys(np.flatnonzero(part)))
         return _arrow([(number, STATE, -1, *_pack_masks(done, part)), *_ask(number, keys[:0], keys, buckets)])
 
     state = settled.where(F.col("kind") == STATE)
@@ -371,8 +360,9 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         _, single, got = _rows_of(group)
         shard = Shard.unpack(*single[TEXT], span)
         repeat, part = _masks(single[STATE], len(shard.buf))
-        keys, at = _string_keys(shard, part), np.flatnonzero(part)
-        distinct = np.unique(keys)
+        at = np.flatnonzero(part)
+        keys = shard.string_keys(at)
+        distinct = _distinct(keys)
         _, seen = _answers(distinct[:0], distinct, buckets, got)
         if len(at):
             repeat[at] |= _seen_within(keys, shard.doc_rank(at)) | seen[np.searchsorted(distinct, keys)]
