@@ -18,9 +18,9 @@ compared with probability 1 - (1 - s^6)^40: 0.999995 at 0.8, 1 - 6e-9 at 0.85.
 
 Defined cases: null and empty texts have the empty set and are linked with
 nothing; fewer words than a shingle make one shingle; rows without an id are
-left out; rows that share an id are one document with several texts; an empty
-table gives no rows; other columns are ignored here and passed through by
-``keep_one_of_each``.
+left out; rows that share an id are one document, so their texts are linked
+(but for empty ones); an empty table gives no rows; other columns are ignored
+here and passed through by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -194,6 +194,12 @@ def _late_blocks(apart: DataFrame, texts: DataFrame, scratch: Scratch, k: int, p
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _same_id(signed: DataFrame) -> DataFrame:
+    """a, b: classes of texts that share an id."""
+    several = signed.groupBy("doc_id").agg(F.min("set_key").alias("b"), F.max("set_key").alias("hi")).where("b <> hi")
+    return signed.join(several.select("doc_id", "b"), "doc_id").where("set_key <> b").select(F.col("set_key").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that a document is linked with, over any number of links."""
     scratch = Scratch(docs.sparkSession, "neardups")
@@ -216,7 +222,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     first = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).union(members.where("node <> head AND node <> tail").select("node", "tail"))
     first = scratch.put(first.distinct(), "first")
     links = scratch.put(_linked(first, texts, k, percent), "links")
-    nodes = wanted.select("node", F.col("doc_id").alias("start"))
+    same = scratch.put(_same_id(signed), "same")
+    links = links.unionByName(same)
+    tied = same.select(F.col("a").alias("node")).union(same.select("b")).distinct().join(wanted, "node", "left_anti")
+    nodes = wanted.select("node", F.col("doc_id").alias("start")).unionByName(tied.join(classes, "node").select("node", "start"))
     labels = components(nodes, links, scratch, "merge")
 
     # members of a bucket that are still apart
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     # a class that met no other one has the class's least id
     whole = scratch.put(classes.select(F.col("node").alias("set_key"), "start").join(joined, "set_key", "left").select("set_key", F.coalesce("component", "start").alias("component")), "whole")
     found = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    scratch.drop("classes", "buckets", "members", "wanted", "texts", "first", "links", "placed", "mixed", "apart", "rest", "late", "blocks", "late-labels", "components")
+    scratch.drop("classes", "buckets", "members", "wanted", "texts", "first", "links", "same", "placed", "mixed", "apart", "rest", "late", "blocks", "late-labels", "components")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
