@@ -11,6 +11,7 @@ from .fingerprint import op7_document_fingerprints
 from .html_text import op4_html_text
 from .lines import op2_line_dedup
 from .near_dups import op1_near_dups
+from .oracles import ORACLE_SQL
 from .packing import op8_best_fit_packing
 from .quality import op5_quality
 from .secrets import op10_secret_scan
@@ -29,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -36,15 +36,16 @@ class Kind:
     pattern: str
     value_group: int = 0
     value_least: int = 0
+    needs: tuple[str, ...] = ()  # what a match must hold besides
 
 
 KINDS = (
     Kind("assign", "key", False, ASSIGN, 2, ASSIGN_LEAST),
     Kind("access", "id", False, ACCESS),
     Kind("hex", "key", False, HEX),
-    Kind("login", "id", True, r"""(?i)(?<![a-z])(user|username|user_?id|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})"""),
-    Kind("key", "key", True, r"""(?i)(?<![a-z])(pass|pwd|password|passwd|passphrase|secret|secret_?key|token|auth|credential|private_?key|signature)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""),
-    Kind("opaque", "key", True, r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{24,}={0,2}"),
+    Kind("login", "id", True, r"""(?i)\b(user|username|user_?id|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})"""),
+    Kind("key", "key", True, r"""(?i)\b(pass|pwd|password|passwd|passphrase|secret|secret_?key|token|auth|credential|private_?key|signature)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""),
+    Kind("opaque", "key", True, r"[A-Za-z0-9+/]{24,}={0,2}", needs=("[0-9]", "[A-Z]", "[a-z]")),
     Kind("endpoint", "end", True, r"""(?i)\b(?:https?|ftp|s3|jdbc:[a-z]{2,12}|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|server|endpoint|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?"""),
 )
 SCOPE = 200
@@ -65,6 +66,8 @@ def _spans(text: Column, kind_no: int, kind: Kind) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         keep = x["hit"].isNotNull() & (F.length(x["value"]) >= kind.value_least)
+        for must in kind.needs:
+            keep = keep & x["hit"].rlike(must)
         span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
