@@ -165,7 +165,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_group(capacity: int, last: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         """Adds bin, offset and whether the piece is given up; old_bin < 0 in the first round."""
         pdf = pdf.drop(columns="group").sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
