@@ -80,16 +80,23 @@ _W = "[\\p{L}\\p{N}_]"
 NA_TAIL = f"(?is)^[A-Za-z][\\p{{L}}\\p{{N}}_\\s{p.NBSP},\\-'’&/().]{{0,200}}?(?:not{p.ANY_SPACE}+applicable|none)\\.?{p.ANY_SPACE}*$"
 _BODY = strip(f"regexp_replace(replace(content_text, {q(p.NBSP)}, ' '), {q(p.ITEM_PREFIX)}, '')")
 _IBR = q(p.BY_REFERENCE)
-STATUS = f"""{SECTIONS},
-bodies AS (SELECT *, {_BODY} AS body, regexp_extract_all(content_text, {_IBR}) AS refs FROM sections),
-classified AS (SELECT filing_id, ord, part, item_number, item_title, content_text, CASE
+
+
+def statuses(name: str, source: str) -> str:
+    """CTEs that give the source's sections their status; a hint goes first."""
+    return f"""{name}_b AS (SELECT *, {_BODY} AS body, regexp_extract_all(content_text, {_IBR}) AS refs FROM {source}),
+{name} AS (SELECT filing_id, ord, part, item_number, item_title, content_text, CASE
+ WHEN status_hint <> '' THEN status_hint
  WHEN length(body) < 300 AND regexp_matches(body, {q(p.RESERVED)}) THEN 'reserved'
  WHEN length(body) < 250 AND (regexp_matches(body, {q(p.NOT_APPLICABLE)}) OR regexp_matches(body, {q(NA_TAIL)})) THEN 'not_applicable'
  WHEN len(refs) > 0 AND regexp_matches(content_text, {q(p.REMAINING)}) THEN 'partial'
  WHEN len(refs) > 0 AND (length(content_text) < 400 OR list_sum(list_transform(refs, lambda x: length(x))) > length(content_text) * 0.30) THEN 'incorporated_by_reference'
  WHEN len(refs) > 0 THEN 'partial'
  WHEN regexp_matches(content_text, {q(p.SEE_PROXY)}) AND length(content_text) < 600 THEN 'incorporated_by_reference'
- ELSE 'extracted' END AS status FROM bodies)"""
+ ELSE 'extracted' END AS status FROM {name}_b)"""
+
+
+STATUS = f"{SECTIONS}, hinted AS (SELECT *, NULL AS status_hint FROM sections), {statuses('classified', 'hinted')}"
 COVER = f"""covers AS (SELECT filing_id, regexp_extract(split_part(raw_text, 'DOCUMENTS INCORPORATED BY REFERENCE', 2), {q('(?is)(19[89][0-9]|20[0-9]{2})' + p.ANY_SPACE + '+(?:annual' + p.ANY_SPACE + '+meeting|proxy' + p.ANY_SPACE + '+statement|definitive' + p.ANY_SPACE + '+proxy)')}, 1) AS y FROM filings WHERE contains(raw_text, 'DOCUMENTS INCORPORATED BY REFERENCE')),
 cover AS (SELECT filing_id, CAST(y AS BIGINT) AS expected_year FROM covers WHERE y <> '')"""
 _DUE = " UNION ALL ".join(
@@ -223,6 +230,12 @@ SELECT k AS o_orderkey, ok AS cik_ok, k % 5 <> 0 AS accession_ok, CASE WHEN ok T
     "catalogue_merge": f"""WITH {FILINGS}, r AS (SELECT *, 'f-' || filing_id AS slug, filing_id IN (SELECT doc_id FROM labels) AS known FROM filings WHERE form_type IN ('10-K', '10-K/A', '10-K405'))
 SELECT CAST(CASE WHEN known THEN 0 ELSE 1 END AS BIGINT) AS ord, slug, CASE slug WHEN 'f-0' THEN 'First filing' WHEN 'f-1' THEN 'Second filing' WHEN 'f-4' THEN 'Fifth filing' ELSE slug END AS label, cik, accession, CASE WHEN filing_id % 3 <> 0 THEN form_type ELSE '10-K' END AS form_type, strftime(period_ending, '%Y-%m-%d') AS period_ending,
  CASE WHEN known AND slug = 'f-0' THEN 'a note' WHEN known AND slug = 'f-9' THEN 'another note' WHEN filing_id % 2 = 0 THEN 'even' ELSE '' END AS characteristic, CASE WHEN known THEN 'gold' ELSE 'silver' END AS source FROM r""",
+    "extraction": f"""WITH {STRATEGY}, {COVER}, due AS ({_DUE}),
+chosen AS (SELECT s.*, NULL AS status_hint FROM sections s JOIN strategy t ON t.filing_id = s.filing_id AND t.source = 'heading' UNION ALL SELECT s.* FROM indexed s JOIN strategy t ON t.filing_id = s.filing_id AND t.source = 'index' UNION ALL SELECT s.*, NULL FROM titles s JOIN strategy t ON t.filing_id = s.filing_id AND t.source = 'title'),
+{statuses('typed', 'chosen')}, odd AS (SELECT filing_id FROM filings WHERE {ABS})
+SELECT t.filing_id, row_number() OVER (PARTITION BY t.filing_id ORDER BY t.part, CAST(regexp_extract(t.item_number, '^([0-9]+)', 1) AS INT), regexp_extract(t.item_number, '([A-Z]?)$', 1)) - 1 AS ord, CAST(t.part AS BIGINT) AS part, t.item_number, t.status, d.item_number IS NOT NULL AS applicable_in_era, CASE WHEN t.status IN ('incorporated_by_reference', 'partial') THEN v.expected_year END AS expected_year
+FROM typed t LEFT JOIN due d ON d.filing_id = t.filing_id AND d.item_number = t.item_number LEFT JOIN cover v ON v.filing_id = t.filing_id WHERE t.filing_id NOT IN (SELECT filing_id FROM odd)
+UNION ALL SELECT filing_id, 0, 0, 'abs', 'non_standard', false, NULL FROM odd UNION ALL SELECT filing_id, -1, 0, 'cover', 'incorporated_by_reference', true, expected_year FROM cover""",
     "parts_grouped": f"""WITH {STATUS} SELECT filing_id, ['I', 'II', 'III', 'IV'][part] AS part, count(*) AS n, string_agg(concat_ws('|', item_number, status, {_HTML('substring(item_title, 1, 40)')}, CASE WHEN length(content_text) > 150 THEN 'true' ELSE 'false' END), ';' ORDER BY ord) AS lines FROM classified GROUP BY 1, 2""",
     "date_coercion": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders) SELECT o_orderkey, coalesce(d, '1900-01-01') AS day, coalesce(d, '') AS shown, CAST(substring(d, 1, 4) AS BIGINT) AS fiscal_year FROM t",
     "conversation_turns": "WITH g AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS gap FROM conversations) SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, max(gap) AS widest_gap FROM g GROUP BY 1",

@@ -20,6 +20,7 @@ from ..operators import align, evaluate, facts, limits, segment, votes
 from ..sources import filings as src
 from ..streaming import limiter
 from .corpus import filings
+from .extract import due_items, extract, items
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,10 +158,8 @@ def cover_reference(spark, sf_dir):
 
 
 def applicable(f: DataFrame) -> DataFrame:
-    """filing_id, part, item_number of the items that the filing's dates call for; the catalogue is a constant array in each row."""
-    introduced = {n: (day, on) for n, day, on in dims.INTRODUCED}
-    known = [F.when(c(introduced[n][1]) >= F.lit(introduced[n][0]).cast("date") if n in introduced else F.lit(True), F.struct(F.lit(part).cast("long").alias("part"), F.lit(n).alias("item_number"))) for n, part, _ in dims.ITEMS]
-    return f.select("filing_id", F.explode(F.array_compact(F.array(*known))).alias("i")).select("filing_id", "i.*")
+    """filing_id, part, item_number of the items that the filing's dates call for."""
+    return f.select("filing_id", F.explode(due_items()).alias("i")).select("filing_id", c("i.part").cast("long").alias("part"), "i.item_number")
 
 
 def dated(spark, sf_dir) -> DataFrame:
@@ -509,6 +508,20 @@ def page_headings(spark, sf_dir):
     return rows.select("page_id", c("m.start").cast("long").alias("start"), F.regexp_replace("m.hit", "</?h1>", "").alias("heading"))
 
 
+@query
+def extraction(spark, sf_dir):
+    """The whole extraction: sections by the strategy that fits, typed and flagged, behind cover and placeholder rows."""
+    rows = items(filings(spark, sf_dir))
+    return rows.select("filing_id", *big("ord", "part"), "item_number", "status", "applicable_in_era", c("references.expected_year").cast("long").alias("expected_year"))
+
+
+@query
+def extraction_documents(spark, sf_dir):
+    """The nested results, reduced to what each holds."""
+    docs = extract(filings(spark, sf_dir), library(spark, sf_dir))
+    return docs.select("filing_id", F.size("items").cast("long").alias("items"), F.size(F.filter("items", lambda x: x["char_range_text"].isNotNull())).cast("long").alias("aligned"), F.length(F.to_json("items")).cast("long").alias("json_chars"))
+
+
 @query
 def flagship(spark, sf_dir):
     """How many sections of each status the filings hold, and how long they are."""
