@@ -19,6 +19,11 @@ SECTION = ("filing_id", "source", "ord", "part", "item_number", "item_title", "c
 PRIORITY = {"heading": 1, "index": 2, "title": 3}
 
 
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once, however often it is used: the optimizer doesn't copy what a generator makes."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def heading_spans(filings: DataFrame) -> DataFrame:
     """filing_id, start, end, item_number, title of every heading with a valid item number; raw_text stays out."""
     found = filings.select("filing_id", F.explode(spans(F.col("raw_text"), p.HEADING)).alias("m"))
@@ -45,7 +50,8 @@ def _sliced(picks: DataFrame, filings: DataFrame, source: str) -> DataFrame:
     rows = rows.select("filing_id", "raw_text", "picks", F.posexplode("picks").alias("ord", "pick"))
     end = F.coalesce(F.get("picks", F.col("ord") + 1)["start"], F.length("raw_text"))
     body = strip(F.substring("raw_text", F.col("pick.start") + 1, end - F.col("pick.start")))
-    rows = rows.select("filing_id", F.lit(source).alias("source"), "ord", F.col("pick.item_number").alias("item_number"), F.substring("pick.item_title", 1, 120).alias("item_title"), body.alias("content_text"))
+    rows = held(rows, "content_text", body)
+    rows = rows.select("filing_id", F.lit(source).alias("source"), "ord", F.col("pick.item_number").alias("item_number"), F.substring("pick.item_title", 1, 120).alias("item_title"), "content_text")
     return rows.where(F.length("content_text") >= dims.SHORTEST_SECTION).select("filing_id", "source", "ord", part_of(F.col("item_number")).alias("part"), "item_number", "item_title", "content_text", F.lit(None).cast("string").alias("status_hint"))
 
 
@@ -145,10 +151,13 @@ def library_sections(library: DataFrame) -> DataFrame:
     Keyed sections come first; a label is taken for an item that none has, the
     first of repeated ones.
     """
-    keyed = library.select("filing_id", F.posexplode("keyed").alias("ord", "s")).select("filing_id", "ord", strip(F.col("s.key")).alias("key"), bleed_trimmed(strip(F.col("s.text"))).alias("content_text"))
+    def texts(kind: str) -> DataFrame:
+        rows = library.select("filing_id", F.posexplode(kind).alias("ord", "s")).select("filing_id", "ord", strip(F.col("s.key")).alias("key"), F.col("s.key").alias("label"), F.col("s.text").alias("text"))
+        return held(held(rows, "text", strip(F.col("text"))), "content_text", bleed_trimmed(F.col("text")))
+
     number = F.create_map(*[F.lit(x) for x in ("i", 1, "ii", 2, "iii", 3, "iv", 4)])
-    keyed = keyed.where(F.col("key").rlike(p.SECTION_KEY) & (F.col("content_text") != "")).select("filing_id", "ord", F.element_at(number, F.lower(F.regexp_extract("key", p.SECTION_KEY, 1))).alias("part"), F.upper(F.regexp_extract("key", p.SECTION_KEY, 2)).alias("item_number"), "content_text")
-    labelled = library.select("filing_id", F.posexplode("labelled").alias("ord", "s")).select("filing_id", "ord", F.upper(first_group(F.col("s.key"), p.ITEM_LABEL, 1)).alias("item_number"), bleed_trimmed(strip(F.col("s.text"))).alias("content_text"))
+    keyed = texts("keyed").where(F.col("key").rlike(p.SECTION_KEY) & (F.col("content_text") != "")).select("filing_id", "ord", F.element_at(number, F.lower(F.regexp_extract("key", p.SECTION_KEY, 1))).alias("part"), F.upper(F.regexp_extract("key", p.SECTION_KEY, 2)).alias("item_number"), "content_text")
+    labelled = texts("labelled").select("filing_id", "ord", F.upper(first_group(F.col("label"), p.ITEM_LABEL, 1)).alias("item_number"), "content_text")
     labelled = labelled.where("item_number IS NOT NULL AND content_text <> ''").join(keyed, ["filing_id", "item_number"], "left_anti")
     once = Window.partitionBy("filing_id", "item_number").orderBy("ord")
     labelled = labelled.withColumn("n", F.row_number().over(once)).where("n = 1").select("filing_id", (F.col("ord") + 1000).alias("ord"), part_of(F.col("item_number")).alias("part"), "item_number", "content_text")

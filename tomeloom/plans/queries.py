@@ -112,7 +112,7 @@ def library_sections_merge(spark, sf_dir):
 def bleed_trim(spark, sf_dir):
     """Library texts cut where the next section begins."""
     rows = library(spark, sf_dir).select("filing_id", F.explode("keyed").alias("s")).select("filing_id", "s.key", F.explode(F.array(c("s.text"))).alias("text"))
-    return rows.select("filing_id", "key", tx.bleed_trimmed(tx.strip(c("text"))).alias("content_text"))
+    return segment.held(rows, "text", tx.strip(c("text"))).select("filing_id", "key", tx.bleed_trimmed(c("text")).alias("content_text"))
 
 
 @query
