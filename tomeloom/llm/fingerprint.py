@@ -67,7 +67,7 @@ def document_sketches(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: int = F
     return doc_rows(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text"), k, fraction).alias("sketch"))
 
 
-def id_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Column | None:
+def id_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_BUCKETS) -> Column | None:
     """An expression that numbers contiguous ranges of doc_id of about equal row counts; None for no rows.
 
     A grid of CELLS equal cells is counted, and each cell is cut evenly into as
@@ -78,7 +78,7 @@ def id_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Column | Non
         return None
     width = max((float(hi) - float(lo)) / CELLS, 1.0)
     cell = F.least(F.floor((F.col("doc_id").cast("double") - float(lo)) / width), F.lit(CELLS - 1)).cast("int")
-    wanted = min(MOST_BUCKETS, max(shuffle_partitions(docs.sparkSession), -(-int(size) // bucket_bytes)))
+    wanted = min(most, max(shuffle_partitions(docs.sparkSession), -(-int(size) // bucket_bytes)))
     counts = dict(docs.groupBy(cell.alias("cell")).count().collect())
     parts = [max(1, round(counts.get(c, 0) * wanted / n)) if c in counts else 0 for c in range(CELLS)]
     # cells with few rows share a number: running totals are rounded down

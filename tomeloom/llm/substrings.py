@@ -37,6 +37,7 @@ from .fingerprint import id_ranges
 SPAN = 50
 Q = 24
 SHARD_BYTES = 8 << 20
+MOST_SHARDS = 1 << 30  # a shard's size is bounded, their number grows with the input
 ANCHOR_ONE_IN = 8
 _CHUNK = 1 << 18  # bytes whose identifiers fit the processor's cache
 _ZSTD = "zstd"
@@ -204,32 +205,29 @@ def _seen_within(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of sorted 64-bit keys begins, and the end."""
-    bounds = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit key; it doesn't fall as keys rise."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _ask(shard: int, short: np.ndarray, full: np.ndarray, buckets: int, kind: int = ASKED) -> list[tuple]:
-    """Rows that ask, bucket by bucket, which identifiers an earlier shard has; of the short ones 32 bits beside the bucket's own."""
-    cut_s, cut_f = _bucket_cuts(short, buckets), _bucket_cuts(full, buckets)
+    """Rows that ask, for each bucket that has any, which identifiers an earlier shard has; of the short ones 32 bits beside the bucket's own."""
+    in_s, in_f = _bucket_of(short, buckets), _bucket_of(full, buckets)
     low = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return [
-        (shard, kind, b, low[cut_s[b] : cut_s[b + 1]].tobytes(), full[cut_f[b] : cut_f[b + 1]].tobytes())
-        for b in range(buckets)
-        if cut_s[b] < cut_s[b + 1] or cut_f[b] < cut_f[b + 1]
-    ]
+    present = np.union1d(in_s, in_f)
+    cuts = [np.searchsorted(x, present, side).tolist() for x in (in_s, in_f) for side in ("left", "right")]
+    return [(shard, kind, b, low[s0:s1].tobytes(), full[f0:f1].tobytes()) for b, s0, s1, f0, f1 in zip(present.tolist(), *cuts, strict=True)]
 
 
 def _answers(short: np.ndarray, full: np.ndarray, buckets: int, replies: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For sorted identifiers, whether an earlier shard has them."""
     out = []
     for which, keys in enumerate((short, full)):
-        cut, seen = _bucket_cuts(keys, buckets), np.zeros(len(keys), bool)
+        bucket, seen = _bucket_of(keys, buckets), np.zeros(len(keys), bool)
         for b, bits in replies.items():
-            n = int(cut[b + 1] - cut[b])
-            if n:
-                seen[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits[which], np.uint8), count=n).astype(bool)
+            lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+            if lo < hi:
+                seen[lo:hi] = np.unpackbits(np.frombuffer(bits[which], np.uint8), count=hi - lo).astype(bool)
         out.append(seen)
     return out[0], out[1]
 
@@ -314,7 +312,7 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document."""
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = doc_rows(docs, id_col, text_col)
-    ranges = id_ranges(rows, SHARD_BYTES)
+    ranges = id_ranges(rows, SHARD_BYTES, most=MOST_SHARDS)
     dealt = rows.withColumn("shard", F.lit(0) if ranges is None else ranges)
     top = dealt.agg(F.max("shard")).first()[0]
     buckets = 1 + (top or 0)
