@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -196,3 +197,38 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 900 / 1100) < 0.08
     h, offs = near_dups.shingle_sets(pa.array(["a b c", None, "x", "A B C"]), 2)
     assert np.diff(offs).tolist() == [2, 0, 1, 2] and (h[:2] == h[3:]).all()
+
+
+def substituted(n, k, ends):
+    """Every pattern of n words of which k are substituted, at the ends too or not."""
+    for out in combinations(range(n) if ends else range(1, n - 1), k):
+        yield [i not in out for i in range(n)]
+
+
+def is_hit(equal, masks):
+    return any(all(equal[s + o] for o, c in enumerate(m) if c == "1") for m in masks for s in range(len(equal) - len(m) + 1))
+
+
+def test_masks_hit_every_allowed_substitution():
+    for n in range(12, 21):
+        for k in range(n // 5 + 1):
+            assert all(is_hit(e, decontaminate.MASKS) for e in substituted(n, k, False)), (n, k)
+    for n in range(5, 12):
+        for k in range(n // 5 + 1):
+            assert all(is_hit(e, decontaminate.short_masks(n, 0.8)) for e in substituted(n, k, True)), (n, k)
+    for n in range(6, 16):
+        assert all(is_hit(e, decontaminate.long_masks(6, 0.7)) for e in substituted(n, n * 3 // 10, False))
+
+
+def test_overlaps_of_short_items(spark):
+    items = [(n, [f"s{n}x{i}" for i in range(n)]) for n in range(5, 12)]
+    texts = {}
+    for n, w in items:
+        for out in combinations(range(n), n // 5 + 1):
+            texts[len(texts)] = (n, 0, out, w)
+        for out in combinations(range(n), n // 5):
+            texts[len(texts)] = (n, n - len(out), out, w)
+    docs = spark.createDataFrame([(i, " ".join(["lead", *("other" if j in out else x for j, x in enumerate(w)), "tail"])) for i, (_, _, out, w) in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = {r.doc_id: [tuple(o) for o in r.overlaps] for r in decontaminate.find_overlaps(docs, bench).collect()}
+    assert got == {i: [(n, 0, 1, n, m)] if m else [] for i, (n, m, _, _) in texts.items()}

@@ -13,6 +13,11 @@ Words are compared without case and outer punctuation.  An overlap counts from
 ``least_words`` words on (the whole item if that is shorter, five words at
 least) with at least ``similarity`` of them equal.
 
+No pattern of substitutions that the rule allows is without a hit.  Of 12 words
+or more at 0.8, some four neighbours are equal, but for 15 words in four runs of
+three, which the second mask hits.  A shorter item is cut into two parts more
+than it may have substitutions; its masks leave out all choices of that many.
+
 Defined cases: null and empty texts have no overlap; items of fewer than five
 words never match; an empty benchmark matches nothing; rows without an id are
 left out, items without an id or text too; repeated items are reported once,
@@ -21,6 +26,9 @@ repeated documents each.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +39,12 @@ from ._base import table, whole_text
 from .toxicity import _strip, fold
 
 # 1 marks a word that is looked at.
-MASKS = ("110110111011", "111010110111", "101111001111", "111101101011")
+MASKS = ("1111", "1110111")
 LEAST_WORDS = 12
 SHORTEST_ITEM = 5
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
+CHUNK_WORDS = 1 << 20
 MISMATCH = -2
 _TABLE_BITS = 20
 OVERLAP = "struct<item_id:bigint,item_start:int,doc_start:int,length:int,matches:int>"
@@ -63,23 +72,45 @@ def _window_keys(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return _bytes.mix(key)
 
 
+def _parts(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction."""
+    return Fraction(similarity).limit_denominator(1000).as_integer_ratio()
+
+
+def long_masks(least: int, similarity: float) -> tuple[str, ...]:
+    """Masks that hit every overlap of ``least`` words or more: MASKS, or for laxer rules the run of equal words that each overlap has."""
+    if least >= LEAST_WORDS and similarity >= SIMILARITY:
+        return MASKS
+    num, den = _parts(similarity)
+    spoilt = {n: (den - num) * n // den for n in range(least, 10 * least)}
+    return ("1" * max(1, min(-(-(n - k) // (k + 1)) for n, k in spoilt.items())),)
+
+
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks of n words of which one hits whatever the words that ``similarity`` lets differ."""
+    num, den = _parts(similarity)
+    k = (den - num) * n // den
+    parts = min(n, k + 2)
+    return ["".join("0" if i * parts // n in out else "1" for i in range(n)) for out in combinations(range(parts), k)]
+
+
 class Seeds:
     """The windows of one block of benchmark items under every mask."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: int = LEAST_WORDS, similarity: float = SIMILARITY):
         self.ids = [i for i, _ in items]
-        h, first = word_hashes(pa.array([t for _, t in items], pa.string()))
-        self.words = [h[first[i] : first[i + 1]] for i in range(len(items))]
-        self.masks: list[str] = list(MASKS)
-        span = len(MASKS[0])
-        short = sorted({len(w) for w in self.words if SHORTEST_ITEM <= len(w) < span})
-        self.masks += ["1" * n for n in short]  # a short item is one window
+        self.least, self.similarity = least, similarity
+        self.flat, self.first = word_hashes(pa.array([t for _, t in items], pa.string()))
+        self.words = [self.flat[self.first[i] : self.first[i + 1]] for i in range(len(items))]
+        span = max(SHORTEST_ITEM, min(least, LEAST_WORDS))
+        long = long_masks(span, similarity)
+        short = {n: short_masks(n, similarity) for n in sorted({len(w) for w in self.words if SHORTEST_ITEM <= len(w) < span})}
+        self.masks: list[str] = list(dict.fromkeys([*long, *(m for ms in short.values() for m in ms)]))
+        salt = {mask: m for m, mask in enumerate(self.masks)}
         keys, item, at = [], [], []
         for no, w in enumerate(self.words):
-            for m, mask in enumerate(self.masks):
-                if len(mask) < span and len(mask) != len(w):
-                    continue
-                k = _window_keys(w, mask, m)
+            for mask in long if len(w) >= span else short.get(len(w), ()):
+                k = _window_keys(w, mask, salt[mask])
                 keys.append(k), item.append(np.full(len(k), no)), at.append(np.arange(len(k)))
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         order = np.argsort(k := cat(keys, np.uint64), kind="stable")
@@ -87,10 +118,10 @@ class Seeds:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def overlaps(self, h: np.ndarray, first: np.ndarray, least: int, similarity: float) -> dict[int, list[tuple]]:
-        """By document: its verified overlaps."""
+    def _hits(self, h: np.ndarray, first: np.ndarray):
+        """document, item, shift and place in the document of all hits, a bounded number of the items' words at a time."""
         doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        found: set[tuple[int, int, int, int]] = set()
+        size = np.concatenate([[0], np.cumsum(np.diff(self.first)[self.item])])
         for m, mask in enumerate(self.masks):
             keys = _window_keys(h, mask, m)
             if not len(keys):
@@ -98,19 +129,59 @@ class Seeds:
             at = np.flatnonzero(self.table[keys >> np.uint64(64 - _TABLE_BITS)])
             at = at[doc_of[at] == doc_of[at + len(mask) - 1]]
             lo, hi = np.searchsorted(self.keys, keys[at]), np.searchsorted(self.keys, keys[at], "right")
-            for p, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                d = int(doc_of[p])
-                found.update((d, int(self.item[j]), p - int(first[d]) - int(self.at[j]), p - int(first[d])) for j in range(a, b))
-        out: dict[int, dict[tuple, None]] = {}
-        for d, no, shift, p in sorted(found):
-            item, doc = self.words[no], h[first[d] : first[d + 1]]
-            lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-            equal = item[lo:hi] == doc[lo + shift : hi + shift]
-            a, b = _best_stretch(equal, p - shift - lo)
-            matches = int(equal[a:b].sum())
-            if b - a >= max(SHORTEST_ITEM, min(least, len(item))) and matches >= similarity * (b - a):
-                out.setdefault(d, {})[(self.ids[no], lo + a, lo + a + shift, b - a, matches)] = None
-        return {d: list(v) for d, v in out.items()}
+            at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
+            upto = np.cumsum(size[hi] - size[lo])
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK_WORDS, "right")))
+                n = hi[i:j] - lo[i:j]
+                of = np.repeat(np.arange(i, j), n)
+                k = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                d = doc_of[at[of]]
+                place = at[of] - first[d]
+                yield d, self.item[k], place - self.at[k], place
+                i = j
+
+    def overlaps(self, h: np.ndarray, first: np.ndarray) -> dict[int, list[tuple]]:
+        """By document: its verified overlaps."""
+        found: dict[int, set[tuple]] = {}
+        for hits in self._hits(h, first):
+            order = np.lexsort(hits[::-1])
+            d, no, shift, place = (x[order] for x in hits)
+            new = np.flatnonzero(np.diff(d, prepend=-1) | np.diff(no, prepend=-1) | (np.diff(shift, prepend=0) != 0))
+            upto = np.append(new[1:], len(d))
+            lo = np.maximum(0, -shift[new])
+            n_item = np.diff(self.first)[no[new]]
+            hi = np.minimum(n_item, np.diff(first)[d[new]] - shift[new])
+            able = np.flatnonzero(self._may_hold(h, first[d[new]] + shift[new], no[new], lo, hi))
+            for g in able.tolist():
+                doc, item, s, a0, n = int(d[new[g]]), int(no[new[g]]), int(shift[new[g]]), int(lo[g]), int(n_item[g])
+                equal = self.words[item][a0 : hi[g]] == h[first[doc] + a0 + s : first[doc] + hi[g] + s]
+                for a, b in self._stretches(equal, n, place[new[g] : upto[g]] - s - a0):
+                    matches = int(equal[a:b].sum())
+                    if b - a >= max(SHORTEST_ITEM, min(self.least, n)) and matches >= self.similarity * (b - a) - 1e-9:
+                        found.setdefault(doc, set()).add((item, s, a0 + a, b - a, matches))
+        return {d: list(dict.fromkeys((self.ids[no], a, a + s, n, m) for no, s, a, n, m in sorted(v))) for d, v in sorted(found.items())}
+
+    def _may_hold(self, h: np.ndarray, start: np.ndarray, no: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether a diagonal is long enough and has enough equal words on all of it."""
+        least = np.maximum(SHORTEST_ITEM, np.minimum(self.least, np.diff(self.first)[no]))
+        may = hi - lo >= least
+        on = np.flatnonzero(may)
+        if not len(on):
+            return may
+        n = (hi - lo)[on]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = self.flat[np.repeat(self.first[no[on]] + lo[on], n) + step] == h[np.repeat(start[on] + lo[on], n) + step]
+        may[on] = np.add.reduceat(equal, np.cumsum(n) - n, dtype=np.int64) >= self.similarity * least[on] - 1e-9
+        return may
+
+    def _stretches(self, equal: np.ndarray, n_item: int, places: np.ndarray) -> list[tuple[int, int]]:
+        """The stretches to verify: the whole of a short item, else the best one around each run of equal words that was hit."""
+        if n_item <= self.least:
+            return [(0, len(equal))]
+        _, one = np.unique(np.cumsum(~equal)[places], return_index=True)
+        return [_best_stretch(equal, p) for p in places[one].tolist()]
 
 
 def _best_stretch(equal: np.ndarray, inside: int) -> tuple[int, int]:
@@ -147,11 +218,11 @@ def _with_block(docs: DataFrame, items, least: int, similarity: float, text_col:
     names = docs.columns if fresh else docs.columns[:-1]
 
     def run(parts):
-        seeds = Seeds(held.value)
+        seeds = Seeds(held.value, least, similarity)
         for batch in parts:
             for lo, hi in _bytes.batches(batch.column(at)):
                 rows = batch.slice(lo, hi - lo)
-                got = seeds.overlaps(*word_hashes(rows.column(at)), least, similarity)
+                got = seeds.overlaps(*word_hashes(rows.column(at)))
                 old = [[]] * rows.num_rows if fresh else [[tuple(x.values()) for x in v] for v in rows.column(len(names)).to_pylist()]
                 lists = [[dict(zip(("item_id", "item_start", "doc_start", "length", "matches"), x, strict=True)) for x in [*old[i], *got.get(i, [])]] for i in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(lists, _OVERLAP_ARROW)], [*names, out_col])
