@@ -232,3 +232,28 @@ def test_overlaps_of_short_items(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
     got = {r.doc_id: [tuple(o) for o in r.overlaps] for r in decontaminate.find_overlaps(docs, bench).collect()}
     assert got == {i: [(n, 0, 1, n, m)] if m else [] for i, (n, m, _, _) in texts.items()}
+
+
+def holds_overlap(equal, least=12, num=4, den=5):
+    """Whether some stretch from an equal word to an equal word qualifies, by trying all."""
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    return any(equal[a] and equal[b - 1] and den * (sums[b] - sums[a]) >= num * (b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1))
+
+
+def test_leak_beside_a_worse_region(spark):
+    rng = np.random.default_rng(5)
+    patterns = ["1" * 12 + "0101111" * 6, "1" * 20 + "1110" * 25, "1" * 10 + "01", "1" * 10 + "001", "1011111110" + "11", "111" + "0111" * 3]
+    for n, share in ((30, 0.75), (60, 0.8), (120, 0.7), (40, 0.85)):
+        patterns += ["".join("01"[int(x)] for x in rng.random(n) < share) for _ in range(60)]
+    items = [(i, [f"p{i}x{j}" for j in range(len(p))]) for i, p in enumerate(patterns)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["lead", *(x if c == "1" else "other" for x, c in zip(w, patterns[i], strict=True)), "tail"])) for i, w in items], "doc_id long, text string")
+    rows = decontaminate.find_overlaps(docs, bench).collect()
+    want = {}
+    for i, p in enumerate(patterns):
+        equal = np.array([c == "1" for c in p])
+        want[i] = 5 * equal.sum() >= 4 * len(p) if len(p) <= 12 else holds_overlap(equal)
+    assert {r.doc_id: bool(r.overlaps) for r in rows} == want and 60 < sum(want.values()) < len(want)
+    for r in rows:
+        for o in r.overlaps:
+            assert o.length >= 12 and 5 * o.matches >= 4 * o.length and o.matches == patterns[r.doc_id][o.item_start : o.item_start + o.length].count("1")

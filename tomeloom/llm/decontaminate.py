@@ -3,15 +3,17 @@
 Fixed masks look at some of the words of a window and ignore the others, so a
 window still hits after words at ignored places were substituted.  Windows of
 documents are looked up among those of the benchmark; around each hit the
-document and the item are laid side by side, and the best-matching stretch is
-verified on all of its words.
+document and the item are laid side by side, and the stretch of enough words
+that has the most equal ones to spare is verified on all of its words.
 
 The benchmark is dealt into blocks of a bounded size; each block is shipped to
 the executors and meets every document.
 
 Words are compared without case and outer punctuation.  An overlap counts from
 ``least_words`` words on (the whole item if that is shorter, five words at
-least) with at least ``similarity`` of them equal.
+least) with at least ``similarity`` of them equal; it starts and ends with equal
+words, unless it is the whole of a short item.  What stands beside it on the same
+diagonal can't hide it.
 
 No pattern of substitutions that the rule allows is without a hit.  Of 12 words
 or more at 0.8, some four neighbours are equal, but for 15 words in four runs of
@@ -45,7 +47,6 @@ SHORTEST_ITEM = 5
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
 CHUNK_WORDS = 1 << 20
-MISMATCH = -2
 _TABLE_BITS = 20
 OVERLAP = "struct<item_id:bigint,item_start:int,doc_start:int,length:int,matches:int>"
 _OVERLAP_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32()), ("matches", pa.int32())]))
@@ -164,7 +165,7 @@ class Seeds:
         return {d: list(dict.fromkeys((self.ids[no], a, a + s, n, m) for no, s, a, n, m in sorted(v))) for d, v in sorted(found.items())}
 
     def _may_hold(self, h: np.ndarray, start: np.ndarray, no: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether a diagonal is long enough and has enough equal words on all of it."""
+        """Whether a diagonal holds a stretch of enough words, enough of them equal."""
         least = np.maximum(SHORTEST_ITEM, np.minimum(self.least, np.diff(self.first)[no]))
         may = hi - lo >= least
         on = np.flatnonzero(may)
@@ -173,7 +174,24 @@ class Seeds:
         n = (hi - lo)[on]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         equal = self.flat[np.repeat(self.first[no[on]] + lo[on], n) + step] == h[np.repeat(start[on] + lo[on], n) + step]
-        may[on] = np.add.reduceat(equal, np.cumsum(n) - n, dtype=np.int64) >= self.similarity * least[on] - 1e-9
+        whole = np.diff(self.first)[no[on]] <= self.least
+        # running sums with one place more for each diagonal's end
+        of, at = np.repeat(np.arange(len(n)), n + 1), np.cumsum(n + 1) - n - 1
+        inner = np.ones(len(of), bool)
+        inner[at + n] = False
+        num, den = _parts(self.similarity)
+        gain = np.zeros(len(of), np.int64)
+        gain[inner] = np.where(equal, den - num, -num)
+        total = np.cumsum(gain) - gain
+        begins, ends = np.zeros(len(of), bool), np.zeros(len(of), bool)
+        begins[inner] = equal
+        ends[1:] = begins[:-1]
+        # each diagonal lies lower than the one before, so that the least of those up to a place is its own if it has any
+        total -= of * (int(np.abs(gain).sum()) + 1)
+        lowest = np.minimum.accumulate(np.where(begins, total, np.iinfo(np.int64).max))
+        back = np.arange(len(of)) - least[on][of]
+        holds = ends & (back >= 0) & (total >= lowest[np.maximum(back, 0)])
+        may[on] = np.where(whole, total[at + n] >= total[at], np.logical_or.reduceat(holds, at))
         return may
 
     def _stretches(self, equal: np.ndarray, n_item: int, places: np.ndarray) -> list[tuple[int, int]]:
@@ -181,15 +199,25 @@ class Seeds:
         if n_item <= self.least:
             return [(0, len(equal))]
         _, one = np.unique(np.cumsum(~equal)[places], return_index=True)
-        return [_best_stretch(equal, p) for p in places[one].tolist()]
+        return [_best_stretch(equal, p, self.least, self.similarity) for p in places[one].tolist()]
 
 
-def _best_stretch(equal: np.ndarray, inside: int) -> tuple[int, int]:
-    """The stretch that holds place ``inside`` and has the greatest sum of 1 a match and MISMATCH a mismatch."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
-    a = int(np.argmin(total[: inside + 1]))
-    b = inside + 1 + int(len(total[inside + 1 :]) - 1 - np.argmax(total[inside + 1 :][::-1]))
-    return a, b
+def _best_stretch(equal: np.ndarray, inside: int, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """The stretch of ``least`` words or more, from an equal word to an equal word, that holds place ``inside`` and has the most equal words beyond those that ``similarity`` asks for; empty if there is none."""
+    num, den = _parts(similarity)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, den - num, -num))])
+    far = np.iinfo(np.int64).max // 2
+    least = min(least, len(equal))
+    begin = np.where(equal[: inside + 1], total[: inside + 1], far)
+    ends = np.arange(max(inside + 1, least), len(equal) + 1)
+    if not len(ends):
+        return inside, inside
+    gain = np.where(equal[ends - 1], total[ends], -far) - np.minimum.accumulate(begin)[np.minimum(inside, ends - least)]
+    best = len(gain) - 1 - int(np.argmax(gain[::-1]))
+    if gain[best] < 0:
+        return inside, inside
+    b = int(ends[best])
+    return int(np.argmin(begin[: b - least + 1])), b
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
