@@ -117,6 +117,37 @@ def test_line_dedup(spark, docs, corpus, least):
     assert sum(n for _, _, n in want) > 10
 
 
+def lines_by_all_places(texts, least):
+    """Line numbers in runs of ``least`` words or more that any earlier place has, by trying every pair of documents and shift."""
+    own = [t.split("\n") for t in texts]
+    gone = [set() for _ in own]
+    for d, a in enumerate(own):
+        for e, b in enumerate(own[: d + 1]):
+            for shift in range(1 if e == d else 1 - len(b), len(a)):
+                i = max(0, shift)
+                while i < min(len(a), len(b) + shift):
+                    k = i
+                    while k < min(len(a), len(b) + shift) and a[k] == b[k - shift]:
+                        k += 1
+                    if sum(len(x.split()) for x in a[i:k]) >= least:
+                        gone[d].update(range(i, k))
+                    i = k + 1
+    return gone
+
+
+def test_line_dedup_against_all_earlier_places(spark):
+    rng = np.random.default_rng(3)
+    hot = "a hot line of ten words that stands in many"
+    texts = [f"{hot}\nfirst neighbour", f"other\n{hot}\nshort\ntail", f"more\n{hot}\nshort\ntail\nend", f"{hot}\nshort\nfirst neighbour"]
+    pool = [" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate((1, 1, 2, 3, 4, 6, 11, 12))]
+    texts += ["\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 12))) for _ in range(60)]
+    got = lines.remove_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), removed_col="n_gone").collect()
+    gone = lines_by_all_places(texts, 10)
+    assert gone[2] == {1, 2, 3} and gone[3] == {0, 1}
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.text, r.n_gone) for r in got} == want
+
+
 def plain_strings(corpus, span):
     by_id = {}
     for i, t in corpus:

@@ -1,11 +1,14 @@
 """Line dedup by winnowing over line hashes.
 
 A window is a shortest run of non-blank lines with at least ``least_words``
-words; the least line hash of each window (the last of equals) is a
+words, from its first line on or back from its last line; the least line hash of each window (the last of equals) is a
 fingerprint, so two places that share a window share its fingerprint.
 Fingerprints met once are dropped; windows of the others are joined with the
 first place that has the same window, in order of (doc_id, line); each match is
 extended both ways while the lines stay equal; and the later run is deleted.
+One partner a window is enough: a line in a run that any earlier place has lies
+in a window within that run, from the run's first line on or back from the line
+itself, and the first place of that window is earlier too.
 The first occurrence of every line survives, since each deleted line has an
 equal one at an earlier place.
 
@@ -53,11 +56,14 @@ def line_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def windows(h: np.ndarray, n_words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, key and fingerprint place of every window."""
-    doc_end = np.repeat(first[1:], np.diff(first))
+    doc_start, doc_end = (np.repeat(x, np.diff(first)) for x in (first[:-1], first[1:]))
     upto = np.cumsum(n_words)
-    end = np.searchsorted(upto, upto - n_words + least)  # the line that fills the window
-    start = np.flatnonzero(end < doc_end)
-    end = end[start]
+    fills = np.searchsorted(upto, upto - n_words + least)  # the line that fills the window
+    start = np.flatnonzero(fills < doc_end)
+    back = np.searchsorted(upto - n_words, upto - least, "right") - 1  # the line from which on a window ends here
+    more = np.flatnonzero(back >= doc_start)
+    more = more[fills[back[more]] < more]  # else the window is there already
+    start, end = np.concatenate([start, back[more]]), np.concatenate([fills[start], more])
     key, low, place = h[start].copy(), h[start].copy(), start.copy()
     for step in range(1, int((end - start).max(initial=0)) + 1):
         on = np.flatnonzero(start + step <= end)
