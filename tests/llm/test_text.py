@@ -140,8 +140,7 @@ def test_packing_round_trip(spark, docs, corpus, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    got = packing.pack_documents(docs, *packing.vocabulary(), capacity=256).collect()
+    got = packing.pack_documents(docs, packing.vocabulary(), capacity=256).collect()
     want = []
     for i, t in corpus:
         if i is not None:
@@ -155,7 +154,7 @@ def test_packing_round_trip(spark, docs, corpus, none):
         b.sort()
         assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 256
     assert len(bins) <= packing.lower_bound(np.array([w[3] for w in want]), 256) + 2
-    assert packing.pack_documents(none, *packing.vocabulary()).count() == 0
+    assert packing.pack_documents(none, packing.vocabulary()).count() == 0
 
 
 def test_words_encode_as_the_tokenizer_does():
@@ -163,13 +162,27 @@ def test_words_encode_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = ["", "a", "  x", "trail ", "a\n\nb", "a \nb", "x\ty", "é b", "it's <|endoftext|> don't\nI'm", "\n", "a\nb\n", "a b c", "日本語 ½ x²  y", "x,y... z!?", "12345 678"]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    encoder = packing.WordEncoder(*packing.vocabulary(), most=3)
+    encoder = packing.WordEncoder(packing.vocabulary(), most=3)
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
+def test_random_texts_encode_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.WordEncoder(packing.vocabulary())
+    rng = np.random.default_rng(8)
+    parts = ["a", "b", "word", "it's", "12", "é", "日", "!?", "'re", " ", " ", " ", "\t", "\n", "\r", "\xa0", "\x1c", "\x85", "\u2028", "\u3000", "\x0b", "<|endoftext|>", "<|endof"]
+    share = np.array([3.0] * 13 + [0.4] * 8 + [0.2] * 2)
+    for _ in range(20):
+        texts = ["".join(parts[k] for k in rng.choice(len(parts), rng.integers(1, 9), p=share / share.sum())) for _ in range(5_000)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == want
+
+
 def test_lower_bounds_hold():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -15,7 +15,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 
 import numpy as np
@@ -34,58 +34,68 @@ POOL = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: White space of the vocabulary's pattern besides the blank and the line feed.
+_OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class WordEncoder:
     """Token ids as little-endian bytes, with the words met so far remembered.
 
-    The vocabulary's pattern never lets a token cross the place before a single
-    blank or around a single line end, so words between such places are encoded
-    apart.  Texts with any other white space are encoded whole.  ``ranks_path``
-    holds the byte-level vocabulary as ranks; the ids are those of the
-    ``tokenizers`` file of the same vocabulary (the tests compare them).
+    All ids come from the ``tokenizers`` file.  The vocabulary's pattern never
+    lets a token cross the place before a single blank or around a single line
+    feed, so words between such places are encoded apart and remembered.  Texts
+    with any other white space, with white space at an end or side by side, or
+    with the string of a special token are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = CACHE_WORDS):
-        import tiktoken
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.n_bytes[i] = len(token)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
+        self.opening: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], lead: str) -> None:
-        """Encodes words that a boundary parts in one go, and finds each one's tokens by their byte lengths."""
-        text = lead + lead.join(words) if lead else "".join(words)
-        ids = np.array(self.encoding.encode_ordinary(text), "<u4")
-        upto = np.cumsum(np.array([len(w.encode()) for w in words]) + len(lead))
-        ends = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), upto) + 1)).tolist()
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(words, ends, strict=True):
-            self.known[w] = raw[start:end]
-            start = end
+    def plain(self, t: str) -> bool:
+        """Whether all white space of t is blanks and line feeds that stand alone between words, and no special token is in it."""
+        if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
+            return False
+        return not _OTHER_WHITE.search(t) and not any(x in t for x in self.special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = t != "" and len(t.split()) == t.count(" ") + t.count("\n") + 1
-            split.append(t.replace("\n", " \n").split(" ") if plain else None)
+    def _learn(self, words: list[list[str]]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
-        new = set().union(*[s[1:] for s in split if s]).difference(self.known)
-        starts = [w for w in new if w[0] == "\n"]
-        if starts:
-            self._learn(starts, "")
-            new.difference_update(starts)
-        if new:
-            self._learn(list(new), " ")
-        known = self.known
-        return [self._whole(s[0]) + b"".join([known[w] for w in s[1:]]) if s else self._whole(t) for s, t in zip(split, texts, strict=True)]
+        if len(self.opening) > self.most:
+            self.opening.clear()
+        new = list({w for ws in words for w in ws[1:]}.difference(self.known))
+        self.known.update(zip(new, self._ids([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        new = list({ws[0] for ws in words}.difference(self.opening))
+        self.opening.update(zip(new, self._ids(new), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        whole, late = [], {}
+        look, first = self.known.__getitem__, self.opening.__getitem__
+        for i, t in enumerate(texts):
+            if not self.plain(t):
+                whole.append(i)
+                continue
+            words = t.replace("\n", " \n").split(" ")
+            try:
+                out[i] = first(words[0]) + b"".join(map(look, words[1:]))
+            except KeyError:
+                late[i] = words
+        if late:
+            self._learn(list(late.values()))
+            for i, words in late.items():
+                out[i] = first(words[0]) + b"".join(map(look, words[1:]))
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -99,13 +109,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, odd)] if odd else []) + [(i, capacity) for i in range(odd, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(parts):
-        if ranks_path not in _ENCODERS:
-            _ENCODERS[ranks_path] = WordEncoder(ranks_path, pattern)
-        encoder = _ENCODERS[ranks_path]
+        if tokenizer_path not in _ENCODERS:
+            _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
+        encoder = _ENCODERS[tokenizer_path]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in parts:
             for at in range(0, batch.num_rows, 256):
@@ -178,8 +188,8 @@ def _pack_group(capacity: int, last: bool):
         gap = n_bins - lower_bound(lengths, capacity)
         free = capacity - np.bincount(bins, weights=lengths, minlength=n_bins)
         given = np.zeros(n_bins, bool)
-        if gap > 0 and not last:
-            given[np.argsort(-free, kind="stable")[: 2 * gap + 2]] = True
+        if not last:  # the emptiest bin of a certified group too: its sum is rounded up
+            given[np.argsort(-free, kind="stable")[: 2 * gap + (2 if gap else 1)]] = True
             given &= free > 0
         pdf["sequence_id"] = (np.int64(key[0]) << 32) + bins
         pdf["offset"] = offsets
@@ -210,19 +220,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         todo = packed.where("given_up").drop("given_up").withColumn("group", F.pmod(F.floor(F.shiftright("sequence_id", 32).bitwiseAND(F.lit((1 << 26) - 1)) / POOL), F.lit(groups)))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every document's pieces."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    pieces = scratch.put(token_pieces(doc_rows(docs, id_col, text_col), ranks_path, pattern, capacity), "pieces")
+    pieces = scratch.put(token_pieces(doc_rows(docs, id_col, text_col), tokenizer_path, capacity), "pieces")
     return pack(pieces, capacity)
 
 
-def vocabulary() -> tuple[str, str]:
-    """The ranks file and the splitting pattern of the vocabulary that byte_bpe_50k.json holds."""
+def vocabulary() -> str:
+    """The tokenizer file that fixes the ids."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), *vocabulary())
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
