@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
-    return pack_documents(docs, *vocabulary())
+    return pack_documents(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
