@@ -288,3 +288,23 @@ def test_leak_beside_a_worse_region(spark):
     for r in rows:
         for o in r.overlaps:
             assert o.length >= 12 and 5 * o.matches >= 4 * o.length and o.matches == patterns[r.doc_id][o.item_start : o.item_start + o.length].count("1")
+
+
+@pytest.mark.parametrize("part_edges", [4, 1 << 19])
+def test_components(spark, monkeypatch, part_edges):
+    from tomeloom.llm import graph
+    from tomeloom.llm._base import Scratch
+
+    monkeypatch.setattr(graph, "PART_EDGES", part_edges)
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(20)] + [(100 + i, 100) for i in range(9)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (35, 2))] + [(7, 7)]
+    least = {x: x for e in edges for x in e}
+    while True:
+        new = dict(least)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b], least[a], least[b])
+        if new == least:
+            break
+        least = new
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), len(edges), Scratch(spark, "test"), "c").collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, y) for x, y in least.items() if x != y)

@@ -13,10 +13,15 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the jobs that write intermediate tables: shuffle files go at once, and Arrow batches are bounded by bytes.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; where none is set, a temporary one on a local session and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,21 +58,30 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tomeloom-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        self.observed = None
         atexit.register(_delete, spark, self.root)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+    def put(self, df: DataFrame, name: str, observe: Column | None = None) -> DataFrame:
+        """df as written and read back; ``observe``, an aggregate, is computed on the way and left in ``observed``."""
+        path, schema = f"{self.root}/{name}", df.schema
+        seen = None
+        if observe is not None:
+            seen = Observation()
+            df = df.observe(seen, observe.alias("seen"))
+        before = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.observed = seen.get["seen"] if seen is not None else None
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -76,6 +92,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, n_rows: int, per_task: int = 5_000) -> DataFrame:
+    """df in as many parts as its number of rows asks for, and no more than it has."""
+    return df.coalesce(max(1, -(-n_rows // per_task)))
+
+
 def whole_text(col: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

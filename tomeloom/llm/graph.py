@@ -1,37 +1,72 @@
-"""Connected components by least labels with pointer jumping, as a loop of written tables."""
+"""Connected components by contraction within partitions and pointer jumping between them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import Scratch
 
+PART_EDGES = 1 << 19  # most edges that one task contracts, on average
 
-def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the least ``start`` of all nodes that a node is joined with.
 
-    nodes: node (any type), start (long); edges: a, b.  Every round takes the
-    least label of the neighbours and then the label of the node that the label
-    came from, so the number of rounds grows with the logarithm of the longest
-    chain.  Nothing but a count comes to the driver.
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a graph that aren't the least of their component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[x], label[y])
+        np.minimum.at(new, label[y], label[x])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new[label]
+    low = label != np.arange(len(nodes))
+    return nodes[low], nodes[label[low]]
+
+
+def _contract(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        node, root = roots(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for i in range(0, len(node), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 50_000], pa.int64()), pa.array(root[i : i + 50_000], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, n_edges: int, scratch: Scratch, name: str) -> DataFrame:
+    """node, root: the least id that a node is joined with, for all nodes but those least ones; edges: a, b (long).
+
+    The edges are dealt into parts of about PART_EDGES.  Each part becomes a
+    forest of stars, so a round keeps no more edges than nodes; a node's stars
+    then meet in the part of that node, and pointers jump to their root's root.
+    The rounds grow with the logarithm of the longest chain of parts; one part
+    is done after the first.  Only counts come to the driver.
     """
-    both = scratch.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    state = scratch.put(nodes.select("node", "start", F.col("start").alias("label")), f"{name}-0")
+    edges = edges.select("a", "b").where("a <> b")
     step = 0
     while True:
         step += 1
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = state.join(near, "node", "left").select("node", "start", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        low = scratch.put(low, f"{name}-{step}-low")
-        jump = low.groupBy(F.col("start").alias("low")).agg(F.min("low").alias("root"))
-        after = low.join(jump, "low", "left").select("node", "start", "label", F.least("low", F.coalesce("root", "low")).alias("new"))
-        after = scratch.put(after, f"{name}-{step}")
-        changed = after.where("new <> label").limit(1).count()
-        scratch.drop(f"{name}-{step}-low")
+        n = max(1, -(-n_edges // PART_EDGES))
+        dealt = edges.coalesce(1) if n == 1 else edges.repartition(n, F.greatest("a", "b"))
+        forest = scratch.put(dealt.mapInArrow(_contract, "node long, root long"), f"{name}-{step}-forest", F.count("*"))
+        n_edges = scratch.observed
         if step > 1:
             scratch.drop(f"{name}-{step - 1}")
-        state = after.select("node", "start", F.col("new").alias("label"))
-        if not changed:
-            scratch.drop(f"{name}-edges")
-            return state.select("node", "label")
+        if n == 1:
+            return forest
+        least = forest.groupBy("node").agg(F.min("root").alias("low"))
+        above = least.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        jumped = forest.join(least, "node").join(above, "low", "left")
+        edges_of = F.array(F.struct(F.col("node").alias("a"), F.coalesce("up", "low").alias("b")), F.struct(F.col("root").alias("a"), F.col("low").alias("b")))
+        moved = (F.col("root") != F.col("low")) | F.col("up").isNotNull()
+        after = scratch.put(jumped.select("node", "root", moved.alias("moved"), edges_of.alias("edges")), f"{name}-{step}", F.count_if("moved"))
+        scratch.drop(f"{name}-{step}-forest")
+        if not scratch.observed:
+            return after.select("node", "root")
+        edges = after.select(F.inline("edges")).where("a <> b")
+        n_edges *= 2

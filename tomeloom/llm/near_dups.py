@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._base import Scratch, doc_rows, table
+from ._base import Scratch, doc_rows, few, table
 from .graph import components
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 GROUPS, ROWS = 20, 6
 BLOCK = 64  # sets in a block
+BLOCK_SHINGLES = 4096  # sets longer than this on average make smaller blocks
 PAIR_ROWS = 256  # most pairs of a bucket that are listed as rows
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _RNG.integers(0, 2**32, GROUPS * ROWS, dtype=np.uint32)
@@ -110,9 +111,9 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b of class keys) whose full sets are similar enough; texts: node, text."""
+    """The pairs (a, b of classes, and two longs) whose full sets are similar enough, as those longs; texts: node, text."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("label_a", "label_b", "text_a", "text_b")
 
     def run(parts):
         for batch in parts:
@@ -131,26 +132,24 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], ["a", "b"])
 
-    return with_b.mapInArrow(run, "a binary, b binary")
+    return with_b.mapInArrow(run, "a long, b long")
 
 
-def _late_pairs(apart: DataFrame, tried: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+def _late_pairs(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: components linked by a pair of a small bucket."""
     small = apart.where("listed")
     x, y = small.alias("x"), small.alias("y")
     alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike)
-    rest = rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("label_a"), F.col("x.label").alias("label_b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    rest = scratch.put(rest, "rest")
-    late = scratch.put(_linked(rest.select("a", "b"), texts, k, percent), "late")
-    return late.join(rest, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    rest = rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("label_a"), F.col("x.label").alias("label_b"))
+    return _linked(rest.repartition("a").distinct(), texts, k, percent)
 
 
 def _late_blocks(apart: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """a, b: components linked by members of a larger bucket, one of them outside its largest component."""
     rows = apart.where("NOT listed").join(texts, "node")
-    blocked = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    wide = F.greatest(F.lit(1.0), F.col("longest") / BLOCK_SHINGLES)  # long sets go fewer to a block
+    blocked = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) * wide / BLOCK)).cast("int")
     every = rows.select("band", F.lit(0).alias("side"), blocked("size").alias("block"), "label", "text")
     others = rows.where("label <> major").select("band", F.lit(1).alias("side"), blocked("others").alias("block"), "label", "text")
 
@@ -194,10 +193,14 @@ def _late_blocks(apart: DataFrame, texts: DataFrame, scratch: Scratch, k: int, p
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _same_id(signed: DataFrame) -> DataFrame:
-    """a, b: classes of texts that share an id."""
-    several = signed.groupBy("doc_id").agg(F.min("set_key").alias("b"), F.max("set_key").alias("hi")).where("b <> hi")
-    return signed.join(several.select("doc_id", "b"), "doc_id").where("set_key <> b").select(F.col("set_key").alias("a"), "b").distinct()
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """a, b: classes, by their ids, of texts that share an id; None if no id comes twice."""
+    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if (ids.agg(F.max("n")).first()[0] or 0) < 2:
+        return None
+    several = signed.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").where("set_key IS NOT NULL").join(classes.select("set_key", "node.start"), "set_key")
+    least = several.groupBy("doc_id").agg(F.min("start").alias("b"))
+    return several.join(least, "doc_id").select(F.col("start").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,44 +208,51 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     scratch = Scratch(docs.sparkSession, "neardups")
     rows = doc_rows(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     signed = scratch.put(_signatures(rows, k), "signed")
-    own = F.struct("doc_id", "text_key", "n_shingles")
-    classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min(own).alias("own"), F.first("bands").alias("bands"))
-    classes = scratch.put(classes.select("node", "bands", F.col("own.doc_id").alias("start"), F.col("own.text_key").alias("text_key"), F.col("own.n_shingles").alias("n")), "classes")
-
-    banded = classes.select("node", "start", "n", F.explode("bands").alias("band"))
-    end = F.struct("start", "node")
-    buckets = banded.groupBy("band").agg(F.min(end).alias("head"), F.max(end).alias("tail")).where("head <> tail")
-    buckets = scratch.put(buckets.select("band", F.col("head.node").alias("head"), F.col("tail.node").alias("tail")), "buckets")
-    members = scratch.put(banded.join(buckets, "band").select("band", "node", "start", "n", "head", "tail"), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "start", "text_key"), "node").select("node", F.col("start").alias("doc_id"), "text_key")
-    wanted = scratch.put(wanted, "wanted")
-    texts = scratch.put(rows.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
+    # a class is named after its least document; classes of texts that share an id are one node of the graph
+    own = F.struct(F.col("doc_id").alias("start"), "text_key")
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(own).alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.put(classes, "classes")
+
+    banded = classes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail")
+    members = scratch.put(banded.join(buckets, "band"), "members", F.count("*"))
+    n_members = scratch.observed
+    wanted = members.select(F.col("node.start").alias("doc_id"), F.col("node.text_key").alias("text_key")).distinct()
+    texts = rows.join(wanted, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    texts = scratch.put(few(texts.select(F.struct(F.col("doc_id").alias("start"), "text_key").alias("node"), "text"), n_members), "texts")
 
     # every member against its bucket's first and last
-    first = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).union(members.where("node <> head AND node <> tail").select("node", "tail"))
-    first = scratch.put(first.distinct(), "first")
-    links = scratch.put(_linked(first, texts, k, percent), "links")
-    same = scratch.put(_same_id(signed), "same")
-    links = links.unionByName(same)
-    tied = same.select(F.col("a").alias("node")).union(same.select("b")).distinct().join(wanted, "node", "left_anti")
-    nodes = wanted.select("node", F.col("doc_id").alias("start")).unionByName(tied.join(classes, "node").select("node", "start"))
-    labels = components(nodes, links, scratch, "merge")
-
-    # members of a bucket that are still apart
-    placed = scratch.put(members.join(labels, "node").select("band", "node", "n", "label"), "placed")
-    parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
-    mixed = scratch.put(mixed.select("band", "major", "size", (F.col("size") - F.col("most")).alias("others")), "mixed")
-    apart = scratch.put(placed.join(mixed, "band").withColumn("listed", F.col("others") * F.col("size") <= PAIR_ROWS), "apart")
-    late_labels = scratch.put(_late_pairs(apart, first, texts, scratch, k, percent).union(_late_blocks(apart, texts, scratch, k, percent)).distinct(), "late-labels")
-    tops = late_labels.select(F.col("a").alias("node")).union(late_labels.select(F.col("b").alias("node"))).distinct().withColumn("start", F.col("node"))
-    over = components(tops, late_labels, scratch, "top").select(F.col("node").alias("label"), F.col("label").alias("top"))
-    joined = scratch.put(labels.join(over, "label", "left").select(F.col("node").alias("set_key"), F.coalesce("top", "label").alias("component")), "components")
-
-    # a class that met no other one has the class's least id
-    whole = scratch.put(classes.select(F.col("node").alias("set_key"), "start").join(joined, "set_key", "left").select("set_key", F.coalesce("component", "start").alias("component")), "whole")
+    ends = F.inline(F.array(*[F.struct(F.col("node").alias("a"), F.col(end).alias("b"), F.col("node.start").alias("label_a"), F.col(f"{end}.start").alias("label_b")) for end in ("head", "tail")]))
+    first = members.where("node <> head").select(ends).where("a <> b").repartition("a").distinct()
+    links = scratch.put(few(_linked(first, texts, k, percent), n_members), "links", F.count("*"))
+    n_links = scratch.observed
+    same = _same_id(signed, classes)
+    if same is not None:
+        same = scratch.put(same, "same", F.count("*"))
+        links, n_links = links.unionByName(same), n_links + scratch.observed
+    forest = components(links, n_links, scratch, "merge")
+
+    # members of a bucket that are still apart; its first and last have met all others
+    labels = forest.select(F.col("node").alias("start"), "root")
+    placed = members.withColumn("start", F.col("node.start")).join(labels, "start", "left").select("band", "node", "n", "head", "tail", F.coalesce("root", "start").alias("label"))
+    parts = placed.groupBy("band", "label").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("size"), F.max("n").alias("longest")).where("most < size AND size > 2")
+    mixed = mixed.select("band", "major", "size", "longest", (F.col("size") - F.col("most")).alias("others"))
+    apart = placed.where("node <> head AND node <> tail").join(mixed, "band").drop("head", "tail").withColumn("listed", F.col("others") * F.col("size") <= PAIR_ROWS)
+    apart = scratch.put(few(apart, n_members), "apart", F.struct(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("rest")))
+    n_listed, n_rest = scratch.observed["listed"], scratch.observed["rest"]
+    late = _late_pairs(apart, texts, k, percent) if n_listed else None
+    if n_rest:
+        met = _late_blocks(apart, texts, scratch, k, percent)
+        late = met if late is None else late.unionByName(met)
+    if late is not None:
+        late = scratch.put(few(late, n_listed + n_rest), "late", F.count("*"))
+        if scratch.observed:
+            forest = components(late.unionByName(forest.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch.observed + n_links, scratch, "top")
+
+    roots = forest.select(F.col("node").alias("start"), "root")
+    whole = classes.select("set_key", "node.start").join(roots, "start", "left").select("set_key", F.coalesce("root", "start").alias("component"))
     found = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    scratch.drop("classes", "buckets", "members", "wanted", "texts", "first", "links", "same", "placed", "mixed", "apart", "rest", "late", "blocks", "late-labels", "components")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
