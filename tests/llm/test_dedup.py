@@ -168,9 +168,10 @@ def plain_strings(corpus, span):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 2_000])
+@pytest.mark.parametrize("shard_bytes", [1 << 21, 2_000])
 def test_repeated_strings(docs, corpus, none, monkeypatch, shard_bytes):
     monkeypatch.setattr(substrings, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 8 * shard_bytes)
     assert sorted(tuple(r) for r in substrings.remove_repeated_strings(docs).collect()) == plain_strings(corpus, 50)
     assert substrings.remove_repeated_strings(none).count() == 0
 
@@ -308,3 +309,39 @@ def test_components(spark, monkeypatch, part_edges):
         least = new
     got = graph.components(spark.createDataFrame(edges, "a long, b long"), len(edges), Scratch(spark, "test"), "c").collect()
     assert sorted((r.node, r.root) for r in got) == sorted((x, y) for x, y in least.items() if x != y)
+
+
+def test_shard_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (30, 5_000, 49, 0, 700, 120)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    shard = substrings.Shard(np.arange(len(texts)), offs, np.frombuffer(b"".join(texts), np.uint8), 50)
+    valid = np.concatenate([np.arange(a, b - 49) for a, b in zip(offs[:-1], offs[1:], strict=True)])
+    whole = shard.runs(), shard.string_keys(valid)
+    monkeypatch.setattr(substrings, "_CHUNK", 256)
+    cut = shard.runs(), shard.string_keys(valid)
+    for found in (whole[0], cut[0]):
+        assert (np.concatenate([np.arange(s, s + n) for s, n in zip(found.start, found.length, strict=True)]) == valid).all()
+        assert (np.concatenate([np.arange(s, e) for s, e in zip(found.seg_start, found.seg_end, strict=True)]) == valid).all()
+    keys = {}
+    for runs, _ in (whole, cut):
+        of = np.repeat(runs.key, runs.length)
+        keys.setdefault("runs", of)
+        assert (keys["runs"] == of).all()
+    assert (whole[1].key == cut[1].key).all() and (whole[1].more == cut[1].more).all()
+    strings = [shard.buf[i : i + 50].tobytes() for i in valid]
+    assert len(set(strings)) == len(whole[1].distinct()) == len(set(whole[1].key.tolist()))
+    repeat = np.zeros(len(shard.buf), bool)
+    repeat[valid[::37]] = True
+    want = np.zeros(len(shard.buf), bool)
+    for i in valid[::37]:
+        want[i : i + 50] = True
+    assert (substrings._covered(repeat, 50) == want).all()
+
+
+def test_ids_with_the_same_half():
+    key, more = np.array([5, 3, 5, 5, 3, 9], np.uint64), np.array([2, 1, 1, 2, 1, 7], np.uint32)
+    ids = substrings.Ids(key, more)
+    found = ids.distinct()
+    assert list(zip(found.key.tolist(), found.more.tolist(), strict=True)) == [(3, 1), (5, 1), (5, 2), (9, 7)]
+    assert ids.among(found).tolist() == [2, 0, 1, 2, 0, 3]

@@ -50,11 +50,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` gets the hash of any span."""
+def prefix_hash(buf: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """Prefix sums from which ``span_hash`` gets the hash of any span; ``code`` has a number for each byte."""
     up, _ = _powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[buf] * up[: len(buf)], out=out[1:])
+    np.cumsum(code[buf] * up[: len(buf)], out=out[1:])
     return out
 
 

@@ -1,24 +1,32 @@
 """Exact removal of repeated byte strings by refining buckets of q-grams.
 
-Every start of a ``span``-byte string gets an identifier that is refined step by
-step, and only what still shares a bucket goes on:
+Every start of a ``span``-byte string has a bucket, which is refined step by step
+by the bucket identifiers of later offsets; only what still shares a bucket goes
+on:
 
 1. Each string's least q-gram puts it into a first bucket.  Buckets that no
    earlier document has are singletons, and their strings are done.
 2. Long stretches between places picked by their content are compared as
    wholes; a stretch that an earlier document has settles all strings in it.
-3. What is left is refined by the identifiers of the q-grams at later offsets,
-   (i, i + q, i + span - q), which together cover the string.  Earlier documents
-   take part with the strings of those first buckets that are still asked for.
-
-Documents are dealt into shards of contiguous ids, so "an earlier document" is
-an earlier document of the shard, or any document of an earlier shard.  A shard
-asks about each identifier once, however many of its documents hold it; the
-answer is one bit.  Identifiers of stretches and strings have 64 bits.
+3. What is left gets bucket identifiers of 8 bytes, the bytes themselves.  A step
+   joins a start's identifier with that of a later offset, and the identifiers so
+   updated serve the next step: 8 and 8 at +8, 16 and 16 at +16, and so on until
+   the last step, whose offset is what ``span`` still lacks.  Starts sorted into
+   one bucket then have the same string.  Earlier documents take part with the
+   strings of those first buckets that are still asked for.
+
+Documents in order of id are cut into shards of a bounded number of bytes, so
+"an earlier document" is an earlier document of the shard, or any document of an
+earlier shard.  A shard asks about each identifier once, however many of its
+documents hold it; the answer is one bit.  Identifiers of stretches and strings
+have 96 bits, of two hashes over all their bytes.  A question goes out for each
+shard and bucket of identifiers that has any, so their rows are never more than
+the identifiers.
 
 Defined cases: null text is empty; texts shorter than ``span`` keep all bytes;
 rows without an id are left out; rows that share an id are not earlier than one
-another; an empty table gives no rows; other columns are ignored.
+another, and lie in one shard; a document longer than a shard is one; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +35,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._base import Scratch, doc_rows, table
-from .fingerprint import id_ranges
+from ._base import Scratch, doc_rows, shuffle_partitions, table
 
 SPAN = 50
 Q = 24
-SHARD_BYTES = 8 << 20
-MOST_SHARDS = 1 << 30  # a shard's size is bounded, their number grows with the input
+SHARD_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20  # text whose identifiers meet in one bucket of questions
+PART_BYTES = 64 << 20  # text that one task cuts into shards
 ANCHOR_ONE_IN = 8
 _CHUNK = 1 << 18  # bytes whose identifiers fit the processor's cache
 _ZSTD = "zstd"
-ROWS = "shard int, kind int, bucket int, a binary, b binary"
-_NAMES = ["shard", "kind", "bucket", "a", "b"]
+ROWS = "shard long, kind int, bucket int, a binary, b binary, c binary"
+_NAMES = ["shard", "kind", "bucket", "a", "b", "c"]
 TEXT, ASKED, ANSWER, STATE, OPEN = range(5)
+_OTHER_CODE = np.random.Generator(np.random.PCG64(0x0DD)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def _eights(buf: np.ndarray) -> np.ndarray:
@@ -52,13 +62,12 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
-def _fold(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Identifier of the Q-grams made of three eights each."""
+def _step(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Identifier of what begins with bucket a and has bucket b at a later offset."""
     out = a * np.uint64(0x9E3779B97F4A7C15)
-    for part, k in ((b, 0xC2B2AE3D27D4EB4F), (c, 0x165667B19E3779F9)):
-        out ^= out >> np.uint64(29)
-        out += part
-        out *= np.uint64(k)
+    out ^= out >> np.uint64(29)
+    out += b
+    out *= np.uint64(0xC2B2AE3D27D4EB4F)
     out ^= out >> np.uint64(32)
     return out
 
@@ -66,12 +75,21 @@ def _fold(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _grams(buf: np.ndarray) -> np.ndarray:
     """Identifier of the Q-gram at every offset (len(buf) - Q + 1 of them)."""
     n, eight = len(buf) - Q + 1, _eights(buf)
-    return _fold(eight[:n], eight[8 : 8 + n], eight[16 : 16 + n])
+    return _step(_step(eight[:n], eight[8 : 8 + n]), eight[16 : 16 + n])
+
+
+def _refined(buf: np.ndarray, span: int) -> np.ndarray:
+    """Identifier of the string at every offset (len(buf) - span + 1 of them)."""
+    bucket, width = _eights(buf)[: len(buf) - 7], 8
+    while width < span:
+        later = min(width, span - width)
+        bucket, width = _step(bucket[: len(bucket) - later], bucket[later:]), width + later
+    return bucket
 
 
-def _grams_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    rows = np.lib.stride_tricks.sliding_window_view(buf, Q)[at]
-    return _fold(*np.ascontiguousarray(rows).view("<u8").T.astype(np.uint64))
+def _second(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 bits of another hash of the given byte ranges."""
+    return (_bytes.span_hash(_bytes.prefix_hash(buf, _OTHER_CODE), start, end) >> np.uint64(32)).astype(np.uint32)
 
 
 def _distinct(*keys: np.ndarray) -> np.ndarray:
@@ -89,6 +107,44 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(g) - width + 1], m[width - size : width - size + len(g) - width + 1]) if size < width else m
 
 
+class Ids:
+    """Identifiers of 64 and 32 bits."""
+
+    def __init__(self, key: np.ndarray, more: np.ndarray):
+        self.key, self.more = key, more
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order that sorts them, and which of the sorted ones differ from the one before."""
+        order = np.argsort(self.key, kind="stable")
+        k, m = self.key[order], self.more[order]
+        same = k[1:] == k[:-1]
+        if (m[1:][same] != m[:-1][same]).any():
+            order = np.lexsort((self.more, self.key))
+            k, m = self.key[order], self.more[order]
+            same = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
+        return order, np.append(True, ~same)[: len(k)]
+
+    def distinct(self) -> Ids:
+        order, new = self.order()
+        at = order[new]
+        return Ids(self.key[at], self.more[at])
+
+    def among(self, found: Ids) -> np.ndarray:
+        """Places of these in the sorted distinct ``found``, all of which it has."""
+        at = np.searchsorted(found.key, self.key)
+        off = np.flatnonzero(found.more[at] != self.more)
+        while len(off):  # other identifiers with the same 64 bits lie beside
+            at[off] += 1
+            off = off[found.more[at[off]] != self.more[off]]
+        return at
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+
+NO_IDS = Ids(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+
+
 class Runs:
     """First buckets and stretches of the strings of some documents laid end to end.
 
@@ -100,6 +156,7 @@ class Runs:
         none = np.zeros(0, np.int64)
         self.start = self.length = self.seg_start = self.seg_end = none
         self.key = self.seg_key = none.astype(np.uint64)
+        self.seg_more = none.astype(np.uint32)
         long = np.diff(offs) >= span
         if not long.any():
             return
@@ -126,6 +183,7 @@ class Runs:
             self.seg_start, self.seg_end = self.start[cut], end[np.append(cut[1:], len(self.start)) - 1]
             size = (self.seg_end - self.seg_start).astype(np.uint64)
             self.seg_key = _bytes.mix(_bytes.span_hash(_bytes.prefix_hash(buf), self.seg_start, self.seg_end + span - 1) + size)
+            self.seg_more = _second(buf, self.seg_start, self.seg_end + span - 1)
 
 
 def _spread(flags: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -142,12 +200,6 @@ class Shard:
     def __init__(self, ids: np.ndarray, offs: np.ndarray, buf: np.ndarray, span: int):
         self.ids, self.offs, self.buf, self.span = ids, offs, buf, span
 
-    @classmethod
-    def from_rows(cls, rows: pa.Table, span: int) -> Shard:
-        rows = rows.sort_by([("doc_id", "ascending")])
-        buf, offs = _bytes.buffers(rows.column("text").cast(pa.large_string()))
-        return cls(rows.column("doc_id").to_numpy(), offs, buf, span)
-
     @classmethod
     def unpack(cls, a: bytes, b: bytes, span: int) -> Shard:
         heads = np.frombuffer(b, np.int64)
@@ -161,30 +213,45 @@ class Shard:
         a = pa.compress(self.buf.tobytes(), _ZSTD, asbytes=True) if len(self.buf) else b""
         return a, np.concatenate([self.ids, self.offs]).astype(np.int64).tobytes()
 
+    def _chunks(self):
+        """(from, to, offsets of its texts) of pieces of about _CHUNK bytes: some whole documents, or a part of a long one that shares span - 1 bytes with the next."""
+        i, n = 0, len(self.ids)
+        while i < n:
+            lo, hi = int(self.offs[i]), int(self.offs[i + 1])
+            if hi - lo > 2 * _CHUNK:
+                for at in range(lo, hi - self.span + 1, _CHUNK):
+                    end = min(at + _CHUNK + self.span - 1, hi)
+                    yield at, end, np.array([0, end - at])
+                i += 1
+                continue
+            j = min(n, max(i + 1, int(np.searchsorted(self.offs, lo + _CHUNK, "right")) - 1))
+            while j > i + 1 and self.offs[j] - self.offs[j - 1] > 2 * _CHUNK:
+                j -= 1
+            yield lo, int(self.offs[j]), self.offs[i : j + 1] - lo
+            i = j
+
     def runs(self, stretches: bool = True) -> Runs:
         """The runs of all documents, found some documents at a time."""
-        parts, i, n = [], 0, len(self.ids)
-        while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + _CHUNK, "right")) - 1))
-            lo = int(self.offs[i])
-            part = Runs(self.buf[lo : self.offs[j]], self.offs[i : j + 1] - lo, self.span, stretches)
+        parts = []
+        for lo, hi, offs in self._chunks():
+            part = Runs(self.buf[lo:hi], offs, self.span, stretches)
             part.start, part.seg_start, part.seg_end = part.start + lo, part.seg_start + lo, part.seg_end + lo
             parts.append(part)
-            i = j
         out = Runs(np.zeros(0, np.uint8), np.zeros(1, np.int64), self.span, stretches)
-        for name in ("start", "length", "key", "seg_start", "seg_end", "seg_key"):
+        for name in ("start", "length", "key", "seg_start", "seg_end", "seg_key", "seg_more"):
             setattr(out, name, np.concatenate([getattr(out, name), *[getattr(p, name) for p in parts]]))
         return out
 
-    def string_keys(self, at: np.ndarray) -> np.ndarray:
-        """The refined identifiers of the strings that start at the given offsets."""
-        out = [np.zeros(0, np.uint64)]
-        for i in range(0, len(at), _CHUNK):
-            part = at[i : i + _CHUNK]
-            one, two, three = (_grams_at(self.buf, part + k) for k in (0, Q, self.span - Q))
-            half = _bytes.mix(one * np.uint64(0xC2B2AE3D27D4EB4F) + two)
-            out.append(_bytes.mix(half * np.uint64(0xC2B2AE3D27D4EB4F) + three))
-        return np.concatenate(out)
+    def string_keys(self, at: np.ndarray) -> Ids:
+        """The refined identifiers of the strings that start at the given offsets, which rise."""
+        key, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(self.buf), _CHUNK):
+            part = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + _CHUNK)]
+            if len(part):
+                piece = self.buf[lo : min(lo + _CHUNK, int(part[-1]) + 1) + self.span - 1]
+                key.append(_bytes.mix(_refined(piece, self.span)[part - lo]))
+                more.append(_second(piece, part - lo, part - lo + self.span))
+        return Ids(np.concatenate(key), np.concatenate(more))
 
     def doc_rank(self, at: np.ndarray) -> np.ndarray:
         """Rank of the id of the document that holds each offset of the shard; equal ids, equal rank."""
@@ -192,15 +259,13 @@ class Shard:
         return distinct[np.searchsorted(self.offs, at, "right") - 1]
 
 
-def _seen_within(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Whether an earlier document of the shard has the key; ranks don't fall."""
-    if not len(keys):
+def _seen_within(ids: Ids, rank: np.ndarray) -> np.ndarray:
+    """Whether an earlier document of the shard has the identifier; ranks don't fall."""
+    if not len(ids):
         return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.append(True, k[1:] != k[:-1])
+    order, first = ids.order()
     lead = rank[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    out = np.empty(len(keys), bool)
+    out = np.empty(len(order), bool)
     out[order] = rank[order] > lead
     return out
 
@@ -210,19 +275,19 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _ask(shard: int, short: np.ndarray, full: np.ndarray, buckets: int, kind: int = ASKED) -> list[tuple]:
+def _ask(shard: int, short: np.ndarray, full: Ids, buckets: int, kind: int = ASKED) -> list[tuple]:
     """Rows that ask, for each bucket that has any, which identifiers an earlier shard has; of the short ones 32 bits beside the bucket's own."""
-    in_s, in_f = _bucket_of(short, buckets), _bucket_of(full, buckets)
+    in_s, in_f = _bucket_of(short, buckets), _bucket_of(full.key, buckets)
     low = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     present = np.union1d(in_s, in_f)
     cuts = [np.searchsorted(x, present, side).tolist() for x in (in_s, in_f) for side in ("left", "right")]
-    return [(shard, kind, b, low[s0:s1].tobytes(), full[f0:f1].tobytes()) for b, s0, s1, f0, f1 in zip(present.tolist(), *cuts, strict=True)]
+    return [(shard, kind, b, low[s0:s1].tobytes(), full.key[f0:f1].tobytes(), full.more[f0:f1].tobytes()) for b, s0, s1, f0, f1 in zip(present.tolist(), *cuts, strict=True)]
 
 
-def _answers(short: np.ndarray, full: np.ndarray, buckets: int, replies: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _answers(short: np.ndarray, full: Ids, buckets: int, replies: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For sorted identifiers, whether an earlier shard has them."""
     out = []
-    for which, keys in enumerate((short, full)):
+    for which, keys in enumerate((short, full.key)):
         bucket, seen = _bucket_of(keys, buckets), np.zeros(len(keys), bool)
         for b, bits in replies.items():
             lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
@@ -233,28 +298,33 @@ def _answers(short: np.ndarray, full: np.ndarray, buckets: int, replies: dict[in
 
 
 def _arrow(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=_NAMES)
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_NAMES)
+
 
+def _first_sight(ids: Ids, sizes: list[int]) -> list[bytes]:
+    """Per part (of the given sizes, in shard order) the bits of the identifiers that an earlier part has."""
+    order, new = ids.order()
+    again = np.empty(len(order), bool)
+    again[order] = ~new
+    ends = np.cumsum(sizes)
+    return [np.packbits(again[e - n : e]).tobytes() for n, e in zip(sizes, ends.tolist(), strict=True)]
 
-def _first_sight(parts: list[bytes], kind: str) -> list[bytes]:
-    """Per part (in shard order) the bits of the values that an earlier part has."""
-    arrays = [np.frombuffer(p, kind) for p in parts]
-    values = np.concatenate(arrays) if arrays else np.zeros(0, kind)
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    again = np.empty(len(values), bool)
-    again[order] = np.append(False, ordered[1:] == ordered[:-1])[: len(values)]
-    ends = np.cumsum([len(a) for a in arrays])
-    return [np.packbits(again[e - len(a) : e]).tobytes() for a, e in zip(arrays, ends, strict=True)]
+
+def _joined(column: list[bytes], kind: str) -> tuple[np.ndarray, list[int]]:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(column), kind), [len(x) // width for x in column]
 
 
 def _reply(rows):
     """One bucket: the bits that answer each shard's question."""
     rows = rows.sort_by([("shard", "ascending")])
     shards, bucket = rows.column("shard").to_pylist(), rows.column("bucket")[0].as_py()
-    short, full = _first_sight(rows.column("a").to_pylist(), "<u4"), _first_sight(rows.column("b").to_pylist(), "<u8")
-    return _arrow([(s, ANSWER, bucket, x, y) for s, x, y in zip(shards, short, full, strict=True)])
+    short, n_short = _joined(rows.column("a").to_pylist(), "<u4")
+    key, n_full = _joined(rows.column("b").to_pylist(), "<u8")
+    more, _ = _joined(rows.column("c").to_pylist(), "<u4")
+    said = _first_sight(Ids(short, np.zeros(len(short), np.uint32)), n_short), _first_sight(Ids(key, more), n_full)
+    return _arrow([(s, ANSWER, bucket, x, y, b"") for s, x, y in zip(shards, *said, strict=True)])
 
 
 def _wanted(rows):
@@ -271,7 +341,7 @@ def _wanted(rows):
             own = np.frombuffer(r["a"], "<u4")
             at = np.searchsorted(keys, own, "right") - 1  # the last shard that has the key open
             wanted = (at >= 0) & (keys[at] == own) & (by[at] >= r["shard"]) if len(keys) else np.zeros(len(own), bool)
-            out.append((r["shard"], ANSWER, r["bucket"], np.packbits(wanted).tobytes(), b""))
+            out.append((r["shard"], ANSWER, r["bucket"], np.packbits(wanted).tobytes(), b"", b""))
     return _arrow(out)
 
 
@@ -289,10 +359,11 @@ def _rows_of(rows: pa.Table) -> tuple[int, dict[int, tuple[bytes, bytes]], dict[
 def _settle(shard: Shard, buckets: int, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which strings are repeats by their stretch, which are still open, and the open ones' first buckets."""
     found = shard.runs()
-    runs, segs = _distinct(found.key), _distinct(found.seg_key)
+    own_segs = Ids(found.seg_key, found.seg_more)
+    runs, segs = _distinct(found.key), own_segs.distinct()
     run_seen, seg_seen = _answers(runs, segs, buckets, replies)
-    in_runs = _seen_within(found.key, shard.doc_rank(found.start)) | run_seen[np.searchsorted(runs, found.key)]
-    in_segs = _seen_within(found.seg_key, shard.doc_rank(found.seg_start)) | seg_seen[np.searchsorted(segs, found.seg_key)]
+    in_runs = _seen_within(Ids(found.key, np.zeros(len(found.key), np.uint32)), shard.doc_rank(found.start)) | run_seen[np.searchsorted(runs, found.key)]
+    in_segs = _seen_within(own_segs, shard.doc_rank(found.seg_start)) | seg_seen[own_segs.among(segs)]
     n = len(shard.buf)
     done = _spread(in_segs, found.seg_start, found.seg_end, n)
     open_ = _spread(in_runs, found.start, found.start + found.length, n) & ~done
@@ -308,21 +379,46 @@ def _masks(state: tuple[bytes, bytes], n: int) -> list[np.ndarray]:
     return [np.unpackbits(np.frombuffer(pa.decompress(x, -(-n // 8), _ZSTD), np.uint8), count=n).astype(bool) if n else np.zeros(0, bool) for x in state]
 
 
+def _shards(rows: DataFrame, n_bytes: int, span: int, buckets: int) -> DataFrame:
+    """The texts in order of id as shards of about SHARD_BYTES, cut where the id changes, with their first questions."""
+
+    def ask(number: int, ids: list, texts: list) -> pa.RecordBatch:
+        buf, offs = _bytes.buffers(pa.chunked_array(texts).cast(pa.large_string()))
+        shard = Shard(np.concatenate(ids), offs, buf, span)
+        found = shard.runs()
+        out = [(number, TEXT, -1, *shard.pack(), b""), *_ask(number, _distinct(found.key), Ids(found.seg_key, found.seg_more).distinct(), buckets)]
+        return _arrow(out).combine_chunks().to_batches()[0]
+
+    def cut(batches):
+        number, held, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        for batch in batches:
+            doc_ids, (_, offs) = batch.column(0).to_numpy(), _bytes.buffers(batch.column(1))
+            i = 0
+            while i < batch.num_rows:
+                if held >= SHARD_BYTES and ids[-1][-1] != doc_ids[i]:
+                    yield ask(number, ids, texts)
+                    number, held, ids, texts = number + 1, 0, [], []
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offs, offs[i] + SHARD_BYTES - held, "right"))))
+                while j < batch.num_rows and doc_ids[j] == doc_ids[j - 1]:
+                    j += 1
+                ids.append(doc_ids[i:j]), texts.append(batch.column(1).slice(i, j - i))
+                held += int(offs[j] - offs[i])
+                i = j
+        if ids:
+            yield ask(number, ids, texts)
+
+    parts = max(1, -(-n_bytes // PART_BYTES), min(shuffle_partitions(rows.sparkSession), -(-n_bytes // SHARD_BYTES)))
+    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(cut, ROWS)
+
+
 def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document."""
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = doc_rows(docs, id_col, text_col)
-    ranges = id_ranges(rows, SHARD_BYTES, most=MOST_SHARDS)
-    dealt = rows.withColumn("shard", F.lit(0) if ranges is None else ranges)
-    top = dealt.agg(F.max("shard")).first()[0]
-    buckets = 1 + (top or 0)
+    n_bytes = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
 
-    def cut_up(key, group):
-        number, shard = key[0].as_py(), Shard.from_rows(group, span)
-        found = shard.runs()
-        return _arrow([(number, TEXT, -1, *shard.pack()), *_ask(number, _distinct(found.key), _distinct(found.seg_key), buckets)])
-
-    first = scratch.put(dealt.groupBy("shard").applyInArrow(cut_up, ROWS), "shards")
+    first = scratch.put(_shards(rows, n_bytes, span, buckets), "shards")
     texts = first.where(F.col("kind") == TEXT)
     answer = lambda asked: asked.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(_reply, ROWS)
     replies = scratch.put(answer(first), "replies")
@@ -331,12 +427,12 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         number, single, got = _rows_of(group)
         shard = Shard.unpack(*single[TEXT], span)
         done, open_, keys = _settle(shard, buckets, got)
-        return _arrow([(number, STATE, -1, *_pack_masks(done, open_)), *_ask(number, keys, keys[:0], buckets, OPEN)])
+        return _arrow([(number, STATE, -1, *_pack_masks(done, open_), b""), *_ask(number, keys, NO_IDS, buckets, OPEN)])
 
     settled = scratch.put(texts.unionByName(replies).groupBy("shard").applyInArrow(settle, ROWS), "settled")
     scratch.drop("replies")
-    wants = first.where(F.col("kind") == ASKED).withColumn("b", F.lit(None).cast("binary")).unionByName(settled.where(F.col("kind") == OPEN))
-    wanted = scratch.put(wants.groupBy("bucket").applyInArrow(_wanted, ROWS), "wanted")
+    asked = first.where(F.col("kind") == ASKED).withColumn("b", F.lit(None).cast("binary")).withColumn("c", F.lit(None).cast("binary"))
+    wanted = scratch.put(asked.unionByName(settled.where(F.col("kind") == OPEN)).groupBy("bucket").applyInArrow(_wanted, ROWS), "wanted")
 
     def refine(key, group):
         number, single, got = _rows_of(group)
@@ -344,10 +440,10 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         done, open_ = _masks(single[STATE], len(shard.buf))
         found = shard.runs(stretches=False)
         runs = _distinct(found.key)
-        asked, _ = _answers(runs, runs[:0], buckets, got)
-        part = (open_ | _spread(asked[np.searchsorted(runs, found.key)], found.start, found.start + found.length, len(open_))) & ~done
-        keys = _distinct(shard.string_keys(np.flatnonzero(part)))
-        return _arrow([(number, STATE, -1, *_pack_masks(done, part)), *_ask(number, keys[:0], keys, buckets)])
+        want, _ = _answers(runs, NO_IDS, buckets, got)
+        part = (open_ | _spread(want[np.searchsorted(runs, found.key)], found.start, found.start + found.length, len(open_))) & ~done
+        ids = shard.string_keys(np.flatnonzero(part)).distinct()
+        return _arrow([(number, STATE, -1, *_pack_masks(done, part), b""), *_ask(number, _NO_KEYS, ids, buckets)])
 
     state = settled.where(F.col("kind") == STATE)
     refined = scratch.put(texts.unionByName(state).unionByName(wanted).groupBy("shard").applyInArrow(refine, ROWS), "refined")
@@ -359,11 +455,11 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         shard = Shard.unpack(*single[TEXT], span)
         repeat, part = _masks(single[STATE], len(shard.buf))
         at = np.flatnonzero(part)
-        keys = shard.string_keys(at)
-        distinct = _distinct(keys)
-        _, seen = _answers(distinct[:0], distinct, buckets, got)
+        ids = shard.string_keys(at)
+        distinct = ids.distinct()
+        _, seen = _answers(_NO_KEYS, distinct, buckets, got)
         if len(at):
-            repeat[at] |= _seen_within(keys, shard.doc_rank(at)) | seen[np.searchsorted(distinct, keys)]
+            repeat[at] |= _seen_within(ids, shard.doc_rank(at)) | seen[ids.among(distinct)]
         return _results(shard, repeat, span, keep_text)
 
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
@@ -371,21 +467,36 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
     return texts.unionByName(state).unionByName(last).groupBy("shard").applyInArrow(finish, out)
 
 
+_NO_KEYS = np.zeros(0, np.uint64)
+
+
+def _covered(repeat: np.ndarray, span: int) -> np.ndarray:
+    """Bytes under any string that starts at a marked offset."""
+    out = np.zeros(len(repeat), bool)
+    for lo in range(0, len(repeat), _CHUNK):
+        before = max(0, lo - span + 1)
+        marks = np.concatenate([np.zeros(span, np.int32), np.cumsum(repeat[before : lo + _CHUNK], dtype=np.int32)])
+        out[lo : lo + _CHUNK] = (marks[span:] > marks[:-span])[lo - before :]
+    return out
+
+
 def _results(shard: Shard, repeat: np.ndarray, span: int, keep_text: bool) -> pa.Table:
     """Bytes under any repeated string go; strings never reach over a document's end."""
-    n = len(shard.buf)
-    edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(repeat)
-    edge[at] += 1
-    edge[at + span] -= 1
-    gone = np.cumsum(edge[:n]) > 0
-    rises = gone & ~np.append(False, gone[:-1])[:n]
-    rises[shard.offs[:-1][np.diff(shard.offs) > 0]] |= gone[shard.offs[:-1][np.diff(shard.offs) > 0]]
-    upto_gone, upto_rise = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(rises))
-    n_gone, n_rise = np.diff(upto_gone[shard.offs]), np.diff(upto_rise[shard.offs])
-    raw = shard.buf
-    kept = [(raw[a:b][~gone[a:b]] if g else raw[a:b]).tobytes() for a, b, g in zip(shard.offs[:-1].tolist(), shard.offs[1:].tolist(), n_gone.tolist(), strict=True)]
-    cols = {"doc_id": pa.array(shard.ids, pa.int64()), "n_bytes": pa.array(np.diff(shard.offs), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_rise, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+    raw, gone = shard.buf, _covered(repeat, span)
+    n_gone, n_rise, kept, digests = [], [], [], []
+    for a, b in zip(shard.offs[:-1].tolist(), shard.offs[1:].tolist(), strict=True):
+        out = gone[a:b]
+        n_gone.append(int(np.count_nonzero(out)))
+        left = raw[a:b]
+        if n_gone[-1]:
+            n_rise.append(int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1])))
+            left = left[~out]
+        else:
+            n_rise.append(0)
+        digests.append(hashlib.sha256(left).hexdigest())
+        if keep_text:
+            kept.append(left.tobytes())
+    cols = {"doc_id": pa.array(shard.ids, pa.int64()), "n_bytes": pa.array(np.diff(shard.offs), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_rise, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
     return pa.table(cols | ({"kept": pa.array(kept, pa.binary())} if keep_text else {}))
 
 
