@@ -9,9 +9,9 @@ Documents with the same set are one class and take part once.  Buckets of any
 size are handled without listing their pairs: all members are first compared
 with the bucket's first and last member, and linked classes are merged.  Only
 members that are still in different components are compared further: pair by
-pair in small buckets; in others the members outside the bucket's largest
-component go in blocks against blocks of all members, so that the rows grow with
-the blocks and only links are given out.
+pair in small buckets, each pair once; in others the members outside the bucket's
+largest component go block by block against all members, and only links between
+components are given out.
 
 With 20 x 6 permutations (40 bands of 6 values) a pair of similarity s is
 compared with probability 1 - (1 - s^6)^40: 0.999995 at 0.8, 1 - 6e-9 at 0.85.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .graph import components
 SHINGLE_WORDS = 5
 PERCENT = 80
 GROUPS, ROWS = 20, 6
-BLOCK = 64  # sets in a block
+BLOCK = 256  # sets in a block
 BLOCK_SHINGLES = 4096  # sets longer than this on average make smaller blocks
 PAIR_ROWS = 256  # most pairs of a bucket that are listed as rows
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -145,62 +146,43 @@ def _late_pairs(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return _linked(rest.repartition("a").distinct(), texts, k, percent)
 
 
-def _late_blocks(apart: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """a, b: components linked by members of a larger bucket, one of them outside its largest component."""
-    rows = apart.where("NOT listed").join(texts, "node")
+def _late_blocks(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: components linked by members of a larger bucket, one of them outside its largest component.
+
+    The members outside and all members are dealt into blocks; a task has one
+    block of each, so a set goes to as many tasks as the other side has blocks.
+    """
     wide = F.greatest(F.lit(1.0), F.col("longest") / BLOCK_SHINGLES)  # long sets go fewer to a block
-    blocked = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) * wide / BLOCK)).cast("int")
-    every = rows.select("band", F.lit(0).alias("side"), blocked("size").alias("block"), "label", "text")
-    others = rows.where("label <> major").select("band", F.lit(1).alias("side"), blocked("others").alias("block"), "label", "text")
-
-    def to_block(key, group):
-        x, offs = shingle_sets(group.column("text").combine_chunks(), k)
-        packed = pa.compress(x.tobytes(), "zstd", asbytes=True)
-        return pa.table({"band": [key[0].as_py()], "side": pa.array([key[1].as_py()], pa.int32()), "labels": [group.column("label").to_pylist()], "offs": [offs.tolist()], "sets": [packed]})
-
-    schema = "band long, side int, labels array<long>, offs array<long>, sets binary"
-    blocks = scratch.put(every.union(others).groupBy("band", "side", "block").applyInArrow(to_block, schema), "blocks")
-    sided = lambda side, tag: blocks.where(F.col("side") == side).select("band", *[F.col(c).alias(f"{c}_{tag}") for c in ("labels", "offs", "sets")])
-    met = sided(1, "x").join(sided(0, "y"), "band").drop("band")
-
-    def unpacked(row: dict, tag: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        offs = np.array(row[f"offs_{tag}"])
-        values = np.frombuffer(pa.decompress(row[f"sets_{tag}"], int(offs[-1]) * 8, "zstd"), np.uint64)
-        return np.array(row[f"labels_{tag}"]), np.diff(offs), values, np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-
-    def compare(batches):
-        for batch in batches:
-            out: set[tuple[int, int]] = set()
-            for i in range(batch.num_rows):  # one row at a time: two blocks of sets
-                row = batch.slice(i, 1).to_pylist()[0]
-                lx, nx, vx, dx = unpacked(row, "x")
-                ly, ny, vy, dy = unpacked(row, "y")
-                common = np.intersect1d(vx, vy)
-                hold = []
-                for v, d, n in ((vx, dx, len(lx)), (vy, dy, len(ly))):
-                    at = np.minimum(np.searchsorted(common, v), max(len(common) - 1, 0))
-                    on = np.flatnonzero(common[at] == v) if len(common) else np.zeros(0, int)
-                    m = np.zeros((n, len(common)), np.float32)
-                    m[d[on], at[on]] = 1
-                    hold.append(m)
-                both = (hold[0] @ hold[1].T).astype(np.int64)
-                linked = (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (lx[:, None] != ly[None, :])
-                for p, q in zip(*np.nonzero(linked), strict=True):
-                    out.add((max(int(lx[p]), int(ly[q])), min(int(lx[p]), int(ly[q]))))
-            pairs = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-    return met.mapInArrow(compare, "a long, b long")
-
-
-def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """a, b: classes, by their ids, of texts that share an id; None if no id comes twice."""
-    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if (ids.agg(F.max("n")).first()[0] or 0) < 2:
-        return None
-    several = signed.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").where("set_key IS NOT NULL").join(classes.select("set_key", "node.start"), "set_key")
-    least = several.groupBy("doc_id").agg(F.min("start").alias("b"))
-    return several.join(least, "doc_id").select(F.col("start").alias("a"), "b").where("a <> b").distinct()
+    blocks = lambda n: F.ceil(F.col(n) * wide / BLOCK).cast("int")
+    dealt = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), blocks(other) - 1), lambda j: F.struct(F.pmod(F.xxhash64("node"), blocks(own)).cast("int").alias("own"), j.alias("other"))))
+    rows = apart.where("NOT listed")
+    y = rows.select("band", "node", "label", F.lit(0).alias("side"), dealt("size", "others").alias("at")).select("band", F.col("at.other").alias("i"), F.col("at.own").alias("j"), "side", "node", "label")
+    x = rows.where("label <> major").select("band", "node", "label", F.lit(1).alias("side"), dealt("others", "size").alias("at")).select("band", F.col("at.own").alias("i"), F.col("at.other").alias("j"), "side", "node", "label")
+
+    def compare(group):
+        sides = []
+        for side in (1, 0):
+            part = group.filter(pa.compute.equal(group.column("side"), side))
+            if not part.num_rows:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            values, offs = shingle_sets(part.column("text").combine_chunks(), k)
+            sides.append((part.column("label").to_numpy(), np.diff(offs), values, np.repeat(np.arange(len(offs) - 1), np.diff(offs))))
+        (lx, nx, vx, dx), (ly, ny, vy, dy) = sides
+        common = np.intersect1d(vx, vy)
+        hold = []
+        for v, d, n in ((vx, dx, len(lx)), (vy, dy, len(ly))):
+            at = np.minimum(np.searchsorted(common, v), max(len(common) - 1, 0))
+            on = np.flatnonzero(common[at] == v) if len(common) else np.zeros(0, int)
+            m = np.zeros((n, len(common)), np.float32)
+            m[d[on], at[on]] = 1
+            hold.append(m)
+        both = (hold[0] @ hold[1].T).astype(np.int64)
+        linked = (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (lx[:, None] != ly[None, :])
+        p, q = np.nonzero(linked)
+        pairs = np.unique(np.column_stack([np.maximum(lx[p], ly[q]), np.minimum(lx[p], ly[q])]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return x.unionByName(y).join(texts, "node").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +190,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     scratch = Scratch(docs.sparkSession, "neardups")
     rows = doc_rows(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     signed = scratch.put(_signatures(rows, k), "signed")
-    # a class is named after its least document; classes of texts that share an id are one node of the graph
     own = F.struct(F.col("doc_id").alias("start"), "text_key")
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(own).alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.put(classes, "classes")
+    # a class stands for its documents under its least id; an id that several texts share ties their classes
+    copies = signed.select("doc_id", "set_key").join(classes.select("set_key", "node.start"), "set_key").where("doc_id <> start")
+    copies = scratch.put(copies.select(F.col("doc_id").alias("a"), F.col("start").alias("b")), "copies", F.count("*"))
+    n_copies = scratch.observed
 
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail")
@@ -225,12 +210,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     ends = F.inline(F.array(*[F.struct(F.col("node").alias("a"), F.col(end).alias("b"), F.col("node.start").alias("label_a"), F.col(f"{end}.start").alias("label_b")) for end in ("head", "tail")]))
     first = members.where("node <> head").select(ends).where("a <> b").repartition("a").distinct()
     links = scratch.put(few(_linked(first, texts, k, percent), n_members), "links", F.count("*"))
-    n_links = scratch.observed
-    same = _same_id(signed, classes)
-    if same is not None:
-        same = scratch.put(same, "same", F.count("*"))
-        links, n_links = links.unionByName(same), n_links + scratch.observed
-    forest = components(links, n_links, scratch, "merge")
+    n_links = scratch.observed + n_copies
+    forest = components(links.unionByName(copies), n_links, scratch, "merge")
 
     # members of a bucket that are still apart; its first and last have met all others
     labels = forest.select(F.col("node").alias("start"), "root")
@@ -243,17 +224,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     n_listed, n_rest = scratch.observed["listed"], scratch.observed["rest"]
     late = _late_pairs(apart, texts, k, percent) if n_listed else None
     if n_rest:
-        met = _late_blocks(apart, texts, scratch, k, percent)
+        met = _late_blocks(apart, texts, k, percent)
         late = met if late is None else late.unionByName(met)
     if late is not None:
-        late = scratch.put(few(late, n_listed + n_rest), "late", F.count("*"))
+        late = scratch.put(few(late, n_listed + n_rest, 1_000), "late", F.count("*"))
         if scratch.observed:
             forest = components(late.unionByName(forest.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch.observed + n_links, scratch, "top")
+    scratch.drop("classes", "copies", "members", "texts", "links", "apart", *(["late"] if late is not None else []))
 
-    roots = forest.select(F.col("node").alias("start"), "root")
-    whole = classes.select("set_key", "node.start").join(roots, "start", "left").select("set_key", F.coalesce("root", "start").alias("component"))
-    found = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = signed.select("doc_id", "n_shingles").join(forest.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
