@@ -244,3 +244,54 @@ def test_pipeline(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+PROSE = "<p>" + " ".join(["Some running prose of the article goes here, with several words."] * 4) + "</p>"
+PLAIN = " ".join(["Some running prose of the article goes here, with several words."] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="content overflow-hidden">{PROSE}</div>', PLAIN),
+        (f'<article><div class="overflow-hidden">{PROSE}</div></article>', PLAIN),
+        (f'<div id="page" class="site has-sidebar"><h1>Title</h1>{PROSE}</div>', f"Title {PLAIN}"),
+        (f'<article><section id="legal">{PROSE}</section></article>', PLAIN),
+        (f'<article><h1>Title</h1><section id="legal">{PROSE}</section></article>', f"Title {PLAIN}"),
+        (f'<div>{PROSE}</div><article class="comment">{PROSE}</article>', PLAIN),
+        (f'<article class="comment">{PROSE}</article>', ""),
+        (f'<div class="sidebar"><h3>Most read</h3></div>{PROSE}<div class="comments">{PROSE * 5}</div>', PLAIN),
+        (f'<article>{PROSE}<div class="ad">buy this</div>{PROSE}<aside>beside</aside></article>', f"{PLAIN} {PLAIN}"),
+        (f'<article data-note="hidden">{PROSE}</article><div hidden>{PROSE}</div>', PLAIN),
+        (f'<div id="sidebar-page"><main>{PROSE}</main></div>', PLAIN),
+        ("<nav>a b c</nav><footer>d e f</footer>", ""),
+    ],
+)
+def test_names_are_evidence(page, want):
+    assert html_text.main_text(page, WEIGHTS) == want
+
+
+WEIGHTS = html_text.fit_weights(html_text.labelled_pages())
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<i></b>", "<div>", "<p>", '<a x="y', '<div class="ad">', "</p>", "word <br>"])
+def test_long_pages_take_time_in_proportion(piece):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        html_text.main_text(piece * n, WEIGHTS)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
+def test_extract_text_of_any_table(spark):
+    rows = [(1, "u", PROSE, "x", 3), (1, "u", PROSE, "x", 3), (2, None, None, "x", 3), (None, "u", "", "x", 3), (4, "u", "&nope; &amp; <p>a</p>" + PROSE, "x", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string, named long")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()), key=str)
+    assert got == sorted([(1, "u", PLAIN, len(PLAIN))] * 2 + [(2, None, "", 0), (None, "u", "", 0), (4, "u", f"&nope; & a {PLAIN}", len(PLAIN) + 11)], key=str)
+    assert html_text.extract_text(pages, keep=("block", "named")).columns == ["page_id", "block", "named", "text", "n_chars"]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_text.extract_text(pages.withColumnRenamed("block", "text"), keep=("text",))

@@ -6,10 +6,19 @@ one linear scan finds the contiguous run of the greatest sum.  Text of that run
 is given out by blocks; elements within it that never hold main text (scripts,
 forms, menus, adverts, notices, reader comments) are passed over.
 
+What an element is follows from its tag, from whether it is hidden, and from the
+words of its class and id.  Names are evidence, not a verdict: an element with
+the name of a side part still counts as an ordinary one if it holds the page's
+``main`` or ``h1``; one whose name is doubtful (a notice, a widget, legal terms)
+also if it holds more running text than all that is outside such elements.
+Names of states ("has-sidebar", "comments-open", "overflow-hidden") say nothing.
+
 Defined cases: null, empty and text-free pages give an empty text; markup that
 never ends is read to the end of the page; unknown character references stay as
 they are; rows without an id are kept with a null id; repeated rows are each
-extracted; other columns are ignored.
+extracted; very long pages and deeply nested ones take time in proportion to
+their length; other columns are ignored, and columns to keep may have any name
+but the two that are added.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ import html as html_lib
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +42,15 @@ BODY = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": frozenset("p div article section ul ol table h1 h2 h3 h4 h5 h6 blockquote pre footer header nav aside form main".split()), "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
-CHROME_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu\w*|bread-?crumbs?|footer|masthead|site-?header|page-?header|top-?bar|cookies?\w*|consent|gdpr|notice|notification|alert|comments?|comment-?list|disqus|respond|replies|reply|social|share|sharing|related|recommend\w*|newsletter|subscri\w*|sign-?up|log-?in|search\w*|pop-?up|modal|overlay|widget\w*|pager|pagination|skip-?link|copyright|legal|toolbar|tags?|hidden|sr-only)(?:$|[\s_-])", re.I)
+SIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies cookiebar consent gdpr comment comments commentlist disqus respond replies reply social share sharing newsletter subscribe signup login search popup modal pager pagination skiplink toolbar".split())
+DOUBTFUL_NAMES = frozenset("promo promotion banner notice notification alert related recommended recommendations widget widgets overlay copyright legal tags hidden sr".split())
+STATES = frozenset("has have with no non without open opened closed off on enabled disabled is not overflow visible".split())
+COMPOUND_NAMES = frozenset({("site", "header"), ("page", "header"), ("top", "bar"), ("side", "bar"), ("bread", "crumbs"), ("sign", "up"), ("log", "in"), ("pop", "up"), ("skip", "link")})
 BODY_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post-?body|post-?content|entry-?content|story\w*|main-?content|content-?body|article-?body|body-?text|prose)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
@@ -45,84 +58,150 @@ class Token:
     kind: str  # the feature that its weight is looked up by
     text: str | None  # None for a tag
     block: int
-    keep: bool  # whether its text can be given out
+    context: str  # plain, body, side, or inner: a side part within a body, which breaks no run
     words: int = 0
+    named: int = 0  # number of the outermost element around with a side part's name, or 0
+
+
+@dataclass
+class _Block:
+    """An open block element and the inline elements open in it."""
+
+    name: str
+    context: str
+    named: int
+    inline: list[str] = field(default_factory=list)
+    n_inline: Counter = field(default_factory=Counter)
+
+
+def _named_part(names: str) -> bool | None:
+    """True if a class or id names a side part, False if it may be one, None if it names none."""
+    doubt = None
+    for name in names.lower().split():
+        parts = [x for x in _PARTS.split(name) if x]
+        if STATES.intersection(parts):
+            continue
+        if SIDE_NAMES.intersection(parts) or COMPOUND_NAMES.intersection(zip(parts, parts[1:], strict=False)):
+            return True
+        if DOUBTFUL_NAMES.intersection(parts):
+            doubt = False
+    return doubt
+
+
+def _attributes(text: str) -> tuple[str, bool]:
+    """Class, id, role and label of an element, and whether it is hidden."""
+    names, hidden = [], False
+    for m in _ATTRIBUTE.finditer(text):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role", "aria-label"):
+            names.append(value)
+        elif key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NO_DISPLAY.search(value):
+            hidden = True
+    return " ".join(names), hidden
 
 
 def tokenize(page: str) -> list[Token]:
-    """Tags and texts of a page with the context of each."""
+    """Tags and texts of a page with the context of each, in time that grows with its length."""
     out: list[Token] = []
-    stack: list[tuple[str, str]] = []  # element and its context: chrome, body, flow or plain
-    block, at, n = 0, 0, len(page)
+    stack = [_Block("", "plain", 0)]
+    open_blocks: Counter = Counter()
+    sure: list[bool] = [True]  # of each named element: whether its name is beyond doubt
+    main: set[int] = set()  # named elements that hold the page's main or h1
+    block, at, n, n_links = 0, 0, len(page), 0
+
+    def close() -> None:
+        nonlocal n_links
+        top = stack.pop()
+        open_blocks[top.name] -= 1
+        n_links -= top.n_inline["a"]
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
-        name = m[2]
+        name, top = m[2], stack[-1]
         if name is None:
             text = m[0]
             if text[0] == "<" and len(text) > 1:
-                if text.startswith("<![CDATA["):
-                    text = text[9:].removesuffix("]]>")
-                else:
+                if not text.startswith("<![CDATA["):
                     continue
-            context = stack[-1][1] if stack else "plain"
-            inside = stack[-1][0] if stack else ""
+                text = text[9:].removesuffix("]]>")
             text = html_lib.unescape(text)
-            words = len(text.split())
-            leaf = "link" if any(e == "a" for e, _ in stack[-3:]) else "para" if inside in ("p", "blockquote", "pre") or any(e == "p" for e, _ in stack[-4:]) else "head" if inside[:1] == "h" and inside[1:].isdigit() else "item" if inside in ("li", "td", "th", "dd", "dt") else "bare"
-            out.append(Token(f"word {context} {leaf}", text, block, context != "chrome", words))
+            inside = top.name
+            leaf = "link" if n_links else "para" if open_blocks["p"] or inside in ("blockquote", "pre") else "head" if inside[:1] == "h" and inside[1:].isdigit() else "item" if inside in ("li", "td", "th", "dd", "dt") else "bare"
+            out.append(Token(leaf, text, block, top.context, len(text.split()), top.named))
             continue
         name = name.lower()
         attrs = m[3] or ""
         if m[1]:
-            if name == "br" or name == "p" and not any(e == "p" for e, _ in stack):
+            if name in INLINE:
+                if top.n_inline[name]:  # a stray end tag of an inline element closes no block around it
+                    while True:
+                        last = top.inline.pop()
+                        top.n_inline[last] -= 1
+                        n_links -= last == "a"
+                        if last == name:
+                            break
+            else:
+                if open_blocks[name]:
+                    while stack[-1].name != name:
+                        close()
+                    close()
                 block += 1
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            context = stack[-1][1] if stack else "plain"
-            if depth is not None:
-                # a stray end tag of an inline element closes no block around it
-                if name not in INLINE or all(e in INLINE for e, _ in stack[depth:]):
-                    del stack[depth:]
-            if name not in INLINE:
+            if name == "br" or name == "p" and not open_blocks["p"]:
                 block += 1
-            out.append(Token(f"/{name} {context}", None, block, False))
+            out.append(Token(f"/{name}", None, block, top.context, 0, top.named))
             continue
-        while stack and name in CLOSED_BY.get(_innermost_block(stack), ()):
-            _close_innermost(stack)
-        around = stack[-1][1] if stack else "plain"
+        while len(stack) > 1 and name in CLOSED_BY.get(stack[-1].name, ()):
+            close()
+        top = stack[-1]
         if name not in INLINE:
             block += 1
         if name in VOID or attrs.endswith("/") and name not in RAW:
-            out.append(Token(f"{name} {around}", None, block, False))
+            out.append(Token(name, None, block, top.context, 0, top.named))
             continue
-        names = " ".join(filter(None, (x for g in _NAMES.findall(attrs) for x in g)))
-        context = around
-        if around != "chrome":
-            if name in CHROME or name == "header" and around != "body" or _HIDDEN.search(attrs) or names and name not in BODY and name not in ("html", "body") and CHROME_NAMES.search(names):
-                context = "chrome"
+        names, hidden = _attributes(attrs) if attrs else ("", False)
+        context, named = top.context, top.named
+        if context not in ("side", "inner"):
+            part = _named_part(names) if names and name not in ("html", "body") else None
+            if name in CHROME or hidden or name == "header" and context != "body":
+                context = "inner" if context == "body" else "side"
+            elif part is not None and name != "main" and not named:
+                sure.append(part)
+                named = len(sure) - 1
             elif name in BODY or names and BODY_NAMES.search(names):
                 context = "body"
-        out.append(Token(f"{name} {context}", None, block, False))
+        if name in ("main", "h1") and named:
+            main.add(named)
+        out.append(Token(name, None, block, context, 0, named))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-            continue
-        stack.append((name, context))
-    return out
-
-
-def _innermost_block(stack: list[tuple[str, str]]) -> str:
-    for e, _ in reversed(stack):
-        if e not in INLINE:
-            return e
-    return ""
+        elif name in INLINE:
+            if context == top.context and named == top.named:
+                top.inline.append(name)
+                top.n_inline[name] += 1
+                n_links += name == "a"
+            else:  # a hidden or named inline element is a part of its own
+                stack.append(_Block(name, context, named))
+                open_blocks[name] += 1
+        else:
+            stack.append(_Block(name, context, named))
+            open_blocks[name] += 1
+    return _placed(out, sure, main)
 
 
-def _close_innermost(stack: list[tuple[str, str]]) -> None:
-    while stack:
-        e, _ = stack.pop()
-        if e not in INLINE:
-            return
+def _placed(tokens: list[Token], sure: list[bool], main: set[int]) -> list[Token]:
+    """The tokens with the contexts of named elements settled."""
+    prose: Counter = Counter()
+    for t in tokens:
+        if t.text is not None and t.context in ("plain", "body") and t.kind in ("para", "head", "bare"):
+            prose[t.named] += t.words
+    side = {no for no in range(1, len(sure)) if no not in main and (sure[no] or prose[no] <= prose[0])}
+    for t in tokens:
+        if t.named in side:
+            t.context = "inner" if t.context in ("body", "inner") else "side"
+        t.kind = f"word {t.context} {t.kind}" if t.text is not None else f"{t.kind} {t.context}"
+    return tokens
 
 
 def labelled_pages() -> list[str]:
@@ -164,19 +243,21 @@ def fit_weights(pages: list[str], smooth: float = 1.0) -> dict[str, float]:
     weights = {}
     for kind in inside.keys() | outside.keys():
         odds = math.log((inside[kind] + smooth) / (n1 + smooth)) - math.log((outside[kind] + smooth) / (n0 + smooth))
-        if not kind.startswith("word") or "chrome" in kind:
+        if not kind.startswith("word") or "side" in kind:
             weights[kind] = min(odds, -0.5)
         else:
             weights[kind] = max(odds, -0.8 if kind.endswith("link") else 0.2)
     return weights
 
 
-DEFAULT_WORD = {"chrome": -2.0, "body": 1.0, "plain": 0.6}
-LINK_WORD = {"chrome": -2.0, "body": 0.3, "plain": -0.8}
+DEFAULT_WORD = {"side": -2.0, "body": 1.0, "plain": 0.6}
+LINK_WORD = {"side": -2.0, "body": 0.3, "plain": -0.8}
 DEFAULT_TAG = -0.5
 
 
 def token_score(t: Token, weights: dict[str, float]) -> float:
+    if t.context == "inner":
+        return 0.0
     if t.text is None:
         w = weights.get(t.kind)
         return max(w, -3.0) if w is not None else DEFAULT_TAG
@@ -202,25 +283,20 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the best run; if it reaches a marked main element, of that element's part of the run."""
     if not page:
         return ""
     tokens = tokenize(page)
     lo, hi = best_run([token_score(t, weights) for t in tokens])
-    if lo < hi:
-        # the whole of a marked main element, if the run lies within one
-        body = [i for i, t in enumerate(tokens) if t.text is not None and t.kind.startswith("word body")]
-        if body and any(lo <= i < hi for i in body):
-            lo, hi = min(lo, body[0]), max(hi, body[-1] + 1)
-            return _blocks(t for t in tokens[lo:hi] if t.kind.startswith("word body"))
-    return _blocks(tokens[lo:hi])
+    run = [t for t in tokens[lo:hi] if t.text is not None and t.context in ("plain", "body")]
+    body = [t for t in run if t.context == "body"]
+    return _blocks(body or run)
 
 
-def _blocks(tokens) -> str:
+def _blocks(tokens: list[Token]) -> str:
     blocks: list[list[str]] = []
     at = None
     for t in tokens:
-        if t.text is None or not t.keep:
-            continue
         if t.block != at:
             blocks.append([])
             at = t.block
@@ -230,6 +306,8 @@ def _blocks(tokens) -> str:
 
 def extract_text(pages: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """id, the kept columns, text and n_chars of every page."""
+    if {"text", "n_chars"} & {id_col, *keep}:
+        raise ValueError("text and n_chars are the names of the columns that are added")
     weights = fit_weights(labelled_pages()) if weights is None else weights
     rows = pages.select(id_col, *keep, html_col)
     names = [id_col, *keep]
