@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._base import Scratch, table
+from ._base import Scratch, few, table
 
 LEAST_WORDS = 10
 _WHITE = " \t\n\x0b\x0c\r"
@@ -126,20 +126,23 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.put(_line_table(docs, least_words), "lines")
     prints = lines.select("doc_id", "text_key", F.explode("fingerprints").alias("f")).select("doc_id", "text_key", F.col("f.hash").alias("hash"), F.col("f.windows").alias("windows"))
-    repeated = scratch.put(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
-    known = scratch.put(prints.join(repeated, "hash", "left_semi").select("doc_id", "text_key", F.explode("windows").alias("w")).select("doc_id", "text_key", F.col("w.key").alias("key"), F.col("w.start").alias("start")), "windows")
+    repeated = prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    known = prints.join(repeated, "hash", "left_semi").select("doc_id", "text_key", F.explode("windows").alias("w")).select("doc_id", "text_key", F.col("w.key").alias("key"), F.col("w.start").alias("start"))
+    known = scratch.put(known, "windows", F.count("*"))
+    n_known = scratch.observed
     place = F.struct("doc_id", "text_key", "start")
-    firsts = scratch.put(known.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first"), "firsts")
+    firsts = known.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
     matches = known.join(firsts, "key").where(place != F.col("first"))
     diagonals = matches.select("doc_id", "text_key", "start", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"), (F.col("start") - F.col("first.start")).alias("shift"))
-    grouped = scratch.put(diagonals.groupBy("doc_id", "text_key", "first_doc", "first_key", "shift").agg(F.collect_set("start").alias("starts")), "diagonals")
+    grouped = diagonals.groupBy("doc_id", "text_key", "first_doc", "first_key", "shift").agg(F.collect_set("start").alias("starts"))
+    grouped = scratch.put(few(grouped, n_known, 20_000), "diagonals")
     own = lines.select("doc_id", "text_key", "lines").dropDuplicates(["doc_id", "text_key"])
-    own = scratch.put(own, "own")
     other = own.select(F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), F.col("lines").alias("first_lines"))
     with_first = grouped.join(other, ["first_doc", "first_key"]).select("doc_id", "text_key", "shift", "starts", "first_lines")
     pairs = with_first.join(own, ["doc_id", "text_key"])
-    found = scratch.put(_extended(pairs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
-    scratch.drop("lines", "repeated", "windows", "firsts", "diagonals", "own")
+    found = _extended(pairs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    found = scratch.put(few(found, n_known, 20_000), "runs")
+    scratch.drop("lines", "windows", "diagonals")
     return found
 
 
