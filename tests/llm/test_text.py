@@ -242,6 +242,33 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_stages_on_any_rows(spark):
+    few = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()]
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+    rows = [*few, *few[:3], (901, None, None, None, None), (902, "", "en", "s", 0), (903, " \n\t ", "en", "s", 4), (None, few[0][1], "en", "s", 1), (904, long, "en", "s", None), (905, few[1][1], "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, 1, "a", 2, 3) for r in rows], schema + ", _quality int, text_key string, runs int, _kept_id int")
+    ids = {r[0] for r in rows if r[0] is not None}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        assert {r.doc_id for r in got} <= ids, name
+        if name == "line_dedup":
+            assert all(r.text.strip() for r in got) and 904 in {r.doc_id for r in got}
+        if name not in ("packing", "quality"):
+            assert {904} <= {r.doc_id for r in got}
+        if name == "packing":
+            assert {r.doc_id for r in got} == ids
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_no_blank_document_is_packed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    again = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    kept = corpus_pipeline.line_dedup(spark, again, SF)
+    assert kept.where(F.length(F.trim("text")) == 0).count() == 0
+    assert corpus_pipeline.packing(spark, kept, SF).where("length < 2").count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 

@@ -169,10 +169,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
         for leaf, value in leaves:
             z[leaf] += rate * value
     rules = list(dict.fromkeys(paths))
+    if not rules:  # too few rows for any split
+        return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), ())
     design = np.column_stack([_holds(x, r) for r in rules]).astype(np.float64)
     share = design.mean(0)
     keep = (share > 0.002) & (share < 0.998)
     rules, design = [r for r, k in zip(rules, keep, strict=True) if k], design[:, keep]
+    if not rules:
+        return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), ())
     _, kept = np.unique(design, axis=1, return_index=True)
     rules, design = [rules[i] for i in sorted(kept)], design[:, sorted(kept)]
     mean, n = design.mean(0), len(y)
