@@ -2,6 +2,12 @@
 
 Every stage works on all documents that its predecessor kept.  All but the last
 return the columns of ``documents``; the last returns the packed pieces.
+
+Defined cases, for every stage: an empty table gives no rows; rows without an id
+are left out; repeated rows are each a row; null texts are empty; other columns
+than those of ``documents`` are dropped, so their names can't clash.  A blank
+text is scored by the quality stage like any other; line dedup drops documents
+that are blank after it, so none is packed.
 """
 
 from __future__ import annotations
@@ -22,13 +28,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars as the text has it now."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return docs.where("doc_id IS NOT NULL").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the labels of the held-out fold are not learned from."""
+    docs = _given(docs)
     sample = F.broadcast(learnable(table(spark, sf_dir, "labels"), "quality", 4, 2, SAMPLE_ROWS).select("doc_id"))  # at most SAMPLE_ROWS ids
     labelled = doc_rows(docs).join(sample, "doc_id", "left_semi")
     stats = Scratch(spark, "quality-stage").put(with_statistics(labelled).drop("text"), "stats")
@@ -37,18 +48,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of lines."""
-    return _documents(remove_repeated_lines(docs))
+    """Documents without later repeats of runs of lines; what is blank then goes."""
+    return _documents(remove_repeated_lines(_given(docs)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return _documents(keep_one_of_each(docs))
+    return _documents(keep_one_of_each(_given(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return _documents(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return _documents(decontaminate(_given(docs), table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
