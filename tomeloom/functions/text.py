@@ -20,6 +20,12 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, f"{p.ANY_SPACE}+\\z", "")
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's numbers up to each place, by doubling: n log n steps and no growing copy."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda d: d < F.size(numbers))
+    return F.aggregate(steps, numbers, lambda sums, d: F.transform(sums, lambda x, i: x + F.when(i >= d, F.get(sums, i - d)).otherwise(0)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array of (start, end, hit) of all matches, in code points.
 
@@ -27,17 +33,21 @@ def spans(text: Column, pattern: str) -> Column:
     places; texts without a match skip all but the test.
     """
     rx = _java(pattern)
-    pairs = F.arrays_zip(F.split(text, rx, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("hit"))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
-
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rx), found).otherwise(none)
+    found = F.struct(F.split(text, rx, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("hits"))
+    # lambda variables hold the matches and the sums: they are computed once, not once a match
+    lengths = lambda s: F.transform(s["hits"], lambda h, i: F.length(F.get(s["gaps"], i)) + F.length(h))
+    placed = F.transform(
+        F.array(found),
+        lambda s: F.get(
+            F.transform(
+                F.transform(F.array(lengths(s)), running_sums),
+                lambda ends: F.transform(s["hits"], lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), h.alias("hit"))),
+            ),
+            F.lit(0),
+        ),
+    )
+    return F.when(text.rlike(rx), F.get(placed, F.lit(0))).otherwise(none)
 
 
 def _java(pattern: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,41 +14,52 @@ def allowances(requests: DataFrame, capacity: int = CAPACITY, per_minute: float
     """key, event_id, allowed, wait of every request; requests: key, ts (microseconds), event_id.
 
     A bucket starts full, refills with time up to its capacity and gives one
-    token a request.  The state depends on itself, so it is folded over each
-    key's requests in order of (ts, event_id).
+    token a request.  The state depends on itself, so each key's requests are
+    read in order of (ts, event_id), a batch at a time, with two numbers kept.
     """
     rate = per_minute / 60.0
-    one = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("asked"))
-    none = F.array().cast("array<struct<event_id:bigint,allowed:boolean,wait:double>>")
 
-    def step(acc: Column, r: Column) -> Column:
-        filled = F.when(acc["at"].isNull(), F.lit(float(capacity))).otherwise(F.least(F.lit(float(capacity)), acc["tokens"] + (r["ts"] - acc["at"]) / 1e6 * rate))
-        return F.get(
-            F.transform(F.array(filled), lambda t: F.struct(
-                F.when(t >= 1, t - 1).otherwise(t).alias("tokens"), r["ts"].alias("at"),
-                F.array_append(acc["out"], F.struct(r["event_id"].alias("event_id"), (t >= 1).alias("allowed"), F.when(t >= 1, 0.0).otherwise((1 - t) / rate if rate else F.lit(60.0)).alias("wait"))).alias("out"),
-            )), F.lit(0),
-        )
-
-    init = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("bigint").alias("at"), none.alias("out"))
-    return one.select("key", F.explode(F.aggregate("asked", init, step, lambda acc: acc["out"])).alias("r")).select("key", "r.*")
-
-
-def kept_buckets(buckets: DataFrame, most: int = MOST_BUCKETS, splits: int = 64) -> DataFrame:
+    def run(batches):
+        key, at, tokens = None, None, 0.0
+        for batch in batches:
+            columns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            allowed, wait = [], []
+            for k, ts in zip(*columns, strict=True):
+                if at is None or k != key:
+                    key, tokens = k, float(capacity)
+                else:
+                    tokens = min(float(capacity), tokens + (ts - at) / 1e6 * rate)
+                at = ts
+                allowed.append(tokens >= 1)
+                wait.append(0.0 if tokens >= 1 else (1 - tokens) / rate if rate else 60.0)
+                tokens -= tokens >= 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, pa.bool_()), pa.array(wait, pa.float64())], ["key", "event_id", "allowed", "wait"])
+
+    schema = f"key {requests.schema['key'].dataType.simpleString()}, event_id {requests.schema['event_id'].dataType.simpleString()}, allowed boolean, wait double"
+    return requests.select("key", "ts", "event_id").repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInArrow(run, schema)
+
+
+def kept_buckets(buckets: DataFrame, most: int = MOST_BUCKETS, rows_a_range: int = 100_000) -> DataFrame:
     """The buckets that stay: all below ``most``, else the later half by (last, key); buckets: key, last (a number).
 
-    Places are counted within ranges of ``last``, whose bounds and sizes are a
-    fixed number of values, so no window runs over all rows.
+    The rows are dealt into ranges of (last, key), of which only the least row and
+    the count are looked at; ranges after the half stay, and places are counted
+    in the one range that holds it.
     """
     n = buckets.count()
     if n < most:
         return buckets
-    bounds = sorted(set(buckets.agg(F.percentile_approx("last", [i / splits for i in range(1, splits)])).first()[0]))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("last")))
-    sizes = {r["part"]: r["count"] for r in buckets.groupBy(part.alias("part")).count().collect()}
-    before = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
-    place = F.row_number().over(Window.partitionBy("part").orderBy("last", "key")) + F.get(F.array(*[F.lit(x) for x in before]), F.col("part"))
-    return buckets.withColumn("part", part).withColumn("place", place).where(F.col("place") > n // 2).select(*buckets.columns)
+    place = F.struct("last", "key")
+    dealt = buckets.select("last", "key").repartitionByRange(max(2, -(-n // rows_a_range)), "last", "key")
+    ranges = sorted(dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(place).alias("least"), F.count("*").alias("n")).select("least", "n").collect())
+    before, cut = 0, 0
+    while before + ranges[cut]["n"] <= n // 2:
+        before, cut = before + ranges[cut]["n"], cut + 1
+    bounds = [r["least"] for r in ranges[cut : cut + 2]]
+    at_least = lambda b: (F.col("last") > F.lit(b["last"])) | (F.col("last") == F.lit(b["last"])) & (F.col("key") >= F.lit(b["key"]))
+    later = at_least(bounds[1]) if len(bounds) > 1 else F.lit(False)
+    middle = buckets.where(at_least(bounds[0]) & ~later).withColumn("place", F.row_number().over(Window.orderBy("last", "key")) + before)
+    return middle.where(F.col("place") > n // 2).select(*buckets.columns).unionByName(buckets.where(later))
 
 
 def backoff(base: float, most: float, attempts: int) -> Column:
