@@ -322,3 +322,16 @@ def test_extract_text_of_any_table(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         html_text.extract_text(pages.withColumnRenamed("block", "text"), keep=("text",))
+
+
+def test_secrets_of_a_very_long_text(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        docs = spark.createDataFrame([(1, "0123456789abcdef " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = secrets.scan_parts(docs).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+        took.append(time.perf_counter() - began)
+        assert (r.n, tuple(r["last"])) == (n, (17 * (n - 1), 2, 17 * (n - 1) + 16))
+    assert took[1] < 8 * took[0] + 2

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import running_sums
 from ._base import Scratch, doc_rows, table
 
 # The base kinds in their order, with the least length of what is kept.
@@ -57,23 +58,24 @@ def _spans(text: Column, kind_no: int, kind: Kind) -> Column:
     Matches and the gaps between them alternate, so running lengths give places.
     """
     rx = F.lit(kind.pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    value = F.regexp_extract_all(text, rx, F.lit(kind.value_group)) if kind.value_least else found
-    triples = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        keep = x["hit"].isNotNull() & (F.length(x["value"]) >= kind.value_least)
+    hits = F.regexp_extract_all(text, rx, F.lit(0))
+    values = F.regexp_extract_all(text, rx, F.lit(kind.value_group)) if kind.value_least else hits
+    found = F.struct(F.split(text, kind.pattern, -1).alias("gaps"), hits.alias("hits"), values.alias("values"))
+
+    def keep(s: Column, h: Column, i: Column) -> Column:
+        test = F.length(F.get(s["values"], i)) >= kind.value_least
         for must in kind.needs:
-            keep = keep & x["hit"].rlike(must)
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+            test = test & h.rlike(must)
+        return test
+
+    def placed(s: Column, ends: Column) -> Column:
+        every = F.transform(s["hits"], lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.lit(kind_no).alias("kind"), F.get(ends, i).alias("end"), keep(s, h, i).alias("keep")))
+        return F.transform(F.filter(every, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    init = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    spans = F.aggregate(triples, init, step, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.pattern), spans).otherwise(empty)
+    # lambda variables hold the matches and the sums: they are computed once, not once a match
+    lengths = lambda s: F.transform(s["hits"], lambda h, i: F.length(F.get(s["gaps"], i)) + F.length(h))
+    spans = F.transform(F.array(found), lambda s: F.get(F.transform(F.transform(F.array(lengths(s)), running_sums), lambda ends: placed(s, ends)), F.lit(0)))
+    return F.when(text.rlike(kind.pattern), F.get(spans, F.lit(0))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def _joined(spans: Column) -> Column:
