@@ -61,8 +61,8 @@ class Scratch:
         self.observed = None
         atexit.register(_delete, spark, self.root)
 
-    def put(self, df: DataFrame, name: str, observe: Column | None = None) -> DataFrame:
-        """df as written and read back; ``observe``, an aggregate, is computed on the way and left in ``observed``."""
+    def put(self, df: DataFrame, name: str, observe: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """df as written, in folders by the given columns, and read back; ``observe``, an aggregate, is computed on the way and left in ``observed``."""
         path, schema = f"{self.root}/{name}", df.schema
         seen = None
         if observe is not None:
@@ -72,7 +72,7 @@ class Scratch:
         for k, v in _SETTINGS.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
         finally:
             for k, v in before.items():
                 if v is None:
@@ -85,7 +85,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, self.paths.pop(name))
+            _delete(self.spark, self.paths.pop(name, f"{self.root}/{name}"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

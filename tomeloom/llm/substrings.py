@@ -47,7 +47,7 @@ Q = 24
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20  # text whose identifiers meet in one bucket of questions
 PART_BYTES = 64 << 20  # text that one task cuts into shards
-ANCHOR_ONE_IN = 8
+ANCHOR_ONE_IN = 2
 _CHUNK = 1 << 18  # bytes whose identifiers fit the processor's cache
 _ZSTD = "zstd"
 ROWS = "shard long, kind int, bucket int, a binary, b binary, c binary"
@@ -418,7 +418,7 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
     n_bytes = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
 
-    first = scratch.put(_shards(rows, n_bytes, span, buckets), "shards")
+    first = scratch.put(_shards(rows, n_bytes, span, buckets), "shards", by=("kind",))
     texts = first.where(F.col("kind") == TEXT)
     answer = lambda asked: asked.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(_reply, ROWS)
     replies = scratch.put(answer(first), "replies")
@@ -433,6 +433,7 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
     scratch.drop("replies")
     asked = first.where(F.col("kind") == ASKED).withColumn("b", F.lit(None).cast("binary")).withColumn("c", F.lit(None).cast("binary"))
     wanted = scratch.put(asked.unionByName(settled.where(F.col("kind") == OPEN)).groupBy("bucket").applyInArrow(_wanted, ROWS), "wanted")
+    scratch.drop(f"shards/kind={ASKED}")
 
     def refine(key, group):
         number, single, got = _rows_of(group)
@@ -446,9 +447,10 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
         return _arrow([(number, STATE, -1, *_pack_masks(done, part), b""), *_ask(number, _NO_KEYS, ids, buckets)])
 
     state = settled.where(F.col("kind") == STATE)
-    refined = scratch.put(texts.unionByName(state).unionByName(wanted).groupBy("shard").applyInArrow(refine, ROWS), "refined")
+    refined = scratch.put(texts.unionByName(state).unionByName(wanted).groupBy("shard").applyInArrow(refine, ROWS), "refined", by=("kind",))
     scratch.drop("settled", "wanted")
     last = scratch.put(answer(refined), "last-replies")
+    scratch.drop(f"refined/kind={ASKED}")
 
     def finish(key, group):
         _, single, got = _rows_of(group)
