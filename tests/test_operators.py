@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tomeloom.operators import evaluate, facts, limits, segment, votes
+from tomeloom.operators import align, evaluate, facts, limits, segment, votes
 from tomeloom.sources import filings as src
 from tomeloom.sources import results
 from tomeloom.streaming import limiter
@@ -135,3 +135,31 @@ def test_find_filing(spark):
     assert src.find_filing(rows, "1", "A").count() == 1
     with pytest.raises(Exception, match="no annual report"):
         src.find_filing(rows, "1", "B").collect()
+
+
+def test_passages(spark, monkeypatch):
+    long = "z" * 45
+    docs = [(1, f"zz {long} here and zz {long} here"), (2, "aaaaa"), (3, None), (4, ""), (5, "é\ttab here"), (None, "aaa")]
+    items = [(1, f"zz {long} here"), (2, "aa"), (3, "\ttab"), (4, ""), (5, None), (None, "aa"), (2, "aa"), (6, "aa"), (7, f"{long} he")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, 1, 0), (1, 1, 58), (1, 7, 3), (1, 7, 61), *[(d, i, s) for d, n in ((2, 4), (None, 2)) for i in (2, 6) for s in range(n)], (5, 3, 1)]
+    for block_bytes in (1 << 20, 20):
+        assert sorted((tuple(r) for r in align.passages(docs, items, block_bytes).collect()), key=repr) == sorted(want, key=repr)
+    assert align.passages(docs, items.limit(0)).count() == 0
+
+
+def test_a_hot_key_takes_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        rows = spark.range(n).selectExpr("1L AS key", "id * 1000000 AS ts", "id AS event_id")
+        began = time.perf_counter()
+        got = limits.allowances(rows, 3, 6).where("allowed").count()
+        took.append(time.perf_counter() - began)
+        tokens, want = 3.1, 0
+        for _ in range(n):
+            tokens = min(3.0, tokens + 0.1)
+            want, tokens = want + (tokens >= 1), tokens - (tokens >= 1)
+        assert got == want
+    assert took[1] < 8 * took[0] + 2

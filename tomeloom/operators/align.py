@@ -22,6 +22,7 @@ from ..patterns import NBSP
 PRINT_LENGTH, PRINT_LEAST, PRINT_OFFSETS = 120, 40, (0, 200, 500)
 LEAST_SHARE, TOLERANT_SHARE, TOLERANT_LEAST, TOLERANT_MOST = 0.5, 0.8, 4, 20
 RANGE = "struct<start:int,end:int>"
+BLOCK_BYTES = 8 << 20
 
 
 def bare_body(segment: Column) -> Column:
@@ -171,6 +172,50 @@ def align_fuzzy(sections: DataFrame, filings: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"filing_id long, ord int, item_number string, range {RANGE}")
 
 
+def _blocks(items: DataFrame, block_bytes: int):
+    """The distinct items with an id and a text, about block_bytes of text at a time."""
+    items = items.toDF("item_id", "text").where("item_id IS NOT NULL AND text <> ''").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-int(size) // block_bytes)
+    for i in range(n):
+        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]
+
+
+def passages(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, start of every place where a document's text holds an item's whole text.
+
+    docs: an id and a text; items: an id and a text.  The items are a stated
+    query set: a block of them at a time, of a bounded size, becomes one
+    automaton that reads every document once.  Null texts hold nothing, empty
+    and null items are nowhere, repeated items count once.
+    """
+    doc_type, item_type = docs.schema[0].dataType.simpleString(), items.schema[0].dataType.simpleString()
+    schema = f"doc_id {doc_type}, item_id {item_type}, start long"
+    out = None
+    for block in _blocks(items, block_bytes):
+        found = docs.toDF("doc_id", "text").where("text IS NOT NULL").mapInPandas(_reader(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _reader(held):
+    def run(batches):
+        import ahocorasick
+
+        known: dict[str, list] = {}
+        for item_id, text in held.value:
+            known.setdefault(text, []).append(item_id)
+        automaton = ahocorasick.Automaton()
+        for text, ids in known.items():
+            automaton.add_word(text, (len(text), ids))
+        automaton.make_automaton()
+        for pdf in batches:
+            rows = [(doc, item_id, end + 1 - n) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for end, (n, ids) in automaton.iter(text) for item_id in ids]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start"])
+
+    return run
+
+
 def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Overlap over union of two half-open spans; 0 for null or inverted ones, 1 for two equal empty ones."""
     inter = F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))

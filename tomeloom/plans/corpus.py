@@ -2,18 +2,19 @@
 
 The given documents hold no filings, so every document becomes one: a
 projection over its row, without a shuffle.  Its id decides the heading style,
-which sections it has, and what stands in them.
+which sections it has, and which of these hold text of the document; its whole
+text is dealt over them in order.  A null text is an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import dims
 from ..patterns import NBSP
+from ..sources.shared import shared_dir
 
 BY_REFERENCE = "The information required by this Item is incorporated herein by reference to our 2024 Proxy Statement."
 REMAINING = "The remaining information required by this Item will be included in the 2024 Proxy Statement."
@@ -26,8 +27,27 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def pieces(holds: dict[int, list[bool]], no: int) -> str:
+    """The part of the text that section ``no`` holds, where holds[residue of the id] tells which sections hold any."""
+    period = len(holds)
+    before = "".join(f"{sum(holds[r][:no]):02d}" for r in range(period))
+    every = "".join(f"{sum(holds[r]):02d}" for r in range(period))
+    count = lambda digits: f"CAST(substring('{digits}', CAST(1 + 2 * (doc_id % {period}) AS INT), 2) AS INT)"
+    upto = lambda more: f"CAST(floor(length(body) * ({count(before)} + {more}) / {count(every)}) AS INT)"
+    return f"substring(body, 1 + {upto(0)}, {upto(1)} - {upto(0)})"
+
+
+#: By the id's residue, which sections hold text.
+HOLDS = {r: [(r + no) % 9 in (4, 6, 7, 8) and (r + no) % 7 != 0 for no in range(len(dims.ITEMS))] for r in range(63)}
+
+
+#: By the id's residue, which items a section library gives by key and by label.
+KEYED = {r: [(r + no) % 3 == 0 for no in range(len(dims.ITEMS))] for r in range(3)}
+LABELLED = {r: [(r + no) % 4 <= 1 for no in range(len(dims.ITEMS))] for r in range(4)}
+
+
 def _body(no: int) -> str:
-    piece = f"substring(text, {1 + 17 * no}, {220 + 40 * (no % 7)})"
+    piece = pieces(HOLDS, no)
     return (
         f"CASE (doc_id + {no}) % 9 WHEN 0 THEN 'None.' WHEN 1 THEN 'Not applicable.' WHEN 2 THEN '[Reserved]' "
         f"WHEN 3 THEN {_text(BY_REFERENCE)} WHEN 4 THEN {piece} || ' ' || {_text(REMAINING)} "
@@ -66,8 +86,7 @@ SELECT doc_id AS filing_id, CAST(doc_id % 97 + 1000 AS VARCHAR(20)) AS cik,
   {sections},
   CASE WHEN doc_id % {STYLES} = 3 THEN concat_ws(chr(10), 'FORM 10-K CROSS REFERENCE INDEX', {index}) END
  ) AS raw_text
-FROM {documents}
-WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM {documents} WHERE doc_id IS NOT NULL) AS d"""
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
@@ -76,9 +95,13 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filings, written once a session to the shared folder: every query reads them as a table, with its columns pruned."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='filings-')}"
-        path = f"{root.rstrip('/')}/filings-{uuid.uuid4().hex[:12]}"
+    if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
+        path = f"{shared_dir(spark)}/filings-{uuid.uuid4().hex[:12]}"
         spark.sql(filings_sql("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

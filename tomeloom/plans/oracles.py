@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .. import dims
 from .. import patterns as p
-from .corpus import filings_sql
+from .corpus import KEYED, LABELLED, filings_sql, pieces
 
 
 def q(s: str) -> str:
@@ -107,12 +107,12 @@ _DUE = " UNION ALL ".join(
 
 
 def _library(kind: str) -> str:
-    out = []
+    out, holds = [], KEYED if kind == "keyed" else LABELLED
     for no, (n, part, title) in enumerate(dims.ITEMS):
-        body = f"{q(f'Item {n}.  {title}  ')} || substring(text, {1 + 11 * no}, 160) || CASE WHEN (doc_id + {no}) % 6 = 0 THEN ' Item 99. Bleeds in.' ELSE '' END"
+        body = f"{q(f'Item {n}.  {title}  ')} || {pieces(holds, no)} || CASE WHEN (doc_id + {no}) % 6 = 0 THEN ' Item 99. Bleeds in.' ELSE '' END"
         key = f"part_{('i', 'ii', 'iii', 'iv')[part - 1]}_item_{n.lower()}" if kind == "keyed" else f"Item {n}"
         on = f"(doc_id + {no}) % 3 = 0" if kind == "keyed" else f"(doc_id + {no}) % 4 <= 1"
-        out.append(f"SELECT doc_id AS filing_id, {no} AS ord, {part} AS part, {q(n)} AS item_number, {q(key)} AS key, {body} AS text FROM documents WHERE text IS NOT NULL AND {on}")
+        out.append(f"SELECT doc_id AS filing_id, {no} AS ord, {part} AS part, {q(n)} AS item_number, {q(key)} AS key, {body} AS text FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents WHERE doc_id IS NOT NULL) WHERE {on}")
     return " UNION ALL ".join(out)
 
 
@@ -187,7 +187,9 @@ SELECT filing_id, 'lib' AS source, CAST(part AS BIGINT) AS part, item_number, le
 odd AS (SELECT p.filing_id, string_agg(p.item_number, ',' ORDER BY p.item_number) AS s FROM picks p ANTI JOIN due d ON p.filing_id = d.filing_id AND p.item_number = d.item_number GROUP BY 1)
 SELECT f.filing_id, coalesce(m.s, '') AS missing, coalesce(o.s, '') AS unexpected FROM filings f LEFT JOIN miss m USING (filing_id) LEFT JOIN odd o USING (filing_id)""",
     "document_order": f"""WITH {FILINGS}, {COVER}, {LIB} SELECT filing_id, CAST(-1 AS BIGINT) AS ord, 'cover' AS item_number FROM cover UNION ALL SELECT filing_id, row_number() OVER (PARTITION BY filing_id ORDER BY part, CAST(regexp_extract(item_number, '^([0-9]+)', 1) AS INT), regexp_extract(item_number, '([A-Z]?)$', 1)) - 1, item_number FROM lib""",
-    "align_exact": "SELECT d.doc_id, b.item_id, CAST(position(substring(b.text, 1, 40) IN d.text) - 1 AS BIGINT) AS start FROM documents d JOIN benchmark b ON length(b.text) >= 40 AND contains(d.text, substring(b.text, 1, 40)) GROUP BY ALL",
+    "align_exact": """WITH met AS (SELECT DISTINCT d.doc_id, b.item_id, d.text AS t, b.text AS x FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)),
+places AS (SELECT *, unnest(range(1, length(t) - length(x) + 2)) AS i FROM met)
+SELECT doc_id, item_id, CAST(i - 1 AS BIGINT) AS start FROM places WHERE substring(t, i, length(x)) = x""",
     "span_iou": """WITH s AS (SELECT doc_id, doc_id % 50 AS a0, doc_id % 50 + doc_id % 13 AS a1, doc_id % 37 AS b0, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 37 + doc_id % 17 - CASE WHEN doc_id % 19 = 0 THEN 30 ELSE 0 END END AS b1 FROM documents),
 i AS (SELECT *, greatest(0, least(a1, b1) - greatest(a0, b0)) AS x FROM s), u AS (SELECT *, (a1 - a0) + (b1 - b0) - x AS w FROM i),
 r AS (SELECT doc_id, CASE WHEN b1 IS NULL THEN 0.0 WHEN a1 < a0 OR b1 < b0 THEN 0.0 WHEN w = 0 THEN CASE WHEN a0 = b0 AND a1 = b1 THEN 1.0 ELSE 0.0 END ELSE CAST(x AS DOUBLE) / w END AS iou FROM u)

@@ -19,7 +19,7 @@ from ..functions import text as tx
 from ..operators import align, evaluate, facts, limits, segment, votes
 from ..sources import filings as src
 from ..streaming import limiter
-from .corpus import filings
+from .corpus import KEYED, LABELLED, filings, pieces
 from .extract import due_items, extract, items
 
 c = F.col
@@ -87,15 +87,15 @@ def coverage_suspect(spark, sf_dir):
 
 
 def library(spark, sf_dir) -> DataFrame:
-    """A section library's output: keyed sections of the first items, labels of all, from ids and texts."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    entry = lambda key, text: F.struct(key.alias("key"), text.alias("text"))
+    """A section library's output: keyed and labelled sections, each set of them with the whole text dealt over it."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    entry = lambda key, text: F.struct(F.lit(key).alias("key"), text.alias("text"))
     keyed, labelled = [], []
     for no, (number, part, title) in enumerate(dims.ITEMS):
-        body = F.concat(F.lit(f"Item {number}.  {title}  "), F.substring("text", 1 + 11 * no, 160), F.when((c("doc_id") + no) % 6 == 0, F.lit(" Item 99. Bleeds in.")).otherwise(F.lit("")))
+        body = lambda holds: F.concat(F.lit(f"Item {number}.  {title}  "), F.expr(pieces(holds, no)), F.when((c("doc_id") + no) % 6 == 0, F.lit(" Item 99. Bleeds in.")).otherwise(F.lit("")))  # noqa: B023, E731
         roman = ("i", "ii", "iii", "iv")[part - 1]
-        keyed.append(F.when((c("doc_id") + no) % 3 == 0, entry(F.lit(f"part_{roman}_item_{number.lower()}"), body)))
-        labelled.append(F.when((c("doc_id") + no) % 4 <= 1, entry(F.lit(f"Item {number}"), body)))
+        keyed.append(F.when((c("doc_id") + no) % 3 == 0, entry(f"part_{roman}_item_{number.lower()}", body(KEYED))))
+        labelled.append(F.when((c("doc_id") + no) % 4 <= 1, entry(f"Item {number}", body(LABELLED))))
     return docs.select(c("doc_id").alias("filing_id"), F.array_compact(F.array(*keyed)).alias("keyed"), F.array_compact(F.array(*labelled)).alias("labelled"))
 
 
@@ -198,17 +198,9 @@ def document_order(spark, sf_dir):
 
 @query
 def align_exact(spark, sf_dir):
-    """Places of benchmark passages in the documents that hold their first words; the benchmark side is size-checked before it is broadcast."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") >= 40).select("item_id", F.substring("text", 1, 40).alias("head"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0]
-    # a word of the head must be a word of the text: an equi-join first, the substring test on what meets
-    word = F.get(F.split("head", " "), F.lit(1))
-    keyed = items.withColumn("word", word)
-    keyed = F.broadcast(keyed) if size <= 8 << 20 else keyed
-    terms = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
-    met = terms.join(keyed, "word").where(F.contains("text", c("head")))
-    return met.select("doc_id", "item_id", (F.call_function("locate", c("head"), c("text")) - 1).cast("long").alias("start")).distinct()
+    """Every place of every whole benchmark passage in every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.passages(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.limits import CAPACITY, PER_MINUTE
+from ..sources.shared import shared_dir
 
 OUT = "key long, event_id long, allowed boolean, wait double"
 STATE = "tokens double, at long"
@@ -40,7 +40,6 @@ def stream_allowances(requests: DataFrame, capacity: int = CAPACITY, per_minute:
 def collected(rows: DataFrame) -> DataFrame:
     """Runs the stream over what its source holds now and gives the rows back, through a table in the shared folder."""
     spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/rows")
