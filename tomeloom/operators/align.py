@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import strip
 from ..patterns import NBSP
@@ -178,7 +180,8 @@ def _blocks(items: DataFrame, block_bytes: int):
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(size) // block_bytes)
     for i in range(n):
-        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]
+        if block := [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]:
+            yield block
 
 
 def passages(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -193,12 +196,12 @@ def passages(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES)
     schema = f"doc_id {doc_type}, item_id {item_type}, start long"
     out = None
     for block in _blocks(items, block_bytes):
-        found = docs.toDF("doc_id", "text").where("text IS NOT NULL").mapInPandas(_reader(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        found = docs.toDF("doc_id", "text").where("text IS NOT NULL").mapInArrow(_reader(docs.sparkSession.sparkContext.broadcast(block), to_arrow_type(items.schema[0].dataType)), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _reader(held):
+def _reader(held, item_type: pa.DataType):
     def run(batches):
         import ahocorasick
 
@@ -209,9 +212,13 @@ def _reader(held):
         for text, ids in known.items():
             automaton.add_word(text, (len(text), ids))
         automaton.make_automaton()
-        for pdf in batches:
-            rows = [(doc, item_id, end + 1 - n) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for end, (n, ids) in automaton.iter(text) for item_id in ids]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start"])
+        for batch in batches:
+            row, item, start = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for end, (n, ids) in automaton.iter(text):
+                    for item_id in ids:
+                        row.append(i), item.append(item_id), start.append(end + 1 - n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(item, item_type), pa.array(start, pa.int64())], ["doc_id", "item_id", "start"])
 
     return run
 
