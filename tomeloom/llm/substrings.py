@@ -416,7 +416,7 @@ def remove_repeated_strings(docs: DataFrame, span: int = SPAN, *, id_col: str =
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = doc_rows(docs, id_col, text_col)
     n_bytes = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
+    buckets = max(1, -(-n_bytes // BUCKET_BYTES), min(shuffle_partitions(docs.sparkSession), -(-n_bytes // SHARD_BYTES)))
 
     first = scratch.put(_shards(rows, n_bytes, span, buckets), "shards", by=("kind",))
     texts = first.where(F.col("kind") == TEXT)
