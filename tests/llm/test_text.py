@@ -93,7 +93,52 @@ def test_clauses_weigh_context():
     x = g.features(pa.array(["the idiot left", "you idiot left", "not idiot left", "he said idiot", "clean words", None, "IDIOTS! scum. You"]))
     weight = dict(zip(("plain", "addressed", "negated", "reported", "clean", "null", "two"), x[:, 1].tolist(), strict=True))
     assert weight["plain"] == 2 and weight["addressed"] == 3 and weight["negated"] < 1 and weight["clean"] == weight["null"] == 0
-    assert x[6, 0] == 2 and x[2, 4] == 1
+    assert x[6, 0] == 2 and x[2, 4] == 1 and x[3, 4] == 1
+    assert weight["reported"] == 0.8 and weight["two"] == 4
+
+
+def test_clauses_of_threats_and_reports():
+    import pyarrow as pa
+
+    g = toxicity.Grammar({b"idiot": 2.0}, {b"smash": 3.0})
+    weights = {"you idiot, he said": 2.0 * 1.5 * 0.4, "the idiot said so": 2.0, "we will smash you": 6.0, "we smash the wall": 0.0, "you said we kill": 0.0, "he said we kill you": 2.0 * 0.4, "not smash you": 6.0 * 0.4, "never did we ever hurt them": 2.0, "we will hurt them": 2.0, "not one two three idiot": 2.0, "idiot a b c d e f g you": 3.0, "he said": 0.0}
+    assert np.allclose(g.features(pa.array(list(weights)))[:, 1], list(weights.values()))
+    long = "word " * 50_000 + "you idiot"
+    assert g.features(pa.array([long, "idiot"]))[:, 1].tolist() == [3.0, 2.0]
+    assert g.features(pa.array([], pa.string())).shape == (0, 6)
+
+
+def test_composition_against_reading_in_turn():
+    from tomeloom.llm import grammar
+
+    def one(rule, symbols):
+        state, out, weights = 0, [], []
+        for x in symbols:
+            out.append(int(rule.out[state, x])), weights.append(rule.weight[state, x])
+            state = rule.next[state, x]
+        return out, weights
+
+    rng = np.random.default_rng(4)
+    length = rng.integers(1, 15, 300)
+    start = np.concatenate([[0], np.cumsum(length)])[:-1]
+    symbols = rng.integers(0, 6, length.sum())
+    marked, weight = grammar.read_clauses(symbols, start, length)
+    for a, n in zip(start, length, strict=True):
+        x = symbols[a : a + n].tolist()
+        for rule in (grammar.NEGATION_RULE, grammar.REPORT_RULE):
+            x = one(rule, x)[0]
+        for rule in (grammar.REPORT_BEHIND_RULE, grammar.TARGET_RULE):
+            x = one(rule, x[::-1])[0][::-1]
+        x, w = one(grammar.SCORE_RULE, one(grammar.TARGET_RULE, x)[0])
+        assert x == marked[a : a + n].tolist() and w == weight[a : a + n].tolist()
+
+
+def test_threats_are_learned(spark):
+    texts = [(f"word{i % 7} we smash you now and word{i % 5}" if i % 2 else f"plain idiot{i % 3} word{i % 11}", 1.0) for i in range(60)] + [(f"word{i % 7} of word{i % 5} you and word{i % 11}", 0.0) for i in range(200)]
+    got = toxicity.learn_stems(spark.createDataFrame(texts, "text string, label double"))
+    assert any(b"smash".startswith(s) for s in got.threats) and any(b"idiot".startswith(s) for s in got.stems)
+    assert not any(b"idiot".startswith(s) for s in got.threats)
+    assert toxicity.learn_stems(spark.createDataFrame(texts[:0], "text string, label double")).stems == {}
 
 
 def plain_fingerprint_rows(corpus):

@@ -1,16 +1,20 @@
 """Toxicity: a weighted finite-state grammar over the words of a clause.
 
-Word transducers map words to symbols: insult and threat stems (learned from
-labelled rows, as weighted word beginnings), address words, negations and
-reporting verbs.  The clause transducer composes them: an insult scores more
-when it meets an address, less when it is negated or reported, and a threat
-needs an address.  Matched clauses are scored, not isolated words; what they
-give per document is calibrated on the labelled rows.
+The word transducer maps words to symbols: insults and threats (weighted word
+beginnings, learned from labelled rows; threats are those that a target mostly
+follows), and closed classes of targets, negations, reporting verbs and threats.
+The clause transducers of ``grammar`` (negation, report, target, score) are
+composed and read each clause that holds an insult or a threat: an insult scores
+more when it has a target, less when it is negated or reported, and a threat
+needs a target.  Matched clauses are scored, not isolated words; what they give
+per document is calibrated on the labelled rows.
 
 Defined cases: null and empty texts match nothing and get the score of no match;
 rows without an id are left out; null labels are not learned from; without both
 labels among the learnable rows there are no stems and every score is the share
-of label 1 (0.5 if there are none); repeated rows are scored each.
+of label 1 (0.5 if there are none); repeated rows are scored each; an empty table
+gives no rows; other columns than id and text are ignored, so their names can't
+clash; a very long text without the end of a clause is one clause.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes
+from . import grammar as rules
 from ._base import Scratch, doc_rows, table
 from .quality import held_out, learnable
 
 SAMPLE_ROWS = 20_000  # most labelled rows that stems and calibration are learned from
 THRESHOLD = 0.5
 SHORTEST, LONGEST = 3, 12  # bytes of a stem
-MOST_STEMS = 2_000
+AIMED = 0.5  # share of a threat's texts in which a target follows
 FEATURES = ("clauses", "weight", "heaviest", "addressed", "softened", "density")
 
 # Closed-class words of the grammar in the corpus languages.
@@ -39,12 +44,6 @@ ADDRESS = "you your you're u he she they them him her him people du dich dir ihr
 NEGATION = "not no never isn't aren't nobody don't nicht kein keine nie ne pas jamais non nunca nadie ni"
 REPORT = "said says say told wrote writes called quoted alleged claims claimed sagte schrieb nannte dit disait écrit dijo dice escribió llamó"
 THREAT = "kill hurt destroy beat burn shoot töten umbringen verletzen tuer frapper brûler matar golpear quemar"
-NONE, INSULT, ADDRESS_SYMBOL, NEGATION_SYMBOL, REPORT_SYMBOL, THREAT_SYMBOL = range(6)
-
-# The clause transducer: weights of the arcs that an insult or a threat can take.
-PLAIN, ADDRESSED, NEGATED, REPORTED, THREATENED = 1.0, 1.5, 0.4, 0.4, 2.0
-
-
 def fold(buf: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the letters of U+00C0 to U+00DE."""
     out = _bytes.lower(buf)
@@ -61,29 +60,35 @@ def stem_hash(stem: bytes) -> int:
 
 @dataclass(frozen=True)
 class Grammar:
-    """stems: weight by word beginning; the closed classes are whole words."""
+    """Weights by word beginning, of insults and of threats; the closed classes are whole words."""
 
     stems: dict[bytes, float]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
+    threats: dict[bytes, float] = field(default_factory=dict)
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
     closed: tuple[np.ndarray, np.ndarray] = field(init=False)
 
     def __post_init__(self):
-        lengths: dict[int, list[tuple[int, float]]] = {}
-        for stem, w in self.stems.items():
-            lengths.setdefault(len(stem), []).append((stem_hash(stem), w))
-        object.__setattr__(self, "by_length", {n: _sorted(rows) for n, rows in sorted(lengths.items())})
-        classes = {w.encode(): s for s, ws in ((ADDRESS_SYMBOL, ADDRESS), (NEGATION_SYMBOL, NEGATION), (REPORT_SYMBOL, REPORT), (THREAT_SYMBOL, THREAT)) for w in ws.split()}
+        lengths: dict[int, dict[int, tuple[float, int]]] = {}
+        for symbol, stems in ((rules.INSULT, self.stems), (rules.THREAT, self.threats)):
+            for stem, w in stems.items():
+                lengths.setdefault(len(stem), {})[stem_hash(stem)] = (w, symbol)
+        by_length = {}
+        for n, rows in sorted(lengths.items()):
+            keys = sorted(rows)
+            by_length[n] = np.array(keys, np.uint64), np.array([rows[k][0] for k in keys]), np.array([rows[k][1] for k in keys], np.int64)
+        object.__setattr__(self, "by_length", by_length)
+        classes = {w.encode(): s for s, ws in ((rules.TARGET, ADDRESS), (rules.NEGATION, NEGATION), (rules.REPORT, REPORT), (rules.THREAT, THREAT)) for w in ws.split()}
         object.__setattr__(self, "closed", _sorted([(stem_hash(w), s) for w, s in classes.items()]))
 
     def symbols(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and weight of each word; the longest stem that begins it counts."""
-        symbol, weight = np.zeros(len(start), np.uint8), np.zeros(len(start))
+        symbol, weight = np.zeros(len(start), np.int64), np.ones(len(start))
         at, hit = _find(self.closed[0], _bytes.span_hash(prefix, start, end))
-        symbol[hit] = self.closed[1][at].astype(np.uint8)
-        for n, (keys, weights) in self.by_length.items():
+        symbol[hit] = self.closed[1][at].astype(np.int64)
+        for n, (keys, weights, kinds) in self.by_length.items():
             long = np.flatnonzero(end - start >= n)
             at, hit = _find(keys, _bytes.span_hash(prefix, start[long], start[long] + n))
-            symbol[long[hit]], weight[long[hit]] = INSULT, weights[at]
+            symbol[long[hit]], weight[long[hit]] = kinds[at], weights[at]
         return symbol, weight
 
     def features(self, col: pa.Array) -> np.ndarray:
@@ -91,23 +96,46 @@ class Grammar:
         out = np.zeros((len(col), len(FEATURES)))
         for lo, hi in _bytes.batches(col):
             buf, offs = _bytes.buffers(col.slice(lo, hi - lo))
-            if not len(buf):
-                continue
-            low = fold(buf)
+            low = fold(buf) if len(buf) else buf
             start, end, first = _bytes.words(buf, offs)
-            bare = _strip(low, start, end)
-            symbol, weight = self.symbols(_bytes.prefix_hash(low), *bare)
-            ends_clause = _ENDS[buf[end - 1]] if len(end) else np.zeros(0, bool)
-            # a line end before the next word also ends the clause
-            clause = np.concatenate([[0], np.cumsum(ends_clause[:-1] | _line_between(buf, end, start))]) if len(end) else end
-            hot = np.flatnonzero((symbol == INSULT) | (symbol == THREAT_SYMBOL))
-            doc = np.searchsorted(first, hot, "right") - 1
-            words_in = np.diff(first)
-            for d in np.unique(doc):
-                out[lo + d] = _document(symbol, weight, clause, hot[doc == d], first[d], first[d + 1], int(words_in[d]))
+            if not len(start):
+                continue
+            symbol, weight = self.symbols(_bytes.prefix_hash(low), *_strip(low, start, end))
+            # a line end before the next word also ends the clause, and so does the text
+            ends = np.append(False, _ENDS[buf[end[:-1] - 1]] | _line_between(buf, end, start))
+            ends[first[:-1][np.diff(first) > 0]] = True
+            clause = np.cumsum(ends)
+            out[lo:hi] = _document_features(symbol, weight, clause, first)
         return out
 
 
+def _document_features(symbol: np.ndarray, weight: np.ndarray, clause: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """FEATURES of documents from the words' symbols, weights and clauses; ``first`` has n + 1 places."""
+    out = np.zeros((len(first) - 1, len(FEATURES)))
+    hot = np.unique(clause[(symbol == rules.INSULT) | (symbol == rules.THREAT)])
+    if not len(hot):
+        return out
+    # words of these clauses; of a row of words that say nothing, those that a negation can reach are enough
+    since = np.arange(len(symbol)) - np.maximum.accumulate(np.where(symbol != rules.NONE, np.arange(len(symbol)), -rules.SCOPE - 2))
+    at = np.flatnonzero((since <= rules.SCOPE) & np.isin(clause, hot))
+    begin = np.searchsorted(clause[at], hot)
+    length = np.diff(np.append(begin, len(at)))
+    marked, arc = rules.read_clauses(symbol[at], begin, length)
+    kind = marked % rules.KINDS
+    told = (kind == rules.INSULT) | (kind == rules.THREAT)
+    score = np.add.reduceat(np.where(told, arc * weight[at], 0.0), begin)
+    targeted = np.logical_or.reduceat(told & (marked & rules.TARGETED > 0), begin)
+    soft = np.add.reduceat((kind == rules.INSULT) & (marked & (rules.NEGATED | rules.REPORTED) > 0), begin, dtype=np.int64)
+    doc = np.searchsorted(first, at[begin], "right") - 1
+    np.add.at(out[:, 0], doc, score > 0)
+    np.add.at(out[:, 1], doc, score)
+    np.maximum.at(out[:, 2], doc, score)
+    np.add.at(out[:, 3], doc, targeted & (score > 0))
+    np.add.at(out[:, 4], doc, soft)
+    out[:, 5] = out[:, 1] / np.maximum(np.diff(first), 1)
+    return out
+
+
 _ENDS = np.zeros(256, bool)
 _ENDS[np.frombuffer(b".!?;:|", np.uint8)] = True
 _PUNCT = np.zeros(256, bool)
@@ -145,74 +173,52 @@ def _line_between(buf: np.ndarray, end: np.ndarray, start: np.ndarray) -> np.nda
     return lines[start[1:]] > lines[end[:-1]]
 
 
-def _document(symbol, weight, clause, hot, first: int, last: int, n_words: int) -> tuple:
-    """Runs the clause transducer over the clauses of one document that hold an insult or a threat."""
-    clauses = total = heaviest = addressed = softened = 0.0
-    for c in np.unique(clause[hot]):
-        lo, hi = max(first, int(np.searchsorted(clause, c))), min(last, int(np.searchsorted(clause, c, "right")))
-        places = lo + np.flatnonzero(symbol[lo:hi])
-        has_address = (symbol[places] == ADDRESS_SYMBOL).any()
-        score, reported, negated_until = 0.0, False, -1
-        for i in places.tolist():
-            s = symbol[i]
-            if s == REPORT_SYMBOL:
-                reported = True
-            elif s == NEGATION_SYMBOL:
-                negated_until = i + 3
-            elif s == INSULT:
-                arc = ADDRESSED if has_address else PLAIN
-                if i <= negated_until:
-                    arc, softened = arc * NEGATED, softened + 1
-                elif reported:
-                    arc, softened = arc * REPORTED, softened + 1
-                score += arc * weight[i]
-            elif s == THREAT_SYMBOL and has_address:
-                score += THREATENED * (NEGATED if i <= negated_until else 1) * (REPORTED if reported else 1)
-        if score > 0:
-            clauses += 1
-            total += score
-            heaviest = max(heaviest, score)
-            addressed += has_address
-    return clauses, total, heaviest, addressed, softened, total / max(n_words, 1)
-
-
 def _stem_counts(parts):
-    """(stem, texts of label 1, of label 0) over the word beginnings of labelled texts."""
-    toxic, clean = Counter(), Counter()
+    """(stem, texts of label 1, of label 0, of label 1 where a target follows within two words) over the word beginnings of labelled texts."""
+    targets = frozenset(ADDRESS.split())
+    toxic, clean, aimed = Counter(), Counter(), Counter()
     for pdf in parts:
         for text, label in zip(pdf["text"], pdf["label"], strict=True):
-            stems = set()
-            for w in {w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.lower().split()}:
-                b = w.encode()
-                stems.update(b[:n] for n in range(SHORTEST, min(len(b), LONGEST) + 1))
-            (toxic if label else clean).update(stems)
-    rows = [(s, toxic[s], clean.get(s, 0)) for s in toxic]
-    rows += [(s, 0, n) for s, n in clean.items() if s not in toxic and n >= 1]
-    yield pd.DataFrame(rows, columns=["stem", "toxic", "clean"])
+            words = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.lower().split()]
+            (toxic if label else clean).update(_beginnings(words))
+            if label:
+                aimed.update(_beginnings([w for i, w in enumerate(words) if targets.intersection(words[i + 1 : i + 3])]))
+    rows = [(s, toxic[s], clean.get(s, 0), aimed.get(s, 0)) for s in toxic]
+    rows += [(s, 0, n, 0) for s, n in clean.items() if s not in toxic]
+    yield pd.DataFrame(rows, columns=["stem", "toxic", "clean", "aimed"])
+
+
+def _beginnings(words: list[str]) -> set[bytes]:
+    stems = set()
+    for w in set(words):
+        b = w.encode()
+        stems.update(b[:n] for n in range(SHORTEST, min(len(b), LONGEST) + 1))
+    return stems
 
 
-def learn_stems(sample: DataFrame, most: int = MOST_STEMS) -> dict[bytes, float]:
+def learn_stems(sample: DataFrame) -> Grammar:
     """Word beginnings that texts of label 1 hold far more often; sample: text, label.
 
-    A longer stem that says no more than its own beginning is left out.
+    A longer stem that says no more than its own beginning is left out.  What
+    comes to the driver are words of the sample, whose rows are bounded.
     """
     n = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
     if not n.get(1) or not n.get(0):
-        return {}
-    counts = sample.select("text", "label").mapInPandas(_stem_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return Grammar({})
+    counts = sample.select("text", "label").mapInPandas(_stem_counts, "stem binary, toxic long, clean long, aimed long")
+    counts = counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("aimed").alias("aimed"))
     least = max(4, n[1] // 400)
     rate1, rate0 = (F.col("toxic") + 0.1) / (n[1] + 0.2), (F.col("clean") + 0.5) / (n[0] + 1)
-    scored = counts.where(F.col("toxic") >= least).withColumn("odds", F.log(rate1 / rate0)).where("odds > 2.5")
-    rows = scored.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "stem").limit(most).collect()  # bounded by most
+    rows = counts.where(F.col("toxic") >= least).withColumn("odds", F.log(rate1 / rate0)).where("odds > 2.5").collect()
     kept: dict[bytes, float] = {}
-    support: dict[bytes, tuple[int, int]] = {}
+    aimed: dict[bytes, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["stem"]), bytes(r["stem"]))):
         stem = bytes(r["stem"])
         parents = [stem[:m] for m in range(SHORTEST, len(stem)) if stem[:m] in kept]
         if parents and r["odds"] < kept[parents[-1]] + 0.7:
             continue
-        kept[stem], support[stem] = float(r["odds"]), (r["toxic"], r["clean"])
-    return kept
+        kept[stem], aimed[stem] = float(r["odds"]), r["aimed"] / r["toxic"]
+    return Grammar({s: w for s, w in kept.items() if aimed[s] <= AIMED}, {s: w for s, w in kept.items() if aimed[s] > AIMED})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +255,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
     """docs: doc_id, text.  Stems and calibration come from at most ``rows`` labelled rows; only features of these come to the driver."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.put(docs.join(F.broadcast(learnable(labels, "toxic", folds, fold, rows)), "doc_id"), "sample")
-    grammar = Grammar(learn_stems(sample))
+    grammar = learn_stems(sample)
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", label double"
 
     def run(parts):
