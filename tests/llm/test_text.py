@@ -173,11 +173,67 @@ def test_sketch_estimates(spark):
     assert abs(near - 1 / 3) < 0.06 and abs(held - 0.5) < 0.06
 
 
-def test_ranges_rise_with_ids(spark):
-    ids = [0, 1, 2, 3, 10**15, 10**15 + 1, -5, 7] + list(range(1000, 1400))
-    rows = spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string")
-    got = [r[0] for r in rows.orderBy("doc_id").select(fingerprint.id_ranges(rows, 16)).collect()]
-    assert got == sorted(got) and len(set(got)) > 1
+def ids_with(kind):
+    rng = np.random.default_rng(5)
+    size = {"dense": lambda i: 40, "skewed": lambda i: 4_000 if i < 40 else 4}.get(kind, lambda i: 40)
+    ids = {"outlier": [*range(2_000), 1 << 62], "clusters": [*range(1_000), *range(10**15, 10**15 + 1_000)], "same": [7] * 500, "negative": rng.integers(-(2**62), 2**62, 2_000).tolist()}.get(kind, list(range(2_000)))
+    return [(int(i), "x" * size(i)) for i in ids]
+
+
+@pytest.mark.parametrize("kind", ["dense", "outlier", "clusters", "skewed", "negative", "same"])
+def test_ranges_hold_few_bytes_at_any_spacing(spark, kind):
+    rows = spark.createDataFrame(ids_with(kind), "doc_id long, text string").repartition(3)
+    target = 8_000
+    bounds = fingerprint.range_bounds(rows, target)
+    got = rows.select("doc_id", (F.octet_length("text") + 64).alias("size"), fingerprint.range_of(F.col("doc_id"), bounds).alias("at")).orderBy("doc_id").collect()
+    assert [r.at for r in got] == sorted(r.at for r in got)
+    held = {}
+    for r in got:
+        held.setdefault(r.at, {}).setdefault(r.doc_id, []).append(r.size)
+    for ids in held.values():
+        assert len(ids) == 1 or sum(map(sum, ids.values())) < 2 * target
+    assert len(held) == 1 if kind == "same" else len(held) > 10
+    assert fingerprint.range_bounds(rows.limit(0)) == []
+
+
+def plain_sketch(text, k=5):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    hashes = set()
+    for i in range(max(len(words) - k + 1, 1 if words else 0)):
+        h = 42
+        for w in words[i : i + k]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        hashes.add(h >> 1)
+    low = sorted(h for h in hashes if h < (1 << 63) // fingerprint.FRACTION)
+    return low or sorted(hashes)[:1]
+
+
+def test_fingerprints_against_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (0, 1, 2, 5, 9, 30, 120, 400)] + ["Tab\tand\nLINE  word", None]
+    rows = [(int(i) * 10**9, t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = sorted((i, t or "") for i, t in rows)
+    hexed = lambda sketch: "".join(f"{h:016x}" for h in sketch)
+
+    def like(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for at, (i, t) in enumerate(rows):
+        following = rows[(at + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, other, after = plain_sketch(t), plain_sketch(edited), plain_sketch(following)
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), hexed(own), hexed(other))
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert np.allclose((r.near_edited, r.near_next), (like(own, other), like(own, after)))
+    texts = [t for _, t in rows]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for r in pairs.select("a", "b", fingerprint.merged(fingerprint.sketch(F.col("a"), 1), fingerprint.sketch(F.col("b"), 1)).alias("m")).collect():
+        assert r.m == plain_sketch(f"{r.a} {r.b}", 1)
 
 
 def test_packing_round_trip(spark, docs, corpus, none):

@@ -1,16 +1,17 @@
 """Threshold-scaled sketches of word shingles, DataFrame functions only.
 
 A document's sketch keeps every shingle hash below a fixed fraction of the hash
-space, so sketches of any two documents can be compared or merged by set
-operations, however unequal the documents.  A text whose shingles all lie above
-the threshold keeps its single least hash, so that only texts without words
-have an empty sketch.
+space, so sketches of any two documents can be compared, however unequal the
+documents.  A text whose shingles all lie above it keeps its single least hash,
+so that only texts without words have an empty sketch.  ``merged`` gives from two
+sketches that of all shingles of both: the hashes below the fraction, or if there
+are none the least of the least ones.
 
 Defined cases: null text is empty text; a text without words has the empty
 fingerprint, and two such texts have likeness 1; fewer words than a shingle
 make one shingle; rows without an id are left out; rows that share an id are
-ordered by a hash of their text; one lone document is its own successor; other
-columns are ignored, so their names can't clash.
+ordered by a hash of their text; one lone document is its own successor; an empty
+table gives no rows; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,32 +24,37 @@ from ._base import doc_rows, shuffle_partitions, table
 
 SHINGLE_WORDS = 5
 FRACTION = 4  # one hash in so many is kept
-_HASHES = 1 << 31
-BUCKET_BYTES = 16 << 20
-MOST_BUCKETS = 20_000
-CELLS = 4096
+_HASHES = 1 << 63
+RANGE_BYTES = 256 << 20
+_ROW_BYTES = 64  # what a row weighs besides its text
 
 
 def sketch(text: Column, k: int = SHINGLE_WORDS, fraction: int = FRACTION) -> Column:
-    """Sorted distinct 31-bit hashes of the text's k-word shingles below 2^31 / fraction."""
+    """Sorted distinct 63-bit hashes of the text's k-word shingles below 2^63 / fraction."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # A lambda variable holds the words: they are split once, not once a shingle.
     hashed = F.transform(
         F.array(words),
         lambda w: F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))),
-            lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), 33).cast("int"),
+            lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), 1),
         ),
     )
     kept = F.transform(
         hashed, lambda hs: F.transform(F.array(F.filter(hs, lambda h: h < _HASHES // fraction)), lambda low: F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hs))))
     )
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
     return F.when(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == "", none).otherwise(F.get(F.get(kept, F.lit(0)), F.lit(0)))
 
 
 def as_string(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+
+
+def merged(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """The sketch of all shingles of both sketched texts."""
+    both = F.array(F.array_sort(F.array_union(a, b)))
+    return F.get(F.transform(both, lambda u: F.when(F.get(u, 0) < _HASHES // fraction, F.filter(u, lambda h: h < _HASHES // fraction)).otherwise(F.slice(u, 1, 1))), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,31 +73,32 @@ def document_sketches(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: int = F
     return doc_rows(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text"), k, fraction).alias("sketch"))
 
 
-def id_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_BUCKETS) -> Column | None:
-    """An expression that numbers contiguous ranges of doc_id of about equal row counts; None for no rows.
+def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[int]:
+    """The least ids of all contiguous ranges of doc_id but the first, each range of about ``range_bytes`` of text and one document at most beyond.
 
-    A grid of CELLS equal cells is counted, and each cell is cut evenly into as
-    many parts as its count asks for; lookups are by index, at any id spacing.
+    Ids are dealt into sorted parts, and each part is cut by the running sum of
+    its bytes, so neither the spacing of ids nor the spread of lengths matters.
+    Only the bounds come to the driver: one a partition, or one a ``range_bytes``.
     """
-    lo, hi, n, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.sum(F.octet_length("text"))).first()
+    sized = docs.select("doc_id", (F.octet_length("text") + _ROW_BYTES).alias("size"))
+    total = int(sized.agg(F.sum("size")).first()[0] or 0)
+    if not total:
+        return []
+    target = min(range_bytes, -(-total // shuffle_partitions(docs.sparkSession)))
+    part = sized.repartitionByRange(-(-total // target), "doc_id").withColumn("part", F.spark_partition_id())
+    before = F.sum("size").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    cuts = part.withColumn("cut", F.floor(before / target)).groupBy("part", "cut").agg(F.min("doc_id").alias("least"))
+    return sorted({r["least"] for r in cuts.select("least").collect()})[1:]
+
+
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """The number of bounds up to doc_id, by bisection."""
+    n = len(bounds)
     if not n:
-        return None
-    width = max((float(hi) - float(lo)) / CELLS, 1.0)
-    cell = F.least(F.floor((F.col("doc_id").cast("double") - float(lo)) / width), F.lit(CELLS - 1)).cast("int")
-    wanted = min(most, max(shuffle_partitions(docs.sparkSession), -(-int(size) // bucket_bytes)))
-    counts = dict(docs.groupBy(cell.alias("cell")).count().collect())
-    parts = [max(1, round(counts.get(c, 0) * wanted / n)) if c in counts else 0 for c in range(CELLS)]
-    # cells with few rows share a number: running totals are rounded down
-    share, first, total = [], [], 0.0
-    for c in range(CELLS):
-        part = counts.get(c, 0) * wanted / n
-        first.append(int(total) if part < 1 else -(-int(total * 1e6) // 10**6))
-        share.append(parts[c] if part >= 1 else 1)
-        total = total + part if part < 1 else first[-1] + parts[c]
-    of_cell = lambda xs: F.get(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>"), cell)  # noqa: E731  one literal after folding
-    at = F.col("doc_id").cast("double") - float(lo) - cell * F.lit(width)
-    sub = F.least(F.floor(at / width * of_cell(share)), of_cell(share) - 1)
-    return (of_cell(first) + F.greatest(sub, F.lit(0))).cast("int")
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # one literal after folding
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= doc_id), at + step).otherwise(at))
 
 
 def with_next(rows: DataFrame, extra: dict[str, Column], bucket: Column) -> DataFrame:
@@ -115,9 +122,7 @@ def with_next(rows: DataFrame, extra: dict[str, Column], bucket: Column) -> Data
 def edited_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: int = FRACTION) -> DataFrame:
     """Fingerprints of each text and of the text with its second half replaced by the start of the next document."""
     rows = doc_rows(docs)
-    bucket = id_ranges(rows)
-    if bucket is None:
-        bucket = F.lit(0)
+    bucket = range_of(F.col("doc_id"), range_bounds(rows))
     paired = with_next(rows, {"sketch": sketch(F.col("text"), k, fraction)}, bucket)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
