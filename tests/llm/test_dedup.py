@@ -345,3 +345,19 @@ def test_ids_with_the_same_half():
     found = ids.distinct()
     assert list(zip(found.key.tolist(), found.more.tolist(), strict=True)) == [(3, 1), (5, 1), (5, 2), (9, 7)]
     assert ids.among(found).tolist() == [2, 0, 1, 2, 0, 3]
+
+
+def test_overlaps_of_any_rows(spark):
+    item = " ".join(f"term{i}" for i in range(30))
+    long = " ".join(f"w{i % 9973}" for i in range(200_000))
+    rows = [(None, item, 1), (1, f"{long} {item} {long}", 1), (2, item, 1), (2, item, 1), (3, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, [tuple(o) for o in r.overlaps]) for r in decontaminate.find_overlaps(docs, bench).collect()), key=repr)
+    assert got == sorted([(None, [(9, 0, 0, 30, 30)]), (1, [(9, 0, 200_000, 30, 30)]), *[(2, [(9, 0, 0, 30, 30)])] * 2, (3, [])], key=repr)
+    with pytest.raises(ValueError):
+        decontaminate.find_overlaps(docs.withColumnRenamed("key", "overlaps"), bench)
+
+
+def test_line_dedup_of_an_empty_table(none):
+    assert lines.remove_repeated_lines(none).count() == 0

@@ -6,8 +6,10 @@ documents are looked up among those of the benchmark; around each hit the
 document and the item are laid side by side, and the stretch of enough words
 that has the most equal ones to spare is verified on all of its words.
 
-The benchmark is dealt into blocks of a bounded size; each block is shipped to
-the executors and meets every document.
+The benchmark is a stated query set: it is dealt into blocks of a bounded size,
+and each block is shipped to the executors and meets every document.  With more
+than one, a block's result is written before the next one is read, so that the
+driver and the executors hold one block at a time.
 
 Words are compared without case and outer punctuation.  An overlap counts from
 ``least_words`` words on (the whole item if that is shorter, five words at
@@ -21,9 +23,11 @@ three, which the second mask hits.  A shorter item is cut into two parts more
 than it may have substitutions; its masks leave out all choices of that many.
 
 Defined cases: null and empty texts have no overlap; items of fewer than five
-words never match; an empty benchmark matches nothing; rows without an id are
-left out, items without an id or text too; repeated items are reported once,
-repeated documents each.
+words never match; an empty benchmark matches nothing; items without an id or
+text are left out, and by the query documents without an id; repeated items are
+reported once, repeated documents each; a very long text is read as any other;
+columns of documents pass through whatever their names, but for that of the
+result, which is an error.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._base import table, whole_text
+from ._base import Scratch, table, whole_text
 from .toxicity import _strip, fold
 
 # 1 marks a word that is looked at.
@@ -234,14 +238,21 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, id_col: str = "item_id", item_text_col: str = "text", text_col: str = "text", out_col: str = "overlaps") -> DataFrame:
     """docs with an array of the verified overlaps of each text."""
-    out = docs
+    if out_col in docs.columns:
+        raise ValueError(f"documents have a column {out_col} already")
+    scratch = Scratch(docs.sparkSession, "overlaps")
+    out, held = docs, None
     for i, items in enumerate(_blocks(benchmark, id_col, item_text_col)):
-        out = _with_block(out, items, least_words, similarity, text_col, out_col, i == 0)
-    return out if out is not docs else docs.withColumn(out_col, F.array().cast(f"array<{OVERLAP}>"))
+        if held is not None:
+            out = scratch.put(out, f"block{i}")
+            scratch.drop(f"block{i - 1}")
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(items)  # about BLOCK_BYTES
+        out = _with_block(out, held, least_words, similarity, text_col, out_col, i == 0)
+    return docs.withColumn(out_col, F.array().cast(f"array<{OVERLAP}>")) if held is None else out
 
 
-def _with_block(docs: DataFrame, items, least: int, similarity: float, text_col: str, out_col: str, fresh: bool) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)  # about BLOCK_BYTES
+def _with_block(docs: DataFrame, held, least: int, similarity: float, text_col: str, out_col: str, fresh: bool) -> DataFrame:
     at = docs.columns.index(text_col)
     names = docs.columns if fresh else docs.columns[:-1]
 
