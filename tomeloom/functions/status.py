@@ -64,6 +64,7 @@ def cover_reference(raw_text: Column) -> Column:
 def review_reason(status: Column, text: Column) -> Column:
     """Why an extracted section should be judged again, else null."""
     t = F.coalesce(text, F.lit(""))
+    # fixed values: the words of the reasons, which results are compared by
     reason = (
         F.when(F.length(t) < 500, F.concat(F.lit("short content ("), F.length(t).cast("string"), F.lit(" chars); possible missed by-reference")))
         .when(has(t, p.HINT_BY_REFERENCE), F.lit("contains 'incorporated by reference' phrase"))

@@ -46,6 +46,7 @@ def violations(predicted: DataFrame, constraints: DataFrame) -> DataFrame:
     n, empty = F.coalesce("n", F.lit(0)), F.create_map().cast("map<string,string>")
     statuses = F.coalesce("statuses", empty)
     text = lambda c: c.cast("string")
+    # fixed values: the words of the violations, which results are compared by
     required = F.transform(F.array_sort(F.map_entries("must_have_status")), lambda e: (
         F.when(~F.map_contains_key(statuses, e["key"]), F.concat(F.lit("required item "), e["key"], F.lit(" missing")))
         .when(~F.array_contains(e["value"], F.try_element_at(statuses, e["key"])), F.concat(F.lit("item "), e["key"], F.lit(" has status '"), F.try_element_at(statuses, e["key"]), F.lit("', expected one of ['"), F.array_join(e["value"], "', '"), F.lit("']")))

@@ -73,17 +73,17 @@ def report(filings: DataFrame, facts: DataFrame, sections: DataFrame) -> DataFra
     text = lambda c: c.cast("string")
     warnings = F.array_compact(
         F.array(
-            F.when(thin, F.concat(F.lit("Item 8 status='extracted' but only "), text(n), F.lit(" XBRL facts found (expected ≥20 for substantive financials)."))),
-            F.when(inline, F.concat(F.lit("Item 8 marked incorporated_by_reference but "), text(n), F.lit(" XBRL facts tagged to this accession; financials likely inline after all."))),
-            F.when(apart, F.concat(F.lit("XBRL fiscal year "), text(F.col("first_fy")), F.lit(" disagrees with period_ending ("), F.col("period_ending"), F.lit(", fy="), text(F.col("fiscal_year")), F.lit(").")),),
+            F.when(thin, F.concat(F.lit("few_facts: item 8 is extracted, with "), text(n), F.lit(" facts"))),
+            F.when(inline, F.concat(F.lit("many_facts: item 8 is incorporated by reference, with "), text(n), F.lit(" facts"))),
+            F.when(apart, F.concat(F.lit("period: facts are of "), text(F.col("first_fy")), F.lit(", the filing of "), text(F.col("fiscal_year")), F.lit(", ending "), F.col("period_ending")),),
             F.when(
                 (status == "extracted") & (F.size(misses) > 0),
-                F.concat(text(F.size(misses)), F.lit("/"), text(F.size("checks")), F.lit(" canonical XBRL values not found in Item 8 text (concepts: "), F.array_join(F.transform(misses, lambda r: r["concept"]), ", "), F.lit("). May indicate truncated extraction or non-narrative financial statements.")),
+                F.concat(F.lit("values_missing: "), text(F.size(misses)), F.lit(" of "), text(F.size("checks")), F.lit(" are not in item 8: "), F.array_join(F.transform(misses, lambda r: r["concept"]), ", ")),
             ),
         )
     )
-    missing = F.when(~F.col("has_company"), F.array(F.lit("No Company Facts available for this CIK (likely pre-XBRL era)."))).otherwise(
-        F.array(F.concat(F.lit("Company has XBRL data but no facts tagged with accession "), F.col("accession"), F.lit(". Filing may pre-date XBRL adoption or use a non-us-gaap taxonomy.")))
+    missing = F.when(~F.col("has_company"), F.array(F.lit("no_company: no facts of this filer"))).otherwise(
+        F.array(F.concat(F.lit("no_facts: the filer has facts, but none of "), F.col("accession")))
     )
     return joined.select(
         "filing_id", has.alias("has_xbrl_data"), F.when(has, n).otherwise(0).cast("int").alias("total_facts"),

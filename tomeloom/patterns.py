@@ -6,8 +6,6 @@ is an explicit class, since engines differ on which characters ``\\s`` covers.
 
 from __future__ import annotations
 
-from . import dims
-
 NBSP = "\u00a0"
 SPACE = f"[ \t{NBSP}]"
 ANY_SPACE = "[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -20,14 +18,39 @@ INDEX_SPLIT = f"{ANY_SPACE}{{2,}}|\t+"
 INDEX_FOOTNOTE = "^\\([a-z]\\)(?:[, ]+[0-9]+)*$"
 
 
-def _title(words: str, closed: bool) -> str:
-    end = f"(?:[.:\\-{DASH}]{SPACE}+|{SPACE}*$)" if closed else ""
-    return words.replace("[, ]", "[,\u0000]").replace(" ", f"{SPACE}+").replace("~", f"{SPACE}*").replace("\u0000", " ") + end
-
-
-TITLE_PATTERNS = tuple((item, f"(?im)^{SPACE}{{0,3}}{_title(words, closed)}") for item, words, closed in dims.TITLES)
+# Item number and title at the start of a line.  B is what parts
+# two words; END follows titles that must end their line or have a separator.
+B = f"{SPACE}+"
+END = f"(?:[.:\\-{DASH}]{SPACE}+|{SPACE}*$)"
+TITLES = (
+    ("1", f"BUSINESS{END}"),
+    ("1A", f"RISK{B}FACTORS{END}"),
+    ("1B", f"UNRESOLVED{B}STAFF{B}COMMENTS{END}"),
+    ("1C", f"CYBERSECURITY{END}"),
+    ("2", f"PROPERTIES{END}"),
+    ("3", f"LEGAL{B}PROCEEDINGS{END}"),
+    ("4", f"MINE{B}SAFETY{B}DISCLOSURES{END}"),
+    ("5", f"MARKET{B}FOR{B}(?:THE{B})?(?:REGISTRANT'S{B})?COMMON{B}EQUITY"),
+    ("6", f"SELECTED{B}FINANCIAL{B}DATA{END}"),
+    ("6", f"\\[?{SPACE}*RESERVED{SPACE}*\\]?{END}"),
+    ("7", f"MANAGEMENT'?S{B}DISCUSSION{B}AND{B}ANALYSIS"),
+    ("7A", f"QUANTITATIVE{B}AND{B}QUALITATIVE{B}DISCLOSURES"),
+    ("8", f"FINANCIAL{B}STATEMENTS{B}AND{B}SUPPLEMENTARY{B}DATA"),
+    ("9", f"CHANGES{B}IN{B}AND{B}DISAGREEMENTS{B}WITH{B}ACCOUNTANTS"),
+    ("9A", f"CONTROLS{B}AND{B}PROCEDURES{END}"),
+    ("9B", f"OTHER{B}INFORMATION{END}"),
+    ("9C", f"DISCLOSURE{B}REGARDING{B}FOREIGN{B}JURISDICTIONS"),
+    ("10", f"DIRECTORS[, ]+EXECUTIVE{B}OFFICERS"),
+    ("11", f"EXECUTIVE{B}COMPENSATION{END}"),
+    ("12", f"SECURITY{B}OWNERSHIP{B}OF{B}CERTAIN"),
+    ("13", f"CERTAIN{B}RELATIONSHIPS{B}AND{B}RELATED"),
+    ("14", f"PRINCIPAL{B}ACCOUNTANT(?:ANT)?{B}FEES"),
+    ("15", f"EXHIBITS?{SPACE}*(?:AND|,){SPACE}*FINANCIAL{B}STATEMENT{B}SCHEDULES"),
+    ("16", f"FORM{B}10-?K{B}SUMMARY{END}"),
+)
+TITLE_PATTERNS = tuple((item, f"(?im)^{SPACE}{{0,3}}{title}") for item, title in TITLES)
 # No two titles share a first word, so at most one of them matches at a line start.
-ANY_TITLE = f"(?im)^{SPACE}{{0,3}}(?:{'|'.join(_title(words, closed) for _, words, closed in dims.TITLES)})"
+ANY_TITLE = f"(?im)^{SPACE}{{0,3}}(?:{'|'.join(title for _, title in TITLES)})"
 
 BLEED = f"(?i)Item{ANY_SPACE}+([0-9]+[A-C]?)\\."
 PART_HEADER = f"(?i)PART{ANY_SPACE}+(I{{1,4}}){ANY_SPACE}*Item{ANY_SPACE}+[0-9]+"

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import align, facts, segment, votes
 from ..sources import results
 
+# Titles of rows that stand for no section of the text.
 ABS_TITLE = "Asset-Backed Securities (Reg AB) filing; non-standard schema"
 COVER_TITLE = "DOCUMENTS INCORPORATED BY REFERENCE (cover page)"
 REFERENCE = "struct<target_form:string,expected_year:int>"
