@@ -163,3 +163,42 @@ def test_a_hot_key_takes_time_in_proportion(spark):
             want, tokens = want + (tokens >= 1), tokens - (tokens >= 1)
         assert got == want
     assert took[1] < 8 * took[0] + 2
+
+
+def test_review_changes_doubtful_sections(spark):
+    from tomeloom.operators import review
+
+    rows = [(1, 0, "1", "extracted", "short"), (1, 1, "2", "extracted", "x" * 5_000 + " see Item 7"), (1, 2, "3", "reserved", "short"), (2, 0, "1", "extracted", "y" * 600)]
+    sections = spark.createDataFrame(rows, "filing_id long, ord int, item_number string, status string, content_text string")
+    said = [(1, "1", i, '{"status": "reserved"}' if i else "?") for i in range(3)] + [(2, "1", 0, '{"status": "reserved"}')]
+    got = {(r.filing_id, r.item_number): (r.status, r.warning) for r in review.reviewed(sections, spark.createDataFrame(said, "filing_id long, item_number string, provider_pos int, raw string")).collect()}
+    assert got == {(1, "1"): ("reserved", "overridden: item 1 from extracted to reserved by 2 of 2"), (1, "2"): ("extracted", "unanswered: item 2"), (1, "3"): ("reserved", None), (2, "1"): ("extracted", None)}
+    asked = sorted((r.item_number, r.turn, r.role, len(r.content)) for r in review.prompts(sections).collect())
+    assert asked == [("1", 0, "system", len(review.INSTRUCTION)), ("1", 1, "user", 13), ("2", 0, "system", len(review.INSTRUCTION)), ("2", 1, "user", 8 + review.PROMPT_CHARS + len(review.CUT_MARK))]
+    whole = results.assembled(spark.createDataFrame([(1, "a")], "filing_id long, cik string"), sections.withColumn("warning", F.when(F.col("ord") < 2, F.concat(F.lit("w"), "ord")))).first()
+    assert whole.meta.warnings == ["w0", "w1"] and [x.item_number for x in whole["items"]] == ["1", "2", "3"]
+
+
+def test_presentation_and_reports(spark, tmp_path):
+    from tomeloom.operators import review
+
+    one = spark.createDataFrame([(3, 1500, ["a"], None, True, False, "extracted"), (3, 0, [], None, None, True, "extracted")], "n int, ms int, w array<string>, a boolean, b boolean, era boolean, status string")
+    got = one.select(review.status_line(F.col("n"), F.col("ms"), F.col("w")).alias("line"), review.is_inline_xbrl(F.col("a"), F.col("b")).alias("inline"), review.is_dimmed(F.col("era"), F.col("status")).alias("dim")).collect()
+    assert [tuple(r) for r in got] == [("3 items · 1.5 s · 1 warnings", True, True), ("3 items", False, False)]
+    scores = spark.createDataFrame([(2, 0.5), (1, 1.0)], "filing_id long, recall double")
+    lines = [r.line for r in results.report(scores, "# T").orderBy("block", "place").collect()]
+    assert lines == ["# T", "", "| filing | recall |", "| --- | --- |", "| 1 | 1.0000 |", "| 2 | 0.5000 |", "| mean | 0.7500 |"]
+    results.write_report(scores, str(tmp_path / "report"), "# T")
+    assert spark.read.json(str(tmp_path / "report" / "json")).count() == 2
+    path = str(tmp_path / "manifest.json")
+    assert src.read_or_derive(spark, path, lambda: scores).count() == 2
+    with open(path, "w") as out:
+        out.write('[{"slug": "a"}]')
+    assert src.read_or_derive(spark, path, lambda: scores).collect()[0].slug == "a"
+    held = spark.createDataFrame([("x", "1", True), ("y", "1", False), ("z", "1", False)], "file string, company string, fresh boolean")
+    new = src.refreshed(held, spark.createDataFrame([("x", "2"), ("y", "2"), ("n", "2")], "file string, company string"))
+    assert sorted(map(tuple, new.collect())) == [("n", "2"), ("x", "1"), ("y", "2"), ("z", "1")]
+    assert src.of_source(spark.createDataFrame([("gold",), ("silver",)], "source string"), "gold").count() == 1
+    failed = results.with_errors(scores, spark.createDataFrame([(9, "late")], "filing_id long, error string"))
+    assert sorted(map(tuple, failed.collect()), key=repr) == [(1, 1.0, None), (2, 0.5, None), (9, 0.0, "late")]
+    assert review.tallies(failed).first() == (2, 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import status as st
 from ..functions import text as tx
-from ..operators import align, facts, segment, votes
+from ..operators import align, facts, review, segment
 from ..sources import results
 
 # Titles of rows that stand for no section of the text.
@@ -28,9 +28,10 @@ def due_items() -> Column:
 
 
 def items(filings: DataFrame, library: DataFrame | None = None, ballots: DataFrame | None = None, fuzzy: bool = False) -> DataFrame:
-    """filing_id, ord, part, item_number, item_title, status, content_text, char_range_text, applicable_in_era, references.
+    """filing_id, ord, part, item_number, item_title, status, content_text, char_range_text, char_range_html, applicable_in_era, references, and with ballots warning.
 
-    filings: filing_id, raw_text, filing_date, period_ending; library: a section
+    filings: filing_id, raw_text, filing_date, period_ending, and raw_html if there is one, which
+    gets a cursor of its own; library: a section
     library's output, if there is one; ballots: filing_id, item_number,
     provider_pos, raw, if extracted sections with a doubt were judged again.
     """
@@ -43,16 +44,22 @@ def items(filings: DataFrame, library: DataFrame | None = None, ballots: DataFra
     rows = rows.withColumn("content_text", F.explode(F.array("content_text")))  # computed once, used often
     rows = rows.withColumn("status", F.coalesce(F.nullif("status_hint", F.lit("")), st.status_of(F.col("content_text"))))
     if ballots is not None:
-        rows = judged_again(rows, ballots)
+        rows = review.reviewed(rows, ballots)
     places = (align.align_fuzzy if fuzzy else align.align_exact)(rows.select("filing_id", "ord", "item_number", "content_text"), filings)
     rows = rows.join(places.select("filing_id", "ord", F.col("range").alias("char_range_text")), ["filing_id", "ord"], "left")
     refers = F.when(F.col("status").isin(st.IBR, "partial"), F.col("cover"))
-    out = rows.select("filing_id", F.col("ord").cast("int").alias("ord"), "part", "item_number", "item_title", "status", "content_text", "char_range_text", F.array_contains("due", F.col("item_number")).alias("applicable_in_era"), refers.alias("references"))
+    if "raw_html" in filings.columns:
+        marked = align.align_exact(rows.select("filing_id", "ord", "item_number", "content_text"), filings.where("raw_html IS NOT NULL").select("filing_id", F.col("raw_html").alias("raw_text")))
+        rows = rows.join(marked.select("filing_id", "ord", F.col("range").alias("char_range_html")), ["filing_id", "ord"], "left")
+    else:
+        rows = rows.withColumn("char_range_html", F.lit(None).cast(align.RANGE))
+    told = ["warning"] if ballots is not None else []
+    out = rows.select("filing_id", F.col("ord").cast("int").alias("ord"), "part", "item_number", "item_title", "status", "content_text", "char_range_text", "char_range_html", F.array_contains("due", F.col("item_number")).alias("applicable_in_era"), refers.alias("references"), *told)
 
     def made(only: Column, order: int, number: str, title: str, status: str, applicable: bool, ref: Column) -> DataFrame:
         return heads.where(only).select(
             "filing_id", F.lit(order).alias("ord"), F.lit(0).alias("part"), F.lit(number).alias("item_number"), F.lit(title).alias("item_title"), F.lit(status).alias("status"), F.lit("").alias("content_text"),
-            F.lit(None).cast(align.RANGE).alias("char_range_text"), F.lit(applicable).alias("applicable_in_era"), ref.alias("references"),
+            F.lit(None).cast(align.RANGE).alias("char_range_text"), F.lit(None).cast(align.RANGE).alias("char_range_html"), F.lit(applicable).alias("applicable_in_era"), ref.alias("references"), *[F.lit(None).cast("string").alias(x) for x in told],
         )
 
     placeholder = made(F.col("is_abs"), 0, "abs", ABS_TITLE, "non_standard", False, F.lit(None).cast(REFERENCE))
@@ -60,14 +67,6 @@ def items(filings: DataFrame, library: DataFrame | None = None, ballots: DataFra
     return out.unionByName(placeholder).unionByName(cover)
 
 
-def judged_again(rows: DataFrame, ballots: DataFrame) -> DataFrame:
-    """rows with the statuses that the voters changed; only doubtful sections are asked about."""
-    doubt = rows.where(st.review_reason(F.col("status"), F.col("content_text")).isNotNull()).select("filing_id", "item_number", "status")
-    won = votes.tally(ballots.withColumn("value", st.ballot_status(F.col("raw"))), doubt.withColumnRenamed("status", "fallback"))
-    new = votes.overridden(won, doubt).where("overridden").select("filing_id", "item_number", F.col("status").alias("new_status"))
-    return rows.join(new, ["filing_id", "item_number"], "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
-
-
 def extract(filings: DataFrame, library: DataFrame | None = None, ballots: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
     """One nested result a filing: filing, items, meta, xbrl_validation (with companies: filing_id, accession, company)."""
     rows = items(filings, library, ballots)

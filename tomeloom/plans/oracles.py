@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .. import dims
 from .. import patterns as p
+from ..operators.review import CUT_MARK, INSTRUCTION, PROMPT_CHARS
 from .corpus import KEYED, LABELLED, filings_sql, pieces
 
 
@@ -165,6 +166,40 @@ scored AS (SELECT filing_id, coalesce(sum(gn), 0) AS items_actual, coalesce(sum(
  coalesce(string_agg(item || ':' || wl || ':' || gl, ',' ORDER BY item || ':' || wl || ':' || gl) FILTER (gl <> wl), '') AS mismatches FROM j GROUP BY 1)"""
 _HTML = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
+_NBSP = q(p.NBSP)
+_MARK = lambda o: f"substring(body, {o + 1}, 120)"
+
+
+def cursor(source: str, asked: str = "true") -> str:
+    """CTEs that align the sections with a source along a cursor, for the filings asked for."""
+    place = lambda o: f"position({_MARK(o)} IN substring({source}, cur.place + 1))"
+    start = "CASE " + " ".join(f"WHEN length({_MARK(o)}) >= 40 AND {place(o)} > 0 THEN greatest({place(o)} - 1 - {o} - head, 0) + cur.place" for o in (0, 200, 500)) + " END"
+    return f"""{SECTIONS}, bare AS (SELECT filing_id, ord, item_number, content_text, {strip(f"replace(content_text, {_NBSP}, ' ')")} AS t FROM sections),
+cuts AS (SELECT *, position(chr(10) IN t) - 1 AS line, CASE WHEN position('  ' IN substring(t, 51)) > 0 THEN position('  ' IN substring(t, 51)) + 49 ELSE -1 END AS wide FROM bare),
+bodies AS (SELECT *, CASE WHEN line > 0 AND line < 200 THEN {strip('substring(t, line + 2)')} WHEN wide > 0 AND wide < 200 THEN {strip('substring(t, wide + 3)')} ELSE t END AS body FROM cuts),
+prep AS MATERIALIZED (SELECT filing_id, ord, item_number, content_text, body, CASE WHEN body = '' THEN 0 ELSE greatest(position(substring(body, 1, 40) IN content_text) - 1, 0) END AS head, row_number() OVER (PARTITION BY filing_id ORDER BY ord) AS k FROM bodies),
+cur AS (SELECT filing_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM filings WHERE {asked}
+ UNION ALL SELECT filing_id, k, CASE WHEN s IS NULL THEN place ELSE least(s + n, total) END, s, CASE WHEN s IS NOT NULL THEN least(s + n, total) END FROM (SELECT cur.filing_id, prep.k, cur.place, {start} AS s, length(content_text) AS n, length({source}) AS total FROM cur JOIN prep ON prep.filing_id = cur.filing_id AND prep.k = cur.k + 1 JOIN filings f ON f.filing_id = cur.filing_id)),
+aligned AS (SELECT p.filing_id, p.item_number, CAST(p.ord AS BIGINT) AS ord, c.s AS start, c.e AS "end" FROM cur c JOIN prep p ON p.filing_id = c.filing_id AND p.k = c.k)"""
+
+
+CURSOR = cursor("f.raw_text")
+HTML = "('<html><body>' || replace(f.raw_text, chr(10), '<br>' || chr(10)) || '</body></html>')"
+_REASON = f"""CASE WHEN status <> 'extracted' OR starts_with(content_text, '[Cross-reference TOC]') THEN false ELSE length(content_text) < 500 OR regexp_matches(content_text, {q(p.HINT_BY_REFERENCE)}) OR regexp_matches(content_text, {q(p.HINT_SEE_ITEM)}) OR regexp_matches(content_text, {q(p.REMAINING)}) END"""
+REVIEWED = f"""{STATUS}, doubt AS (SELECT filing_id, item_number FROM classified WHERE {_REASON}),
+said AS (SELECT filing_id, item_number, pos, k % 11 = 0 AS idle, {_STATUSES}[k % 6 + 1] AS value FROM (SELECT filing_id, item_number, pos, filing_id + length(item_number) * 5 + CASE WHEN filing_id % 2 = 0 THEN 0 ELSE pos END AS k FROM doubt, (VALUES (0), (1), (2)) v(pos) WHERE item_number IN ('1A', '7', '8', '10'))),
+sums AS (SELECT filing_id, item_number, value, count(*) AS n FROM said WHERE NOT idle GROUP BY ALL),
+won AS (SELECT filing_id, item_number, sum(n) AS n_votes, max(n) AS top, arg_max(value, n) AS most, count(*) FILTER (n = t) > 1 AS tie FROM (SELECT *, max(n) OVER (PARTITION BY filing_id, item_number) AS t FROM sums) GROUP BY 1, 2),
+judged AS (SELECT d.*, coalesce(w.n_votes, 0) AS n_votes, coalesce(NOT tie AND top >= 0.51 * w.n_votes AND most <> 'extracted', false) AS changed, most, top FROM doubt d LEFT JOIN won w USING (filing_id, item_number))"""
+_RATES = {
+    "item_recall": "CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END",
+    "item_precision": "CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END",
+    "status_accuracy": "CASE WHEN tp = 0 THEN 0.0 ELSE CAST(status_correct AS DOUBLE) / tp END",
+    "full_match_rate": "CASE WHEN pairs_expected = 0 THEN 0.0 ELSE CAST(pairs_correct AS DOUBLE) / pairs_expected END",
+}
+WITH_ERRORS = f"""{SCORES}, failed AS (SELECT doc_id AS filing_id, 'not labelled' AS error FROM documents WHERE doc_id % 17 = 3 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)),
+told AS (SELECT coalesce(s.filing_id, f.filing_id) AS filing_id, {", ".join(f"coalesce({x}, 0) AS {n}" for n, x in _RATES.items())}, error FROM scored s FULL JOIN failed f ON f.filing_id = s.filing_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "heading_spans": f'WITH {HEADINGS} SELECT filing_id, start, "end", item_number, title FROM headings',
     "best_heading_per_item": f"WITH {ROOMS} SELECT filing_id, item_number, start, CAST(room AS BIGINT) AS room FROM picks",
@@ -243,5 +278,20 @@ UNION ALL SELECT filing_id, 0, 0, 'abs', 'non_standard', false, NULL FROM odd UN
     "conversation_turns": "WITH g AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS gap FROM conversations) SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, max(gap) AS widest_gap FROM g GROUP BY 1",
     "page_headings": f"WITH {spans_sql('h', 'pages', 'page_id', 'html', '(?s)<h1>.*?</h1>')} SELECT page_id, start, regexp_replace(hit, '</?h1>', '', 'g') AS heading FROM h",
     "flagship": f"WITH {STATUS} SELECT status, count(*) AS sections, count(DISTINCT filing_id) AS filings, CAST(sum(length(content_text)) AS BIGINT) AS n_chars FROM classified GROUP BY 1",
+    "align_cursor": f"WITH RECURSIVE {CURSOR} SELECT * FROM aligned",
+    "align_html": f"WITH RECURSIVE {cursor(HTML, 'filing_id % 3 <> 0')} SELECT * FROM aligned",
+    "alignment_rates": f"WITH RECURSIVE {CURSOR} SELECT filing_id, count(*) AS items, round(count(start) / count(*), 6) AS text_rate FROM aligned GROUP BY 1",
+    "reviewed_statuses": f"""WITH {REVIEWED} SELECT c.filing_id, c.item_number, CASE WHEN j.changed THEN j.most ELSE c.status END AS status,
+ CASE WHEN j.n_votes = 0 THEN 'unanswered: item ' || c.item_number WHEN j.changed THEN 'overridden: item ' || c.item_number || ' from extracted to ' || most || ' by ' || CAST(top AS BIGINT) || ' of ' || CAST(n_votes AS BIGINT) WHEN j.n_votes > 0 THEN 'kept: item ' || c.item_number || ' as extracted' END AS warning
+ FROM classified c LEFT JOIN judged j ON j.filing_id = c.filing_id AND j.item_number = c.item_number""",
+    "review_prompts": f"""WITH {REVIEWED}, texts AS (SELECT filing_id, item_number, content_text AS t FROM classified WHERE {_REASON})
+SELECT filing_id, item_number, CAST(0 AS BIGINT) AS turn, 'system' AS role, {q(INSTRUCTION)} AS content FROM texts
+UNION ALL SELECT filing_id, item_number, 1, 'user', 'Item ' || item_number || ':' || chr(10) || CASE WHEN length(t) > {PROMPT_CHARS} THEN substring(t, 1, {PROMPT_CHARS}) || {q(CUT_MARK)} ELSE t END FROM texts""",
+    "scores_with_errors": f"WITH {WITH_ERRORS} SELECT filing_id, {', '.join(f'round({n}, 6) AS {n}' for n in _RATES)}, error FROM told",
+    "result_tallies": f"WITH {WITH_ERRORS} SELECT count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed FROM told",
+    "score_report": f"""WITH {SCORES}, r AS (SELECT filing_id, {_RATES['item_recall']} AS a, {_RATES['item_precision']} AS b FROM scored)
+SELECT CAST(0 AS BIGINT) AS block, CAST(i AS BIGINT) AS place, line FROM (VALUES (0, '# Scores'), (1, ''), (2, '| filing | item_recall | item_precision |'), (3, '| --- | --- | --- |')) v(i, line)
+UNION ALL SELECT 1, filing_id, printf('| %d | %.4f | %.4f |', filing_id, a, b) FROM r UNION ALL SELECT 2, 0, printf('| mean | %.4f | %.4f |', coalesce(avg(a), 0), coalesce(avg(b), 0)) FROM r""",
 }
 ORACLE_SQL["token_bucket_stream"] = ORACLE_SQL["token_bucket"]
+ORACLE_SQL["item_details"] = f"""WITH x AS ({ORACLE_SQL["extraction"]}) SELECT filing_id, item_number, ord, status, NOT applicable_in_era AND status = 'extracted' AS dimmed FROM x QUALIFY row_number() OVER (PARTITION BY filing_id, item_number ORDER BY ord) = 1"""

@@ -16,8 +16,9 @@ from .. import dims
 from .. import patterns as p
 from ..functions import status as st
 from ..functions import text as tx
-from ..operators import align, evaluate, facts, limits, segment, votes
+from ..operators import align, evaluate, facts, limits, review, segment, votes
 from ..sources import filings as src
+from ..sources import results
 from ..streaming import limiter
 from .corpus import KEYED, LABELLED, filings, pieces
 from .extract import due_items, extract, items
@@ -209,6 +210,14 @@ def align_cursor(spark, sf_dir):
     return align.align_exact(segment.heading_sections(f), f).select("filing_id", "item_number", *big("ord"), c("range.start").cast("long").alias("start"), c("range.end").cast("long").alias("end"))
 
 
+@query
+def align_html(spark, sf_dir):
+    """The sections' places in the markup of the filings that have any, along a cursor of its own."""
+    f = filings(spark, sf_dir)
+    html = f.where("filing_id % 3 <> 0").select("filing_id", F.concat(F.lit("<html><body>"), F.replace("raw_text", F.lit("\n"), F.lit("<br>\n")), F.lit("</body></html>")).alias("raw_text"))
+    return align.align_exact(segment.heading_sections(f), html).select("filing_id", "item_number", *big("ord"), c("range.start").cast("long").alias("start"), c("range.end").cast("long").alias("end"))
+
+
 @query
 def align_fuzzy(spark, sf_dir):
     """Sections whose blanks were doubled, found by longest block or but for white space."""
@@ -514,6 +523,61 @@ def extraction_documents(spark, sf_dir):
     return docs.select("filing_id", F.size("items").cast("long").alias("items"), F.size(F.filter("items", lambda x: x["char_range_text"].isNotNull())).cast("long").alias("aligned"), F.length(F.to_json("items")).cast("long").alias("json_chars"))
 
 
+def section_ballots(spark, sf_dir) -> DataFrame:
+    """Three voters' answers on some items of every filing, by arithmetic on the id."""
+    rows = filings(spark, sf_dir).select("filing_id", F.explode(F.array(*[F.lit(n) for n in ("1A", "7", "8", "10")])).alias("item_number")).select("*", F.explode(F.array(*[F.lit(i) for i in range(PROVIDERS)])).alias("provider_pos"))
+    k = c("filing_id") + F.length("item_number") * 5 + F.when(c("filing_id") % 2 == 0, 0).otherwise(c("provider_pos"))
+    name = F.element_at(F.array(*[F.lit(x) for x in dims.STATUSES]), (k % 6 + 1).cast("int"))
+    return rows.select("filing_id", "item_number", "provider_pos", F.when(k % 11 == 0, F.lit("no idea")).otherwise(F.concat(F.lit('{"status": "'), name, F.lit('"}'))).alias("raw"))
+
+
+@query
+def reviewed_statuses(spark, sf_dir):
+    """Statuses after the votes on doubtful sections, and what the votes did."""
+    return review.reviewed(classified(spark, sf_dir), section_ballots(spark, sf_dir)).select("filing_id", "item_number", "status", "warning")
+
+
+@query
+def review_prompts(spark, sf_dir):
+    return review.prompts(classified(spark, sf_dir)).select("filing_id", "item_number", *big("turn"), "role", "content")
+
+
+@query
+def alignment_rates(spark, sf_dir):
+    """Items and the share of them that have a place in the text, of every filing."""
+    return review.alignment_rates(align_cursor(spark, sf_dir)).select("filing_id", "items", F.round("text_rate", 6).alias("text_rate"))
+
+
+@query
+def item_details(spark, sf_dir):
+    """The first row of every item with its dim flag."""
+    return review.item_details(items(filings(spark, sf_dir))).select("filing_id", "item_number", *big("ord"), "status", "dimmed")
+
+
+def _ratios_with_errors(spark, sf_dir) -> DataFrame:
+    failed = table(spark, sf_dir, "documents").where("doc_id % 17 = 3").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return results.with_errors(evaluate.ratios(counts(spark, sf_dir)), failed.select(c("doc_id").alias("filing_id"), F.lit("not labelled").alias("error")))
+
+
+@query
+def scores_with_errors(spark, sf_dir):
+    """Ratios of every scored filing, and failed ones as zeros that name the error."""
+    names = ("item_recall", "item_precision", "status_accuracy", "full_match_rate")
+    return _ratios_with_errors(spark, sf_dir).select("filing_id", *[F.round(n, 6).alias(n) for n in names], "error")
+
+
+@query
+def result_tallies(spark, sf_dir):
+    return review.tallies(_ratios_with_errors(spark, sf_dir))
+
+
+@query
+def score_report(spark, sf_dir):
+    """The lines of the report on the scores."""
+    lines = results.report(evaluate.ratios(counts(spark, sf_dir)).select("filing_id", "item_recall", "item_precision"), "# Scores")
+    return lines.select(*big("block", "place"), "line")
+
+
 @query
 def flagship(spark, sf_dir):
     """How many sections of each status the filings hold, and how long they are."""

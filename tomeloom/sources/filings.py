@@ -73,3 +73,20 @@ def catalogue(gold: DataFrame, silver: DataFrame, labels: dict[str, str], notes:
     g = gold.select(F.lit(0).alias("ord"), slug, named(slug, labels, slug).alias("label"), text("cik").alias("cik"), text("accession").alias("accession"), text("form_type", "10-K").alias("form_type"), text("period_ending").alias("period_ending"), named(slug, notes, text("comment")).alias("characteristic"), F.lit("gold").alias("source"))
     s = silver.select(F.lit(1).alias("ord"), slug, named(slug, labels, slug).alias("label"), text("cik").alias("cik"), text("accession").alias("accession"), text("form_type", "10-K").alias("form_type"), text("period_ending").alias("period_ending"), text("comment").alias("characteristic"), F.lit("silver").alias("source"))
     return g.unionByName(s)
+
+
+def read_or_derive(spark: SparkSession, manifest: str, derive) -> DataFrame:
+    """The manifest's rows if there is one, else what ``derive`` makes; decided when the plan is built."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    return spark.read.json(manifest, multiLine=True) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else derive()
+
+
+def of_source(catalogued: DataFrame, source: str) -> DataFrame:
+    """The rows of one source, gold or silver, in the order of the catalogue."""
+    return catalogued.where(F.col("source") == source)
+
+
+def refreshed(held: DataFrame, fetched: DataFrame) -> DataFrame:
+    """file, company of the facts, stale ones replaced where they were fetched again; held: file, company, fresh; fetched: file, company (null: not there)."""
+    rows = held.join(fetched.select("file", F.col("company").alias("new"), F.lit(True).alias("asked")), "file", "full")
+    return rows.select("file", F.when(F.coalesce("fresh", F.lit(False)), F.col("company")).when(F.col("asked"), F.col("new")).otherwise(F.col("company")).alias("company"))
