@@ -84,7 +84,8 @@ def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[int]:
     total = int(sized.agg(F.sum("size")).first()[0] or 0)
     if not total:
         return []
-    target = min(range_bytes, -(-total // shuffle_partitions(docs.sparkSession)))
+    # several ranges a partition, so that those that meet in one are about as many everywhere
+    target = min(range_bytes, -(-total // (4 * shuffle_partitions(docs.sparkSession))))
     part = sized.repartitionByRange(-(-total // target), "doc_id").withColumn("part", F.spark_partition_id())
     before = F.sum("size").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     cuts = part.withColumn("cut", F.floor(before / target)).groupBy("part", "cut").agg(F.min("doc_id").alias("least"))
