@@ -1,8 +1,9 @@
 """Sections of filings: by headings, by titles, by a cross-reference index, or as given by a section library.
 
-All windows are keyed by the filing, so one exchange on ``filing_id`` serves a
-whole strategy.  Sections carry ord (their place), part, item_number,
-item_title, content_text and, from an index, a status_hint.
+A filing's sections are found within its row, by functions on arrays of places,
+and the strategy is chosen there too: no text is exchanged.  Sections carry ord
+(their place), part, item_number, item_title, content_text and, from an index, a
+status_hint.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from .. import patterns as p
-from ..functions.status import index_status
+from ..functions.status import index_status, once
 from ..functions.text import bleed_trimmed, first_group, part_of, section_title, spans, strip
 
 SECTION = ("filing_id", "source", "ord", "part", "item_number", "item_title", "content_text", "status_hint")
@@ -39,41 +40,60 @@ def best_headings(headings: DataFrame) -> DataFrame:
     return roomy.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def _sliced(picks: DataFrame, filings: DataFrame, source: str) -> DataFrame:
-    """Sections from each pick to the next; picks: filing_id, start, item_number, item_title.
+def _firsts(rows: Column) -> Column:
+    """Of an array of structs, the least of each item_number, which is their first field; the later fields rank them."""
+    return once(F.array_sort(rows), lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~x["item_number"].eqNullSafe(F.get(xs, i - 1)["item_number"])))
 
-    The picks of a filing are gathered before the text is joined, so that the
-    text crosses the exchange once a filing and not once a section.
-    """
-    one = picks.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("start", "item_number", "item_title"))).alias("picks"))
-    rows = filings.select("filing_id", "raw_text").join(one, "filing_id")
-    rows = rows.select("filing_id", "raw_text", "picks", F.posexplode("picks").alias("ord", "pick"))
-    end = F.coalesce(F.get("picks", F.col("ord") + 1)["start"], F.length("raw_text"))
-    body = strip(F.substring("raw_text", F.col("pick.start") + 1, end - F.col("pick.start")))
-    rows = held(rows, "content_text", body)
-    rows = rows.select("filing_id", F.lit(source).alias("source"), "ord", F.col("pick.item_number").alias("item_number"), F.substring("pick.item_title", 1, 120).alias("item_title"), "content_text")
-    return rows.where(F.length("content_text") >= dims.SHORTEST_SECTION).select("filing_id", "source", "ord", part_of(F.col("item_number")).alias("part"), "item_number", "item_title", "content_text", F.lit(None).cast("string").alias("status_hint"))
 
+def heading_picks(raw_text: Column) -> Column:
+    """array of (start, item_number, item_title): of each item's headings the one with the most room, in order."""
+    item = lambda m: F.upper(F.regexp_extract(m["hit"], p.HEADING, 1))
+    known = F.filter(spans(raw_text, p.HEADING), lambda m: item(m).isin(*dims.ITEM_NUMBERS))
 
-def heading_sections(filings: DataFrame) -> DataFrame:
-    picks = best_headings(heading_spans(filings))
-    title = strip(F.regexp_replace(strip(F.col("title")), "\\.+\\z", ""))
-    return _sliced(picks.select("filing_id", "start", "item_number", title.alias("item_title")), filings, "heading")
+    def ranked(ms: Column) -> Column:
+        room = lambda m, i: F.coalesce(F.get(ms, i + 1)["start"] - m["start"], F.lit(dims.FAR))
+        return F.transform(ms, lambda m, i: F.struct(item(m).alias("item_number"), (-room(m, i)).alias("less"), (-m["start"]).alias("later"), m["hit"].alias("hit")))
 
+    title = lambda x: strip(F.regexp_replace(strip(F.regexp_extract(x["hit"], p.HEADING, 2)), "\\.+\\z", ""))
+    return F.array_sort(F.transform(_firsts(once(known, ranked)), lambda x: F.struct((-x["later"]).alias("start"), x["item_number"].alias("item_number"), title(x).alias("item_title"))))
 
-def title_spans(filings: DataFrame) -> DataFrame:
-    """filing_id, start, item_number, item_title of the last match of each item's titles.
 
-    One pass finds the matches of any title; which one it was is told from the few matches.
-    """
-    found = filings.select("filing_id", F.explode(spans(F.col("raw_text"), p.ANY_TITLE)).alias("m")).select("filing_id", "m.start", "m.hit")
-    which = F.coalesce(*[F.when(F.col("hit").rlike(rx), F.lit(item)) for item, rx in p.TITLE_PATTERNS])
-    last = found.withColumn("item_number", which).groupBy("filing_id", "item_number").agg(F.max_by("hit", "start").alias("hit"), F.max("start").alias("start"))
-    return last.select("filing_id", "start", "item_number", strip(F.col("hit")).alias("item_title"))
+def title_picks(raw_text: Column) -> Column:
+    """array of (start, item_number, item_title): the last match of each item's titles, in order."""
+    which = lambda m: F.coalesce(*[F.when(m["hit"].rlike(rx), F.lit(item)) for item, rx in p.TITLE_PATTERNS])
+    rows = F.transform(spans(raw_text, p.ANY_TITLE), lambda m: F.struct(which(m).alias("item_number"), (-m["start"]).alias("later"), m["hit"].alias("hit")))
+    return F.array_sort(F.transform(_firsts(rows), lambda x: F.struct((-x["later"]).alias("start"), x["item_number"].alias("item_number"), strip(x["hit"]).alias("item_title"))))
+
+
+def _section(source: str, ord: Column, item: Column, title: Column, content: Column, hint: Column) -> Column:
+    return F.struct(
+        F.lit(source).alias("source"), ord.cast("int").alias("ord"), part_of(item).alias("part"), item.alias("item_number"), F.substring(title, 1, 120).alias("item_title"), content.alias("content_text"), hint.alias("status_hint")
+    )
+
+
+def _sliced(raw_text: Column, picks: Column, source: str) -> Column:
+    """array of sections, from each pick to the next."""
+
+    def cut(ps: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(ps, i + 1)["start"], F.length(raw_text))
+        body = lambda x, i: strip(F.substring(raw_text, x["start"] + 1, end(i) - x["start"]))
+        return F.transform(ps, lambda x, i: _section(source, i, x["item_number"], x["item_title"], body(x, i), F.lit(None).cast("string")))
+
+    return F.filter(once(picks, cut), lambda s: F.length(s["content_text"]) >= dims.SHORTEST_SECTION)
+
+
+def _exploded(filings: DataFrame, sections: Column) -> DataFrame:
+    return _spread(filings.select("filing_id", sections.alias("sections")))
+
+
+def heading_sections(filings: DataFrame) -> DataFrame:
+    text = F.col("raw_text")
+    return _exploded(filings, _sliced(text, heading_picks(text), "heading"))
 
 
 def title_sections(filings: DataFrame) -> DataFrame:
-    return _sliced(title_spans(filings), filings, "title")
+    text = F.col("raw_text")
+    return _exploded(filings, _sliced(text, title_picks(text), "title"))
 
 
 def index_region(raw_text: Column) -> Column:
@@ -90,16 +110,21 @@ def index_parts(line: Column) -> Column:
     return F.struct(title.alias("title"), ref.alias("ref"))
 
 
+def _indexed(raw_text: Column) -> Column:
+    """array of sections, one for the first line of each item in the cross-reference index; null without an index."""
+    line = lambda m: F.struct(F.upper(F.regexp_extract(m["hit"], p.INDEX_LINE, 1)).alias("item_number"), m["start"].alias("start"), index_parts(F.regexp_extract(m["hit"], p.INDEX_LINE, 2)).alias("x"))
+    first = lambda region: F.array_sort(F.transform(_firsts(F.transform(spans(region, p.INDEX_LINE), line)), lambda r: F.struct(r["start"].alias("start"), r["item_number"].alias("item_number"), r["x"].alias("x"))))
+
+    def section(r: Column, i: Column) -> Column:
+        title, ref = r["x"]["title"], r["x"]["ref"]
+        return _section("index", i, r["item_number"], title, strip(F.concat(F.lit("[Cross-reference TOC] "), title, F.lit(" ("), ref, F.lit(")"))), index_status(ref))
+
+    return once(index_region(raw_text), lambda region: F.when(region.isNotNull(), F.transform(first(region), section)))
+
+
 def index_sections(filings: DataFrame) -> DataFrame:
     """A section for the first line of each item in the cross-reference index."""
-    region = filings.select("filing_id", index_region(F.col("raw_text")).alias("region")).where("region IS NOT NULL")
-    rows = region.select("filing_id", F.explode(spans(F.col("region"), p.INDEX_LINE)).alias("m"))
-    rows = rows.select("filing_id", F.col("m.start").alias("start"), F.upper(F.regexp_extract("m.hit", p.INDEX_LINE, 1)).alias("item_number"), index_parts(F.regexp_extract("m.hit", p.INDEX_LINE, 2)).alias("x"))
-    first = rows.groupBy("filing_id", "item_number").agg(F.min_by(F.struct("start", "x"), "start").alias("m"))
-    place = F.row_number().over(Window.partitionBy("filing_id").orderBy("m.start")) - 1
-    title, ref = F.col("m.x.title"), F.col("m.x.ref")
-    content = strip(F.concat(F.lit("[Cross-reference TOC] "), title, F.lit(" ("), ref, F.lit(")")))
-    return first.select("filing_id", F.lit("index").alias("source"), place.alias("ord"), part_of(F.col("item_number")).alias("part"), "item_number", F.substring(title, 1, 120).alias("item_title"), content.alias("content_text"), index_status(ref).alias("status_hint"))
+    return _exploded(filings, _indexed(F.col("raw_text")))
 
 
 def _gathered(sections: DataFrame, *keys: str) -> DataFrame:
@@ -131,9 +156,22 @@ def strategies(candidates: DataFrame) -> DataFrame:
     return _chosen(candidates).select("filing_id", "source", "n")
 
 
+def chosen(filings: DataFrame) -> DataFrame:
+    """filing_id, sections of the strategy that each filing takes; filings without any section are left out."""
+    text = F.col("raw_text")
+    found = {"heading": _sliced(text, heading_picks(text), "heading"), "index": _indexed(text), "title": _sliced(text, title_picks(text), "title")}
+    rows = held(filings.select("filing_id", "raw_text"), "found", F.struct(*[x.alias(name) for name, x in found.items()])).select("filing_id", "found")
+    of, n = lambda name: F.col(f"found.{name}"), lambda name: F.coalesce(F.size(F.col(f"found.{name}")), F.lit(0))
+    most = F.greatest(*[n(name) for name in PRIORITY])
+    best = F.when(n("index") >= dims.WHOLE_FILING, of("index")).when(n("heading") >= dims.WHOLE_FILING, of("heading"))
+    for name in sorted(PRIORITY, key=PRIORITY.get):
+        best = best.when(n(name) == most, of(name))
+    return rows.where(most > 0).select("filing_id", best.alias("sections"))
+
+
 def pattern_sections(filings: DataFrame) -> DataFrame:
     """Sections by the strategy that each filing takes."""
-    return _spread(_chosen(heading_sections(filings).unionByName(index_sections(filings)).unionByName(title_sections(filings))))
+    return _spread(chosen(filings))
 
 
 def suspect_coverage(sections: DataFrame) -> DataFrame:
@@ -166,9 +204,10 @@ def library_sections(library: DataFrame) -> DataFrame:
 
 
 def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame) -> DataFrame:
-    """Library sections, but pattern sections for a suspect filing (not asset-backed) that has strictly more of them."""
-    lib = _gathered(library.select(*SECTION), "filing_id")
-    pat = _gathered(patterns.select(*SECTION), "filing_id").withColumnRenamed("sections", "others")
+    """Library sections, but pattern sections for a suspect filing (not asset-backed) that has strictly more of them; patterns: ``chosen``."""
+    order = ("ord", "source", "part", "item_number", "item_title", "content_text", "status_hint")
+    lib = library.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("sections"))
+    pat = patterns.select("filing_id", F.transform("sections", lambda x: F.struct(*[x[n].alias(n) for n in order])).alias("others"))
     rows = filings.select("filing_id", "is_abs").join(lib, "filing_id", "left").join(pat, "filing_id", "left")
     n = F.coalesce(F.size("sections"), F.lit(0))
     start = lambda x: F.substring(strip(F.coalesce(x["content_text"], F.lit(""))), 1, 500)

@@ -36,9 +36,10 @@ def items(filings: DataFrame, library: DataFrame | None = None, ballots: DataFra
     provider_pos, raw, if extracted sections with a doubt were judged again.
     """
     heads = filings.select("filing_id", tx.looks_asset_backed(F.col("raw_text")).alias("is_abs"), st.cover_reference(F.col("raw_text")).alias("cover"), F.transform(due_items(), lambda x: x["item_number"]).alias("due"))
-    sections = segment.pattern_sections(filings)
-    if library is not None:
-        sections = segment.merged_sections(segment.library_sections(library), sections, heads.select("filing_id", "is_abs"))
+    if library is None:
+        sections = segment.pattern_sections(filings)
+    else:
+        sections = segment.merged_sections(segment.library_sections(library), segment.chosen(filings), heads.select("filing_id", "is_abs"))
     sections = sections.join(heads.where("NOT is_abs").select("filing_id", "cover", "due"), "filing_id")
     rows = segment.document_order(sections)
     rows = rows.withColumn("content_text", F.explode(F.array("content_text")))  # computed once, used often

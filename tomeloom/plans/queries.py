@@ -72,14 +72,10 @@ def index_table_sections(spark, sf_dir):
     return segment.index_sections(filings(spark, sf_dir)).select(*big("ord", "part"), *SECTION_OUT, "status_hint")
 
 
-def _candidates(spark, sf_dir):
-    f = filings(spark, sf_dir)
-    return segment.heading_sections(f).unionByName(segment.index_sections(f)).unionByName(segment.title_sections(f))
-
-
 @query
 def segment_strategy(spark, sf_dir):
-    return segment.strategies(_candidates(spark, sf_dir)).select("filing_id", "source", *big("n"))
+    rows = segment.chosen(filings(spark, sf_dir))
+    return rows.select("filing_id", F.get("sections", F.lit(0))["source"].alias("source"), F.size("sections").cast("long").alias("n"))
 
 
 @query
@@ -105,7 +101,7 @@ def library_sections_merge(spark, sf_dir):
     """Library sections, unless the filing's own text yields strictly more."""
     f = filings(spark, sf_dir)
     flagged = f.select("filing_id", tx.looks_asset_backed(c("raw_text")).alias("is_abs"))
-    merged = segment.merged_sections(segment.library_sections(library(spark, sf_dir)), segment.pattern_sections(f), flagged)
+    merged = segment.merged_sections(segment.library_sections(library(spark, sf_dir)), segment.chosen(f), flagged)
     return merged.select("filing_id", "source", *big("part"), "item_number", F.length("content_text").cast("long").alias("n_chars"))
 
 
