@@ -295,3 +295,6 @@ UNION ALL SELECT 1, filing_id, printf('| %d | %.4f | %.4f |', filing_id, a, b) F
 }
 ORACLE_SQL["token_bucket_stream"] = ORACLE_SQL["token_bucket"]
 ORACLE_SQL["item_details"] = f"""WITH x AS ({ORACLE_SQL["extraction"]}) SELECT filing_id, item_number, ord, status, NOT applicable_in_era AND status = 'extracted' AS dimmed FROM x QUALIFY row_number() OVER (PARTITION BY filing_id, item_number ORDER BY ord) = 1"""
+_WIDE = f"'(?i)^item\\s+' || item_number || {q(f'\\.?\\s*[-{p.DASH}:.]?\\s*([^\\n]{{0,120}}?)\\s\\s')}"
+ORACLE_SQL["section_titles"] = f"""WITH labelled AS ({_library('labelled')}), heads AS (SELECT filing_id, item_number, regexp_replace(replace(text, {_NBSP}, ' '), {q('^' + p.ANY_SPACE + '+')}, '') AS head FROM labelled)
+SELECT filing_id, item_number, CASE WHEN regexp_matches(head, {_WIDE}) THEN {strip(f'regexp_extract(head, {_WIDE}, 1)')} ELSE {strip(f"substring(regexp_replace(split_part(head, chr(10), 1), '(?i)^item\\s+' || item_number || '\\.?\\s*', ''), 1, 80)")} END AS title FROM heads"""
