@@ -174,13 +174,21 @@ def pattern_sections(filings: DataFrame) -> DataFrame:
     return _spread(chosen(filings))
 
 
+def _start(content: Column, item: Column) -> Column:
+    return F.struct(F.substring(strip(F.coalesce(content, F.lit(""))), 1, 500).alias("start"), item.alias("item_number"))
+
+
+def _suspect(starts: Column) -> Column:
+    """Whether sections, given by their starts, are too few for a whole filing, or two items among them start alike."""
+    pairs = F.array_distinct(F.filter(starts, lambda x: x["start"] != ""))
+    alike = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda x: x["start"])))
+    return (F.coalesce(F.size(starts), F.lit(0)) < dims.WHOLE_FILING) | F.coalesce(alike, F.lit(False))
+
+
 def suspect_coverage(sections: DataFrame) -> DataFrame:
     """filing_id, n, suspect: fewer than a whole filing's sections, or two items that start alike."""
-    start = F.substring(strip(F.coalesce("content_text", F.lit(""))), 1, 500)
-    starts = sections.select("filing_id", "item_number", start.alias("start"))
-    alike = starts.where("start <> ''").groupBy("filing_id", "start").agg((F.min("item_number") != F.max("item_number")).alias("alike")).groupBy("filing_id").agg(F.bool_or("alike").alias("alike"))
-    counts = sections.groupBy("filing_id").agg(F.count("*").alias("n"))
-    return counts.join(alike, "filing_id", "left").select("filing_id", "n", ((F.col("n") < dims.WHOLE_FILING) | F.coalesce("alike", F.lit(False))).alias("suspect"))
+    rows = sections.groupBy("filing_id").agg(F.collect_list(_start(F.col("content_text"), F.col("item_number"))).alias("starts"))
+    return rows.select("filing_id", F.size("starts").alias("n"), _suspect(F.col("starts")).alias("suspect"))
 
 
 def library_sections(library: DataFrame) -> DataFrame:
@@ -210,10 +218,7 @@ def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame)
     pat = patterns.select("filing_id", F.transform("sections", lambda x: F.struct(*[x[n].alias(n) for n in order])).alias("others"))
     rows = filings.select("filing_id", "is_abs").join(lib, "filing_id", "left").join(pat, "filing_id", "left")
     n = F.coalesce(F.size("sections"), F.lit(0))
-    start = lambda x: F.substring(strip(F.coalesce(x["content_text"], F.lit(""))), 1, 500)
-    pairs = F.array_distinct(F.filter(F.transform("sections", lambda x: F.struct(start(x).alias("start"), x["item_number"].alias("item"))), lambda x: x["start"] != ""))
-    alike = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda x: x["start"])))
-    suspect = (n < dims.WHOLE_FILING) | F.coalesce(alike, F.lit(False))
+    suspect = _suspect(F.transform("sections", lambda x: _start(x["content_text"], x["item_number"])))
     by_pattern = ~F.col("is_abs") & suspect & (F.coalesce(F.size("others"), F.lit(0)) > n)
     return _spread(rows.select("filing_id", F.when(by_pattern, F.col("others")).otherwise(F.col("sections")).alias("sections")))
 
