@@ -16,7 +16,6 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,16 +29,11 @@ from ._base import Scratch, doc_rows, shuffle_partitions, table
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 200_000
 GROUP_PIECES = 20_000
 POOL = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: White space of the vocabulary's pattern besides the blank and the line feed.
-_OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """A byte-level vocabulary as a ``tokenizers`` file, and the same one as ranks with the pattern that splits words."""
@@ -49,89 +43,32 @@ class Vocabulary:
     pattern: str
 
 
-class WordEncoder:
-    """Token ids as little-endian bytes, with the words met so far remembered.
+class Encoder:
+    """Token ids as little-endian bytes.
 
-    The ids are those of the ``tokenizers`` file.  The vocabulary's pattern never
-    lets a token cross the place before a single blank or around a single line
-    feed, so words between such places are encoded apart, from the ranks of the
+    The ids are those of the ``tokenizers`` file.  They come from the ranks of the
     same vocabulary, which take a tenth of the time (the tests hold them against
-    the file on 100,000 random texts), and remembered.  Texts with any other white
-    space, with white space at an end or side by side, or with the string of a
-    special token are encoded whole by the file.
+    the file on 100,000 random texts); texts with the string of a special token,
+    which ranks don't know, go through the file.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_WORDS):
+    def __init__(self, vocabulary: Vocabulary):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary.tokenizer)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.file = Tokenizer.from_file(vocabulary.tokenizer)
+        self.special = [t.content for t in self.file.get_added_tokens_decoder().values()]
         with open(vocabulary.ranks, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.words = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.n_bytes[i] = len(token)
-        self.most = most
-        self.opening: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _in_one_go(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """The ids of words that no token crosses the start of, from one text: their bytes tell where each ends."""
-        ids = np.array(self.words.encode_ordinary(lead + lead.join(words)), "<u4")
-        upto = np.cumsum([len(w.encode()) + len(lead) for w in words])
-        ends = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), upto) + 1)).tolist()
-        raw = ids.tobytes()
-        return {w: raw[start:end] for w, start, end in zip(words, [0, *ends[:-1]], ends, strict=True)}
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.opening.clear()
-
-    def plain(self, t: str) -> bool:
-        """Whether all white space of t is blanks and line feeds that stand alone between words, and no special token is in it."""
-        if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
-            return False
-        return not _OTHER_WHITE.search(t) and not any(x in t for x in self.special)
-
-    def _learn(self, words: set[str], openings: set[str]) -> None:
-        lines = [w for w in words if w[0] == "\n"]
-        words = [w for w in words if w[0] != "\n"]
-        if lines:
-            self.known.update(self._in_one_go(lines, ""))
-        if words:
-            self.known.update(self._in_one_go(words, " "))
-        for w in openings:
-            self.opening[w] = np.array(self.words.encode_ordinary(w), "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, split = [], {}
-        for i, t in enumerate(texts):
-            if self.plain(t):
-                split[i] = t.replace("\n", " \n").split(" ")
-            else:
-                whole.append(i)
-        known, opening = self.known, self.opening
-        new = set().union(*[ws[1:] for ws in split.values()]).difference(known)
-        first = {ws[0] for ws in split.values()}.difference(opening)
-        if new or first:
-            if len(known) + len(opening) + len(new) > self.most:  # all of these texts' words are learned again
-                self.forget()
-                new, first = set().union(*[ws[1:] for ws in split.values()]), {ws[0] for ws in split.values()}
-            self._learn(new, first)
-        for i, ws in split.items():
-            out[i] = opening[ws[0]] + b"".join([known[w] for w in ws[1:]])
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
-
-_ENCODERS: dict[Vocabulary, WordEncoder] = {}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        special = any(x in text for x in self.special)
+        ids = self.file.encode(text, add_special_tokens=False).ids if special else self.ranks.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+_ENCODERS: dict[Vocabulary, Encoder] = {}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -147,20 +84,19 @@ def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACI
 
     def run(parts):
         if vocabulary not in _ENCODERS:
-            _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+            _ENCODERS[vocabulary] = Encoder(vocabulary)
         encoder = _ENCODERS[vocabulary]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in parts:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 out: list[tuple] = []
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
-                    ids += end
+                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    ids = encoder.encode(text) + end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         out.append((doc_id, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        encoder.forget()  # the worker lives on
 
     return docs.mapInArrow(run, PIECES)
 
