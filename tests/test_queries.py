@@ -44,3 +44,23 @@ def test_fuzzy_finds_what_exact_finds(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["extraction", "item_details"])
+def test_extraction_segments_each_filing_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("explode(array(struct(heading") <= 1
+    assert "locate" not in plan  # places that nobody reads
+
+
+def test_filings_are_written_without_whole_stage_code(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tomeloom.plans import corpus
+
+    seen, name, write = [], "spark.sql.codegen.wholeStage", DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(spark.conf.get(name)), write(self, *a, **b))[1])
+    before = spark.conf.get(name)
+    (tmp_path / "documents.parquet").symlink_to(f"{SF}/documents.parquet")
+    assert corpus.filings(spark, str(tmp_path)).count() > 0
+    assert seen == ["false"] and spark.conf.get(name) == before

@@ -61,20 +61,24 @@ def exact_range(segment: Column, source: Column, least: Column) -> Column:
 
 
 
-def align_exact(sections: DataFrame, filings: DataFrame) -> DataFrame:
-    """filing_id, ord, item_number, range: exact ranges along a cursor that only a success moves forward."""
-    gathered = sections.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item_number", "content_text"))).alias("parts"))
-    rows = gathered.join(filings.select("filing_id", "raw_text"), "filing_id")
+def exact_ranges(parts: Column, source: Column) -> Column:
+    """array of (ord, item_number, range) of a filing's sections in order: exact ranges along a cursor that only a success moves forward."""
     none = F.array().cast(f"array<struct<ord:int,item_number:string,range:{RANGE}>>")
 
     def step(acc: Column, s: Column) -> Column:
-        found = exact_range(s["content_text"], F.col("raw_text"), acc["at"])
+        found = exact_range(s["content_text"], source, acc["at"])
         return F.get(
             F.transform(F.array(found), lambda r: F.struct(F.coalesce(r["end"], acc["at"]).alias("at"), F.array_append(acc["out"], F.struct(s["ord"].cast("int").alias("ord"), s["item_number"].alias("item_number"), r.alias("range"))).alias("out"))), F.lit(0)
         )
 
-    placed = F.aggregate("parts", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return rows.select("filing_id", F.explode(placed).alias("p")).select("filing_id", "p.ord", "p.item_number", "p.range")
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def align_exact(sections: DataFrame, filings: DataFrame) -> DataFrame:
+    """filing_id, ord, item_number, range: ``exact_ranges`` of every filing's sections."""
+    gathered = sections.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item_number", "content_text"))).alias("parts"))
+    rows = gathered.join(filings.select("filing_id", "raw_text"), "filing_id")
+    return rows.select("filing_id", F.explode(exact_ranges(F.col("parts"), F.col("raw_text"))).alias("p")).select("filing_id", "p.ord", "p.item_number", "p.range")
 
 
 def longest_block(source: str, mark: str) -> tuple[int, int, int]:

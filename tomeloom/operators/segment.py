@@ -156,17 +156,17 @@ def strategies(candidates: DataFrame) -> DataFrame:
     return _chosen(candidates).select("filing_id", "source", "n")
 
 
-def chosen(filings: DataFrame) -> DataFrame:
-    """filing_id, sections of the strategy that each filing takes; filings without any section are left out."""
+def chosen(filings: DataFrame, *keep: str) -> DataFrame:
+    """filing_id, the columns to keep, sections of the strategy that each filing takes; filings without any section are left out."""
     text = F.col("raw_text")
     found = {"heading": _sliced(text, heading_picks(text), "heading"), "index": _indexed(text), "title": _sliced(text, title_picks(text), "title")}
-    rows = held(filings.select("filing_id", "raw_text"), "found", F.struct(*[x.alias(name) for name, x in found.items()])).select("filing_id", "found")
+    rows = held(filings, "found", F.struct(*[x.alias(name) for name, x in found.items()])).select("filing_id", *keep, "found")
     of, n = lambda name: F.col(f"found.{name}"), lambda name: F.coalesce(F.size(F.col(f"found.{name}")), F.lit(0))
     most = F.greatest(*[n(name) for name in PRIORITY])
     best = F.when(n("index") >= dims.WHOLE_FILING, of("index")).when(n("heading") >= dims.WHOLE_FILING, of("heading"))
     for name in sorted(PRIORITY, key=PRIORITY.get):
         best = best.when(n(name) == most, of(name))
-    return rows.where(most > 0).select("filing_id", best.alias("sections"))
+    return rows.where(most > 0).select("filing_id", *keep, best.alias("sections"))
 
 
 def pattern_sections(filings: DataFrame) -> DataFrame:
@@ -211,8 +211,8 @@ def library_sections(library: DataFrame) -> DataFrame:
     return rows.select("filing_id", F.lit("lib").alias("source"), "ord", "part", "item_number", section_title(F.col("content_text"), F.col("item_number")).alias("item_title"), "content_text", F.lit(None).cast("string").alias("status_hint"))
 
 
-def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame) -> DataFrame:
-    """Library sections, but pattern sections for a suspect filing (not asset-backed) that has strictly more of them; patterns: ``chosen``."""
+def merged(library: DataFrame, patterns: DataFrame, filings: DataFrame) -> DataFrame:
+    """filing_id, sections: those of the library, but pattern sections for a suspect filing (not asset-backed) that has strictly more of them; patterns: ``chosen``."""
     order = ("ord", "source", "part", "item_number", "item_title", "content_text", "status_hint")
     lib = library.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("sections"))
     pat = patterns.select("filing_id", F.transform("sections", lambda x: F.struct(*[x[n].alias(n) for n in order])).alias("others"))
@@ -220,12 +220,28 @@ def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame)
     n = F.coalesce(F.size("sections"), F.lit(0))
     suspect = _suspect(F.transform("sections", lambda x: _start(x["content_text"], x["item_number"])))
     by_pattern = ~F.col("is_abs") & suspect & (F.coalesce(F.size("others"), F.lit(0)) > n)
-    return _spread(rows.select("filing_id", F.when(by_pattern, F.col("others")).otherwise(F.col("sections")).alias("sections")))
+    return rows.select("filing_id", F.when(by_pattern, F.col("others")).otherwise(F.col("sections")).alias("sections"))
 
 
-def document_order(sections: DataFrame) -> DataFrame:
-    """Sections with ord by part, item number and letter; unreadable numbers after the others of their part."""
-    digits, letter = F.regexp_extract("item_number", "^([0-9]+)([A-Za-z]?)", 1), F.upper(F.regexp_extract("item_number", "^([0-9]+)([A-Za-z]?)", 2))
+def merged_sections(library: DataFrame, patterns: DataFrame, filings: DataFrame) -> DataFrame:
+    return _spread(merged(library, patterns, filings))
+
+
+def _place(part: Column, item: Column) -> list[Column]:
+    """What document order goes by: part, item number and letter; unreadable numbers after the others of their part."""
+    digits, letter = F.regexp_extract(item, "^([0-9]+)([A-Za-z]?)", 1), F.upper(F.regexp_extract(item, "^([0-9]+)([A-Za-z]?)", 2))
     known = digits != ""
-    order = Window.partitionBy("filing_id").orderBy(F.coalesce("part", F.lit(99)), F.when(known, digits.try_cast("int")).otherwise(999), F.when(known, letter).otherwise(F.col("item_number")), "item_number")
+    return [F.coalesce(part, F.lit(99)), F.when(known, digits.try_cast("int")).otherwise(999), F.when(known, letter).otherwise(item), item]
+
+
+def document_order(sections: DataFrame) -> DataFrame:
+    """Sections with ord by document order."""
+    order = Window.partitionBy("filing_id").orderBy(*_place(F.col("part"), F.col("item_number")))
     return sections.withColumn("ord", F.row_number().over(order) - 1)
+
+
+def in_document_order(sections: Column) -> Column:
+    """An array of one filing's sections in document order, with ord by it."""
+    rest = [c for c in SECTION if c not in ("filing_id", "source", "ord")]
+    placed = F.transform(sections, lambda s: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(_place(s["part"], s["item_number"]))], s["ord"].alias("ord"), s.alias("s")))
+    return F.transform(F.array_sort(placed), lambda x, i: F.struct(i.cast("int").alias("ord"), *[x["s"][c].alias(c) for c in rest]))

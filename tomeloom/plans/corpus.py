@@ -97,11 +97,22 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
         path = f"{shared_dir(spark)}/filings-{uuid.uuid4().hex[:12]}"
-        spark.sql(filings_sql("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).write.parquet(path)
+        _write(spark.sql(filings_sql("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    """rows written without whole-stage code: that of all sections is over the 64 KB of a method, so the driver would compile it in vain."""
+    conf, name = rows.sparkSession.conf, "spark.sql.codegen.wholeStage"
+    before = conf.get(name, None)
+    conf.set(name, "false")
+    try:
+        rows.write.parquet(path)
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
