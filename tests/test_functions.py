@@ -120,3 +120,9 @@ def test_range_of():
     assert align.range_of("Item 1. Title\n" + body, "Item 1. Title\n" + body) == (0, 14 + len(body))
     assert align.range_of(body, source.replace(" ", "  ")) is not None
     assert align.range_of("", source) is None and align.range_of(body, "") is None and align.range_of("tiny", source) is None
+
+
+def test_strip_follows_python(spark):
+    texts = [None, "", " \t\n", "é", "x"] + [f"{c}{c}a{c} é{c}{c}" for c in map(chr, range(1, 0x3002)) if c.isspace()] + ["​zero width​", "　— "]
+    assert run(spark, texts, tx.strip) == [t and t.strip() for t in texts]
+    assert run(spark, texts, tx.rstrip) == [t and t.rstrip() for t in texts]

@@ -9,15 +9,12 @@ from .. import patterns as p
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind around.
-
-    The end is found with a look-behind-free pattern, as two anchored replaces.
-    """
-    return F.regexp_replace(F.regexp_replace(c, f"\\A{p.ANY_SPACE}+", ""), f"{p.ANY_SPACE}+\\z", "")
+    """Without white space of any kind around."""
+    return F.btrim(c, F.lit(p.ANY_SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{p.ANY_SPACE}+\\z", "")
+    return F.rtrim(c, F.lit(p.ANY_SPACES))
 
 
 def running_sums(numbers: Column) -> Column:

@@ -159,13 +159,15 @@ def strategies(candidates: DataFrame) -> DataFrame:
 def chosen(filings: DataFrame, *keep: str) -> DataFrame:
     """filing_id, the columns to keep, sections of the strategy that each filing takes; filings without any section are left out."""
     text = F.col("raw_text")
-    found = {"heading": _sliced(text, heading_picks(text), "heading"), "index": _indexed(text), "title": _sliced(text, title_picks(text), "title")}
-    rows = held(filings, "found", F.struct(*[x.alias(name) for name, x in found.items()])).select("filing_id", *keep, "found")
-    of, n = lambda name: F.col(f"found.{name}"), lambda name: F.coalesce(F.size(F.col(f"found.{name}")), F.lit(0))
+    n = lambda name: F.coalesce(F.size(f"by_{name}"), F.lit(0))
+    # a whole index or whole headings decide, so what ranks behind them is not looked for
+    rows = held(filings, "by_index", _indexed(text))
+    rows = held(rows, "by_heading", F.when(n("index") < dims.WHOLE_FILING, _sliced(text, heading_picks(text), "heading")))
+    rows = held(rows, "by_title", F.when(F.greatest(n("index"), n("heading")) < dims.WHOLE_FILING, _sliced(text, title_picks(text), "title")))
     most = F.greatest(*[n(name) for name in PRIORITY])
-    best = F.when(n("index") >= dims.WHOLE_FILING, of("index")).when(n("heading") >= dims.WHOLE_FILING, of("heading"))
+    best = F.when(n("index") >= dims.WHOLE_FILING, F.col("by_index")).when(n("heading") >= dims.WHOLE_FILING, F.col("by_heading"))
     for name in sorted(PRIORITY, key=PRIORITY.get):
-        best = best.when(n(name) == most, of(name))
+        best = best.when(n(name) == most, F.col(f"by_{name}"))
     return rows.where(most > 0).select("filing_id", *keep, best.alias("sections"))
 
 

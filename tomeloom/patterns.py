@@ -6,9 +6,12 @@ is an explicit class, since engines differ on which characters ``\\s`` covers.
 
 from __future__ import annotations
 
+import re
+
 NBSP = "\u00a0"
 SPACE = f"[ \t{NBSP}]"
 ANY_SPACE = "[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+ANY_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(ANY_SPACE, c, re.ASCII))
 DASH = "—"
 
 HEADING = f"(?im)^{SPACE}{{0,3}}Item{SPACE}+([0-9]+[A-C]?)[\\s{NBSP}.\\-{DASH}:]+([^\\n]{{0,200}})$"
